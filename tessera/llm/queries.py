@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import line_dedup, near_dedup, quality
+from tessera.llm import decontaminate, licenses, line_dedup, mixing, near_dedup, quality
 from tessera.llm._common import read
 
 
+def op1_slot_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_benchmark(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read(spark, sf_dir, "documents"))
+
+
 def op4_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), percent=85)
 
@@ -23,4 +31,8 @@ def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op4_odd_sketch_dedup, op6_line_dedup, op9_quality_cnn)}
+def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES = {f.__name__: f for f in (op1_slot_templates, op2_temperature_mixing, op4_odd_sketch_dedup, op6_line_dedup, op9_quality_cnn, op10_license_diagonals)}
