@@ -138,7 +138,7 @@ def skeleton(root: Node) -> list[list]:
         text = "\n".join(blocks(node)) if node.tag != "#root" else ""
         here = len(out)
         out.append([node.label, parent, path, xxhash.xxh64_intdigest(text.encode()) >> 1, len(text), node.never])
-        kids, seen, merged = node.nodes(), {}, []
+        kids, seen, merged = [] if node.tag == "#run" else node.nodes(), {}, []
         for kid in kids:
             if kid.tag not in BLOCK or kid.tag == "hr":
                 continue

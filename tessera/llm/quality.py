@@ -120,7 +120,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> ByteNet:
-    sample = sorted((r["id"], r["text"].encode(), r["label"]) for r in training_rows(docs, labels, label_col, per_class).toLocalIterator())
+    sample = sorted((r["id"], r["text"].encode(), r["label"]) for r in training_rows(docs, labels, label_col, per_class).collect())
     return ByteNet().fit([t for _, t, _ in sample], [x for _, _, x in sample])
 
 
