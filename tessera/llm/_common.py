@@ -108,9 +108,9 @@ def shingle_sets(rows: list[bytes], width: int = 5):
             if hi - lo >= width:
                 yield np.unique(s[lo : hi - width + 1])
             elif hi > lo:
-                one = np.uint64(hi - lo)
+                one = np.full(1, hi - lo, np.uint64)
                 for w in h[lo:hi]:
                     one = one * mul + w
-                yield mix(np.array([one], np.uint64))
+                yield mix(one)
             else:
                 yield np.empty(0, np.uint64)

@@ -8,6 +8,9 @@ and drops most false candidates for eight XORs. What passes is confirmed on the
 No bucket is ever paired in full. Equal sets collapse to one representative; each bucket is a star around its
 smallest member; stars that hold give components, and then only members of *different* components that still
 share a bucket are compared. So every pair that shares a band either is connected already or has been compared.
+Large buckets of unconnected members are variants of one text, mostly too far apart. For their members the shingles
+that occur in no other component are counted: they can't be shared, which bounds each pair's intersection exactly
+and rules out almost all of these pairs before they become rows.
 
 Defined results: null text = empty text; a text without words has the empty set, links with nothing and is kept;
 a null doc_id links with nothing (component_id null, kept true); rows with equal doc_id are each returned;
@@ -26,10 +29,14 @@ from pyspark.sql import functions as F
 from tessera.llm._common import mix, shingle_sets, texts, written
 
 ROWS = 5
-SKETCH_BITS = 512
+#: MinHash samples of a sketch; the bands use the first of them.
+SAMPLES = 256
+SKETCH_BITS = 1024
 SKETCH_WORDS = SKETCH_BITS // 64
 #: A link at exactly the threshold shares no band with at most this probability.
 MISS = 1e-7
+#: Unconnected members from which a bucket's shingles are counted.
+LARGE = 64
 
 
 def bands_for(threshold: float) -> int:
@@ -38,16 +45,16 @@ def bands_for(threshold: float) -> int:
 
 def sketch_limit(threshold: float) -> int:
     """Most bits in which two sketches of a true link may differ: far out in the tail, so links aren't lost."""
-    k = bands_for(threshold) * ROWS
-    differ = k * (1 - threshold) + 6.5 * math.sqrt(k * threshold * (1 - threshold))
+    k = max(SAMPLES, bands_for(threshold) * ROWS)
+    differ = k * (1 - threshold) + 5.5 * math.sqrt(k * threshold * (1 - threshold))
     tosses = 2 * differ
     bits = SKETCH_BITS / 2 * (1 - math.exp(-2 * tosses / SKETCH_BITS))
-    return math.ceil(bits + 4 * math.sqrt(bits / 2))
+    return math.ceil(bits + 3 * math.sqrt(bits / 2))
 
 
 def signer(width: int, bands: int):
     """A function for mapInArrow: (doc_id, text) to set size, digest, band keys and odd sketch."""
-    k = bands * ROWS
+    k = max(SAMPLES, bands * ROWS)
     rng = np.random.default_rng(20)
     mul = (rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
     add = rng.integers(0, 1 << 32, k, dtype=np.uint32)[:, None]
@@ -70,7 +77,7 @@ def signer(width: int, bands: int):
                 digests.append(int(mix(s).sum(dtype=np.uint64)).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))).to_bytes(8, "big") + len(s).to_bytes(4, "big"))
                 key = band.copy()
                 for r in range(ROWS):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[r::ROWS])
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[r : bands * ROWS : ROWS])
                 keys.append(key.view(np.int64))
                 odd = np.bincount((mix(sample + low) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
                 sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
@@ -102,6 +109,19 @@ def confirmer(width: int, percent: int):
     return confirm
 
 
+def lister(width: int):
+    """A function for mapInArrow: (rep, comp, text) to (rep, comp, shingles)."""
+
+    def shingles(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [s.view(np.int64) for s in shingle_sets(part.column(2).cast(pa.binary()).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "comp", "shingles"])
+
+    return shingles
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, component) for every id of edges (a, b): the smallest id reachable, by large and small stars.
 
@@ -163,8 +183,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     # What shares a bucket but no component yet; a bucket whose members are all connected gives nothing.
     labelled = keys.join(found, keys.rep == found.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    left = written(labelled.join(mixed, "key").join(sized, "rep"), "unsettled")
-    across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") < F.col("y.rep")) & close("x", "y"))
+    left = written(labelled.join(mixed, "key"), "unsettled")
+    large = left.groupBy("key").count().where(F.col("count") > LARGE).select("key")
+    members = left.join(large, "key").select("rep", "comp").distinct()
+    listed = members.join(docs, F.col("rep") == F.col("doc_id")).select("rep", "comp", "text").mapInArrow(lister(width), "rep long, comp long, shingles array<long>")
+    listed = written(listed, "shingles").select("rep", "comp", F.explode("shingles").alias("shingle"))
+    alone = listed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low = high").select("shingle")
+    own = listed.join(alone, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("own"))
+    own = members.select("rep").distinct().join(own, "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
+    left = written(left.join(sized, "rep").join(own, "rep", "left"), "unsettled_sized")
+
+    def possible(x: str, y: str):
+        most = F.least(F.col(f"{x}.n_shingles") - F.col(f"{x}.own"), F.col(f"{y}.n_shingles") - F.col(f"{y}.own"))
+        return F.coalesce(most * (100 + percent) >= (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) * percent, F.lit(True))
+
+    across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") < F.col("y.rep")) & possible("x", "y") & close("x", "y"))
     across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     across = written(across, "cross_pairs")
     if not across.isEmpty():
