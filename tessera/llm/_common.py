@@ -14,9 +14,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only the two columns an operator needs, so further columns can't clash; a null text is empty."""
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Only the columns an operator needs, so further columns can't clash; a null text is empty."""
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *carry)
+
+
+def ddl(df: DataFrame, columns: tuple[str, ...]) -> str:
+    """The columns as the tail of a schema string."""
+    return "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in columns)
 
 
 def shared_dir(spark: SparkSession) -> str:

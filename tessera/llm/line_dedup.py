@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import mix, texts, written
+from tessera.llm._common import ddl, mix, texts, written
 
 BLANK = " \t\n\x0b\x0c\r"
 SHARDS = 64
@@ -139,11 +139,12 @@ def renderer(index, min_chars: int, routed: bool):
                             if ids[d] is None or ids[d] != held_by:
                                 dropped[d].add(n)
                 if routed:
-                    for d, found in enumerate(part.column(2).to_pylist()):
+                    for d, found in enumerate(part.column(part.num_columns - 1).to_pylist()):
                         gone = {(x["hi"], x["lo"]) for x in found or ()}
                         dropped[d].update(n for n, k in enumerate(keys[d]) if k in gone)
                 kept = ["\n".join(x for n, x in enumerate(doc) if n not in gone) for doc, gone in zip(lines, dropped, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in dropped], pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+                extra = part.select(part.schema.names[2 : part.num_columns - routed])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(kept, pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array([len(x) for x in dropped], pa.int64()), *extra.columns], names=["doc_id", "text", "n_lines", "n_dropped", *extra.schema.names])
 
     return render
 
@@ -162,11 +163,12 @@ def _routed(requests: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
     return requests[known & ~(requests["doc_id"] == last).fillna(False).to_numpy(bool)][["doc_id", "hi", "lo"]]
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, text (without the dropped lines), n_lines and n_dropped for every row of docs."""
-    docs = texts(docs, id_col, text_col)
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, text (without the dropped lines), n_lines, n_dropped and the columns named in carry for every row of docs."""
+    docs = texts(docs, id_col, text_col, carry)
     spark = docs.sparkSession
-    held = docs.mapInArrow(line_keys(min_chars, True), "hi long, lo long, doc_id long")
+    pairs = docs.select("doc_id", "text")
+    held = pairs.mapInArrow(line_keys(min_chars, True), "hi long, lo long, doc_id long")
     counted = held.groupBy("hi", "lo").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     counted = written(counted, "frequent_lines")
 
@@ -184,11 +186,11 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
     if least:
         shards = max(SHARDS, sum(sizes.values()) // 50_000)
         entries = counted.where(F.col("n") < least).withColumn("shard", _shard(shards))
-        requests = docs.mapInArrow(line_keys(min_chars, False), "hi long, lo long, doc_id long").mapInArrow(unanswered(shared), "hi long, lo long, doc_id long").withColumn("shard", _shard(shards))
+        requests = pairs.mapInArrow(line_keys(min_chars, False), "hi long, lo long, doc_id long").mapInArrow(unanswered(shared), "hi long, lo long, doc_id long").withColumn("shard", _shard(shards))
         verdicts = requests.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(_routed, "doc_id long, hi long, lo long")
         verdicts = verdicts.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("hi", "lo")).alias("gone"))
-        docs = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", "gone")
-    return docs.mapInArrow(renderer(shared, min_chars, bool(least)), "doc_id long, text string, n_lines long, n_dropped long")
+        docs = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", *carry, "gone")
+    return docs.mapInArrow(renderer(shared, min_chars, bool(least)), "doc_id long, text string, n_lines long, n_dropped long" + ddl(docs, carry))
 
 
 def unanswered(index):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import texts
+from tessera.llm._common import ddl, texts
 
 WIDTH, STRIDE, DIM, FILTERS = 8, 2, 8, 16
 #: Most texts of each label in the sample that the network is fitted on.
@@ -116,7 +116,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     ranked = ranked.groupBy("id").agg(F.min("label").alias("label"))
     picked = [ranked.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     wanted = picked[0].union(picked[1])
-    return docs.join(F.broadcast(wanted), docs["doc_id"] == F.col("id")).groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    return docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> ByteNet:
@@ -130,13 +130,13 @@ def scorer(net):
         for batch in batches:
             rows = batch.column(1).cast(pa.binary())
             found = [model.probability(rows[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["doc_id", "text", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.float64()), *batch.columns[2:]], names=[*batch.schema.names[:2], "score", *batch.schema.names[2:]])
 
     return score
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, held_out and score (0 to 1, higher: label 1 likelier) for every row of docs."""
-    docs = texts(docs, id_col, text_col)
+def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, score (0 to 1, higher: label 1 likelier), the columns named in carry and held_out for every row of docs."""
+    docs = texts(docs, id_col, text_col, carry)
     net = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, label_col, per_class))
-    return docs.mapInArrow(scorer(net), "doc_id long, text string, score double").withColumn("held_out", held_out(F.col("doc_id")))
+    return docs.mapInArrow(scorer(net), "doc_id long, text string, score double" + ddl(docs, carry)).withColumn("held_out", held_out(F.col("doc_id")))
