@@ -22,9 +22,10 @@ from tessera.llm._common import texts
 from tessera.llm._windows import windows
 
 K = 3
-#: Diagonals this near belong to one copy; a span may be longer than its template by DRIFT words in all.
+#: Diagonals this near belong to one copy; a span may be longer than its template by DRIFT words in all. The share is
+#: high enough that one word tells licenses apart whose notices differ in it.
 DRIFT = 4
-COVER = 0.7
+COVER = 0.85
 #: More template k-grams than this are not sent to every task but joined by a shuffle.
 MOST_SENT = 200_000
 

@@ -70,7 +70,7 @@ class PerfectHash:
 
     @staticmethod
     def _at(keys, level, size):
-        return (mix(keys + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(size)).astype(np.int64)
 
     def _ranks(self, keys: np.ndarray) -> np.ndarray:
         rank, open_ = np.full(len(keys), -1, np.int64), np.arange(len(keys))
