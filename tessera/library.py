@@ -1,6 +1,6 @@
 """Every query of the engine."""
 
-from tessera.operators import relational, retrieval, textual
+from tessera.operators import corpus, relational, retrieval, textual
 from tessera.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "relational", "retrieval", "textual"]
+__all__ = ["ORACLES", "QUERIES", "corpus", "relational", "retrieval", "textual"]

@@ -16,8 +16,11 @@ MOST_SENT = 20_000
 def match_vectors(queries: DataFrame, chunks: DataFrame, k: int = 5, floor: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, similarity of each query's k nearest chunks at or above floor, k clamped to 1..20."""
     k = min(max(k, 1), 20)
+    queries = queries.withColumn("qq", t.dot(F.col("query"), F.col("query")))
+    chunks = chunks.withColumn("cc", t.dot(F.col("embedding"), F.col("embedding")))
     sent = F.broadcast(queries) if queries.count() <= MOST_SENT else queries
-    scored = chunks.crossJoin(sent).select("query_id", "vec_id", F.round(t.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
+    similarity = t.dot(F.col("query"), F.col("embedding")) / F.sqrt(F.col("qq") * F.col("cc"))
+    scored = chunks.crossJoin(sent).select("query_id", "vec_id", F.round(similarity, 6).alias("similarity"))
     if floor is not None:
         scored = scored.where(F.col("similarity") >= floor)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))

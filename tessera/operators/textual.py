@@ -118,10 +118,12 @@ def fn_confidence_band(spark, sf):
     return docs(spark, sf).select("doc_id", F.when(n >= 5000, "high").when(n >= 1000, "medium").when(n > 100, "low").otherwise("none").alias("confidence"))
 
 
-@query(r"""SELECT 'access_key' AS pattern, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(text, 'AKIA[A-Z0-9]{16}')) FROM documents)
- UNION ALL SELECT 'password', count(*) FROM (SELECT unnest(regexp_extract_all(text, 'password=[0-9a-f]+')) FROM documents)""")
+_PATTERNS = {"access_key": "AKIA[A-Z0-9]{16}", "password": "password=[0-9a-f]+", "digits": "[0-9]{4,}"}
+
+
+@query("SELECT pattern, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS pattern, unnest(regexp_extract_all(text, '{rule}')) AS x FROM documents" for name, rule in _PATTERNS.items()) + ") GROUP BY pattern")
 def fn_secret_patterns(spark, sf):
-    found = [F.array_repeat(F.lit(name), F.regexp_count("text", F.lit(rule))) for name, rule in (("access_key", "AKIA[A-Z0-9]{16}"), ("password", "password=[0-9a-f]+"))]
+    found = [F.array_repeat(F.lit(name), F.regexp_count("text", F.lit(rule))) for name, rule in _PATTERNS.items()]
     return docs(spark, sf).select(F.explode(F.concat(*found)).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
 
