@@ -37,4 +37,59 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_
 FROM judged GROUP BY doc_id
 """
 
-ORACLES = {"op4_odd_sketch_dedup": OP4, "op6_line_dedup": OP6}
+_CONTROL = ["<s>", "</s>", "<|", "|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\"]
+_ESCAPED = "length(text) + " + " + ".join(f"(length(text) - length(replace(text, '{x}', ''))) // {len(x)}" for x in _CONTROL)
+
+OP7 = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), told AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS every,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '') AS loss, sum(13 + length(role) + {_ESCAPED})::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(every) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM told
+"""
+
+OP8 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)
+SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id)::INT AS rank, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 QUALIFY rank <= 20
+"""
+
+# Kind, its place in the order, the text it is looked for in, the pattern, and what a match needs besides.
+_RULES = [
+    ("assign", "low", r"""(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([a-z0-9+/_.=-]+)"""),
+    ("access", "text", "AKIA[A-Z0-9]+"),
+    ("hex", "text", "[0-9a-f]+"),
+    ("private_key", "text", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    ("jwt", "text", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("credential_url", "text", r"://[^\s:/@]{1,64}:[^\s:/@]{3,128}@[A-Za-z0-9.-]+"),
+    ("service_token", "text", "(?:ghp_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|glpat-[A-Za-z0-9_-]{20})"),
+]
+
+
+def _found(number: int, kind: str, where: str, rule: str) -> str:
+    group = 2 if kind == "assign" else 0
+    least = {"assign": 6, "access": 20, "hex": 24}.get(kind, 0)
+    return f"""SELECT doc_id, {number} AS k, '{kind}' AS kind, list_sum(list_transform(p[:i], lambda x: length(x)))::BIGINT + coalesce(list_sum(list_transform(m[:i-1], lambda x: length(x))), 0)::BIGINT AS s, length(m[i]) AS n
+  FROM (SELECT doc_id, m, p, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all({where}, '{rule}') AS m, string_split_regex({where}, '{rule}') AS p, regexp_extract_all({where}, '{rule}', {group}) AS g FROM d)) WHERE length(g[i]) >= {least}"""
+
+
+OP3 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_LOW.format("coalesce(text, '')")} AS low FROM documents),
+found AS ({" UNION ALL ".join(_found(k, *rule) for k, rule in enumerate(_RULES))}),
+told AS (
+  SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+         string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k) FILTER (k < 3) AS base, string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, k) AS spans
+  FROM found GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN told USING (doc_id)
+"""
+
+ORACLES = {"op3_blob_ledger": OP3, "op4_odd_sketch_dedup": OP4, "op6_line_dedup": OP6, "op7_reply_trees": OP7, "op8_pivot_topk": OP8}
