@@ -25,7 +25,7 @@ from tessera.llm._common import written
 
 BLOCK, QUERY_BLOCK = 8192, 1024
 PIVOTS = 32
-#: Candidates evaluated at once between two looks at the bound.
+#: Candidates evaluated before the first look at the bound; each further look comes after twice as many.
 STEP = 512
 
 
@@ -44,25 +44,30 @@ def searcher(k: int):
             q_ids, q = q_rows["vec_id"].to_numpy(np.int64), np.stack(q_rows["v"].to_numpy()).astype(np.float64).reshape(len(q_rows), dim)
             pivots = x[np.linspace(0, len(x) - 1, min(PIVOTS, len(x))).astype(int)]
             square = lambda a, b: np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0)
-            of_x, of_q, norm_x, norm_q = np.sqrt(square(x, pivots)).T, np.sqrt(square(q, pivots)), (x * x).sum(1), (q * q).sum(1)
+            of_x, of_q, norm_x, norm_q = np.sqrt(square(x, pivots)).T.astype(np.float32), np.sqrt(square(q, pivots)).astype(np.float32), (x * x).sum(1), (q * q).sum(1)
+            slack = np.float32(1e-5) * (of_x.max() + of_q.max())  # far above the rounding of the pivot distances
             for i in range(len(q)):
-                low = np.zeros(len(x))
-                for p in range(len(pivots)):
-                    np.maximum(low, np.abs(of_x[p] - of_q[i, p]), out=low)
+                low = np.maximum(np.abs(of_x - of_q[i][:, None]).max(axis=0) - slack, 0).astype(np.float64)
                 bound = (norm_x + norm_q[i] - low * low) / 2 * (1 + 1e-9) + 1e-3  # above the score, rounding included
-                best_s, best_i = np.empty(0), np.empty(0, np.int64)
                 rest = np.flatnonzero(ids != q_ids[i])
-                while len(rest):
-                    if len(rest) > STEP:
-                        part = np.argpartition(-bound[rest], STEP)
-                        now, rest = rest[part[:STEP]], rest[part[STEP:]]
-                    else:
-                        now, rest = rest, rest[:0]
-                    best_s, best_i = np.concatenate((best_s, x[now] @ q[i])), np.concatenate((best_i, ids[now]))
+                rest = rest[np.argsort(-bound[rest].astype(np.float32))]
+                best_s, best_i, at, step = np.empty(0), np.empty(0, np.int64), 0, STEP
+                while at < len(rest):
+                    now = rest[at : at + step]
+                    scores = x[now] @ q[i]
+                    if len(best_s) == k:
+                        good = scores >= best_s[-1]
+                        scores, now = scores[good], now[good]
+                    best_s, best_i = np.concatenate((best_s, scores)), np.concatenate((best_i, ids[now]))
+                    if len(best_s) > k:
+                        good = best_s >= np.partition(best_s, len(best_s) - k)[len(best_s) - k]
+                        best_s, best_i = best_s[good], best_i[good]
                     order = np.lexsort((best_i, -best_s))[:k]
                     best_s, best_i = best_s[order], best_i[order]
-                    if len(best_s) == k:
-                        rest = rest[bound[rest] >= best_s[-1]]
+                    at, step = at + step, 2 * step
+                    # the order is by rounded bounds, so the largest bound left is looked up
+                    if len(best_s) == k and at < len(rest) and bound[rest[at:]].max() < best_s[-1]:
+                        break
                 out["query_id"] += [q_ids[i]] * len(best_i)
                 out["vec_id"] += best_i.tolist()
                 out["score"] += best_s.astype(np.int64).tolist()
