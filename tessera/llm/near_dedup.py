@@ -3,7 +3,9 @@
 Each text becomes its set of distinct word shingles. MinHash samples are cut into bands; texts that share
 a band are candidates. The samples are also folded into an odd sketch, a bitmap of parities: the population
 count of the XOR of two sketches estimates how many samples differ, precisely where similarities are high,
-and drops most false candidates for eight XORs. What passes is confirmed on the full sets.
+and drops most false candidates for a few XORs. A second bitmap folds the whole set: its XOR count never exceeds
+the symmetric difference, so it rules pairs out with certainty, sharply for all but long texts. What passes is
+confirmed on the full sets.
 
 No bucket is ever paired in full. Equal sets collapse to one representative; each bucket is a star around its
 smallest member; stars that hold give components, and then only members of *different* components that still
@@ -52,8 +54,14 @@ def sketch_limit(threshold: float) -> int:
     return math.ceil(bits + 3 * math.sqrt(bits / 2))
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """The bitmap that holds for each cell whether an odd number of hashes fell into it, as int64 words."""
+    odd = np.bincount((hashes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def signer(width: int, bands: int):
-    """A function for mapInArrow: (doc_id, text) to set size, digest, band keys and odd sketch."""
+    """A function for mapInArrow: (doc_id, text) to set size, digest, band keys, odd sketch and the whole set's parities."""
     k = max(SAMPLES, bands * ROWS)
     rng = np.random.default_rng(20)
     mul = (rng.integers(0, 1 << 31, k, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -64,11 +72,11 @@ def signer(width: int, bands: int):
     def sign(batches):
         for batch in batches:
             rows = batch.column(1).cast(pa.binary()).to_pylist()
-            sizes, digests, keys, sketches = [], [], [], []
+            sizes, digests, keys, sketches, wholes = [], [], [], [], []
             for s in shingle_sets(rows, width):
                 sizes.append(len(s))
                 if not len(s):
-                    digests.append(None), keys.append(None), sketches.append(None)
+                    digests.append(None), keys.append(None), sketches.append(None), wholes.append(None)
                     continue
                 x = (s >> np.uint64(32)).astype(np.uint32)
                 low = np.full(k, 0xFFFFFFFF, np.uint32)
@@ -79,10 +87,10 @@ def signer(width: int, bands: int):
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[r : bands * ROWS : ROWS])
                 keys.append(key.view(np.int64))
-                odd = np.bincount((mix(sample + low) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                sketches.append(parities(mix(sample + low)))
+                wholes.append(parities(mix(s + np.uint64(2))))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs)], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs), pa.array(sketches, longs), pa.array(wholes, longs)], names=["doc_id", "n_shingles", "digest", "bands", "sketch", "whole"])
 
     return sign
 
@@ -154,21 +162,21 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     docs = texts(docs, id_col, text_col)
     threshold = percent / 100
     limit = sketch_limit(threshold)
-    signed = written(docs.mapInArrow(signer(width, bands_for(threshold)), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>"), "signatures")
+    signed = written(docs.mapInArrow(signer(width, bands_for(threshold)), "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>, whole array<long>"), "signatures")
 
     classes = signed.where("doc_id is not null and n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = written(signed.alias("s").join(classes.alias("c"), (F.col("s.digest") == F.col("c.digest")) & (F.col("s.doc_id") == F.col("c.rep"))).select("rep", "n_shingles", "s.digest", "bands", "sketch"), "classes")
+    reps = written(signed.alias("s").join(classes.alias("c"), (F.col("s.digest") == F.col("c.digest")) & (F.col("s.doc_id") == F.col("c.rep"))).select("rep", "n_shingles", "s.digest", "bands", "sketch", "whole"), "classes")
     keys = reps.select("rep", F.explode("bands").alias("key"))
     stars = keys.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").drop("last")
     pairs = keys.join(stars, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
-    measures = ["n_shingles", *(F.col("sketch")[i].alias(f"w{i}") for i in range(SKETCH_WORDS))]
+    measures = ["n_shingles", *(F.col(name)[i].alias(f"{name}{i}") for name in ("sketch", "whole") for i in range(SKETCH_WORDS))]
     sized = reps.select("rep", *measures)
 
     def close(x: str, y: str):
-        differ = sum((F.bit_count(F.col(f"{x}.w{i}").bitwiseXOR(F.col(f"{y}.w{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+        sketch, whole = (sum((F.bit_count(F.col(f"{x}.{name}{i}").bitwiseXOR(F.col(f"{y}.{name}{i}"))) for i in range(SKETCH_WORDS)), F.lit(0)) for name in ("sketch", "whole"))
         small, big = F.least(f"{x}.n_shingles", f"{y}.n_shingles"), F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
-        return (small * 100 >= big * percent) & (differ <= limit)
+        return (small * 100 >= big * percent) & (whole * (100 + percent) <= (small + big) * (100 - percent)) & (sketch <= limit)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         of_a, of_b = docs.alias("ta"), docs.alias("tb")
