@@ -1,7 +1,7 @@
 """Every query of the engine."""
 
-from tessera.operators import corpus, relational, retrieval, textual
+from tessera.operators import answers, corpus, relational, retrieval, terms, textual
 from tessera.plans import jobs
 from tessera.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "corpus", "jobs", "relational", "retrieval", "textual"]
+__all__ = ["ORACLES", "QUERIES", "answers", "corpus", "jobs", "relational", "retrieval", "terms", "textual"]
