@@ -34,3 +34,12 @@ def verify_snapshot(spark: SparkSession, path: str) -> DataFrame:
     found = spark.read.text(f"{path}/lines").groupBy(F.get_json_object("value", "$.record_type").alias("record_type")).agg(F.count("*").alias("found"))
     counts = spark.read.schema("record_type string, n long").json(f"{path}/counts").join(found, "record_type", "full_outer").where(~F.col("n").eqNullSafe(F.col("found")))
     return files.union(counts.select(F.lit("count"), "record_type"))
+
+
+def restored(spark: SparkSession, path: str, record_type: str, schema: str) -> DataFrame:
+    """A table of a snapshot, after its checksums and counts are verified; a damaged snapshot is an error."""
+    issues = verify_snapshot(spark, path)
+    if not issues.isEmpty():
+        raise ValueError(f"snapshot {path} is damaged")
+    lines = spark.read.text(f"{path}/lines").where(F.get_json_object("value", "$.record_type") == record_type)
+    return lines.select(F.from_json(F.get_json_object("value", "$.data"), schema).alias("d")).select("d.*")
