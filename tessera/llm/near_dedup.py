@@ -60,6 +60,11 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def digest_of(s: np.ndarray) -> bytes:
+    """What equal sets of shingles have in common."""
+    return int(mix(s).sum(dtype=np.uint64)).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))).to_bytes(8, "big") + len(s).to_bytes(4, "big")
+
+
 def signer(width: int, bands: int):
     """A function for mapInArrow: (doc_id, text) to set size, digest, band keys, odd sketch and the whole set's parities."""
     k = max(SAMPLES, bands * ROWS)
@@ -82,7 +87,7 @@ def signer(width: int, bands: int):
                 low = np.full(k, 0xFFFFFFFF, np.uint32)
                 for a in range(0, len(x), 1024):
                     np.minimum(low, (mul * x[a : a + 1024] + add).min(axis=1), out=low)
-                digests.append(int(mix(s).sum(dtype=np.uint64)).to_bytes(8, "big") + int(np.bitwise_xor.reduce(mix(s + np.uint64(1)))).to_bytes(8, "big") + len(s).to_bytes(4, "big"))
+                digests.append(digest_of(s))
                 key = band.copy()
                 for r in range(ROWS):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + low[r : bands * ROWS : ROWS])
@@ -118,14 +123,15 @@ def confirmer(width: int, percent: int):
 
 
 def lister(width: int):
-    """A function for mapInArrow: (rep, comp, text) to (rep, comp, shingles)."""
+    """A function for mapInArrow: (rep, comp, text) to (rep, comp, digest, shingles)."""
 
     def shingles(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [s.view(np.int64) for s in shingle_sets(part.column(2).cast(pa.binary()).to_pylist(), width)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "comp", "shingles"])
+                sets = list(shingle_sets(part.column(2).cast(pa.binary()).to_pylist(), width))
+                digests = pa.array([digest_of(s) if len(s) else None for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), digests, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "comp", "digest", "shingles"])
 
     return shingles
 
@@ -171,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     pairs = keys.join(stars, "key").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
 
     measures = ["n_shingles", *(F.col(name)[i].alias(f"{name}{i}") for name in ("sketch", "whole") for i in range(SKETCH_WORDS))]
-    sized = reps.select("rep", *measures)
+    sized = reps.select("rep", "digest", *measures).dropDuplicates(["rep", "digest"])
 
     def close(x: str, y: str):
         sketch, whole = (sum((F.bit_count(F.col(f"{x}.{name}{i}").bitwiseXOR(F.col(f"{y}.{name}{i}"))) for i in range(SKETCH_WORDS)), F.lit(0)) for name in ("sketch", "whole"))
@@ -194,15 +200,18 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     left = written(labelled.join(mixed, "key"), "unsettled")
     large = left.groupBy("key").count().where(F.col("count") > LARGE).select("key")
     members = left.join(large, "key").select("rep", "comp").distinct()
-    listed = members.join(docs, F.col("rep") == F.col("doc_id")).select("rep", "comp", "text").mapInArrow(lister(width), "rep long, comp long, shingles array<long>")
-    listed = written(listed, "shingles").select("rep", "comp", F.explode("shingles").alias("shingle"))
+    listed = members.join(docs, F.col("rep") == F.col("doc_id")).select("rep", "comp", "text").mapInArrow(lister(width), "rep long, comp long, digest binary, shingles array<long>")
+    # A doc_id can stand in many rows, of one text or of several: each of its sets is counted once.
+    listed = written(listed.dropDuplicates(["rep", "digest"]), "shingles").select("rep", "comp", "digest", F.explode("shingles").alias("shingle"))
     alone = listed.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low = high").select("shingle")
-    own = listed.join(alone, "shingle", "left_semi").groupBy("rep").agg(F.count("*").alias("own"))
-    own = members.select("rep").distinct().join(own, "rep", "left").select("rep", F.coalesce("own", F.lit(0)).alias("own"))
-    left = written(left.join(sized, "rep").join(own, "rep", "left"), "unsettled_sized")
+    own = listed.join(alone, "shingle", "left_semi").groupBy("rep", "digest").agg(F.count("*").alias("own"))
+    own = members.select("rep").distinct().join(reps.select("rep", "digest").distinct(), "rep").join(own, ["rep", "digest"], "left").select("rep", "digest", F.coalesce("own", F.lit(0)).alias("own"))
+    left = written(left.distinct().join(sized, "rep").join(own, ["rep", "digest"], "left"), "unsettled_sized")
 
     def possible(x: str, y: str):
+        # Only the shingles of members were compared, so own says nothing of a pair with another text.
         most = F.least(F.col(f"{x}.n_shingles") - F.col(f"{x}.own"), F.col(f"{y}.n_shingles") - F.col(f"{y}.own"))
+        most = F.when(F.col(f"{x}.own").isNotNull() & F.col(f"{y}.own").isNotNull(), most)
         return F.coalesce(most * (100 + percent) >= (F.col(f"{x}.n_shingles") + F.col(f"{y}.n_shingles")) * percent, F.lit(True))
 
     across = left.alias("x").join(left.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") < F.col("y.rep")) & possible("x", "y") & close("x", "y"))

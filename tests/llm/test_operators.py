@@ -64,6 +64,25 @@ def test_near_duplicates_links_variants_of_one_text(spark):
     assert found == {i: find(i) for i in range(len(rows))}
 
 
+def test_near_duplicates_links_variants_that_stand_twice(spark):
+    rng, rows = random.Random(5), []
+    for i in range(150):
+        w = BASE.split()
+        for _ in range(rng.choice([1, 2, 3, 5, 8]) if i != 149 else 0):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    linked = [[b for b in range(len(rows)) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])] for a in range(len(rows))]
+    group = list(range(len(rows)))
+    for _ in group:
+        group = [min(group[b] for b in linked[a]) for a in range(len(rows))]
+    assert len(set(group)) < len(rows) - 5
+    # 90 holds two texts that no other row links with.
+    twice = [*rows, *rows, (90, prose(77, 120))]
+    found = near_dedup.near_duplicates(frame(spark, twice), percent=85).collect()
+    assert len(found) == len(twice) and {(r["doc_id"], r["component_id"]) for r in found} == {(i, group[i]) for i in range(len(rows))}
+
+
 @pytest.mark.parametrize("capacity", [1 << 20, 1])
 def test_line_dedup(spark, capacity):
     long, other = "This line is long enough to count as boilerplate", "Another line that is also long enough to be counted"
