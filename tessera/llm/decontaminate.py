@@ -6,6 +6,9 @@ the benchmark. Hits of one copy lie on one diagonal (document position minus ite
 placeholders must be consistent: one benchmark value stands for one document value throughout. Diagonals that fail
 are no copies. An item is found in a document if enough of its windows hold.
 
+What is a name is told by letter case and blanks, which copies change. So each window has a second hash of its bare
+words in lower case, and holds if either hash is met; bare windows hold whatever part of them is numbers or names.
+
 The benchmark's windows are counted before they are sent to every task; beyond MOST_SENT they are joined by a
 shuffle instead. Documents are read once, only hits travel. Everything is DataFrame functions.
 
@@ -37,12 +40,15 @@ MARK = "\u0001"
 
 
 def slots(text: Column) -> Column:
-    """The words of a text in lower case; names, numbers and units are marked with their type and value."""
+    """The words of a text in lower case; names, numbers and units are marked with their type and value.
+
+    Where words begin and end doesn't depend on case or on the kind of space, so bare words have the same positions.
+    """
     text = F.regexp_replace(text, MARK, " ")
     text = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;][ \n])(\p{Lu}[\p{L}\p{N}]*)", f"{MARK}n$1")
     text = F.regexp_replace(text, r"(?<![\p{L}\p{N}])([0-9]+)(?:[.,]([0-9]+))?(?![0-9])", f"{MARK}d$1p$2 ")
     text = F.regexp_replace(text, rf"(?<={MARK}d[0-9]{{1,18}}p[0-9]{{0,18}} {{1,2}})({'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", f"{MARK}u$1")
-    return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{MARK}]+"), "")
+    return F.array_remove(F.split(F.lower(F.upper(text)), rf"[^\p{{L}}\p{{N}}{MARK}]+"), "")
 
 
 def templates(words: Column) -> Column:
@@ -50,11 +56,12 @@ def templates(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.when(w.startswith(MARK), F.substring(w, 1, 2)).otherwise(w)))
 
 
-def _window(width: int) -> tuple[Column, Column, Column]:
-    """Hash of the template, number of words that aren't placeholders, and the words with the placeholders' values."""
+def _window(width: int) -> tuple[Column, Column, Column, Column]:
+    """Hashes of the template and of the bare words, number of words that aren't placeholders, and the words with the placeholders' values."""
     words = [F.col(f"w{k}") for k in range(width)]
     literal = sum((F.when(w.startswith(MARK), 0).otherwise(1) for w in words), F.lit(0))
-    return F.xxhash64(F.lit(width), *(F.col(f"h{k}") for k in range(width))), literal, F.array(*words)
+    bare = [F.when(w.startswith(MARK), F.xxhash64(F.substring(w, 3, 1 << 30))).otherwise(F.col(f"h{k}")) for k, w in enumerate(words)]
+    return F.xxhash64(F.lit(width), *(F.col(f"h{k}") for k in range(width))), F.xxhash64(F.lit(width), *bare), literal, F.array(*words)
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -65,33 +72,43 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     found = []
     for width in widths or [WIDTH]:
-        key, literal, words = _window(width)
-        wanted = windows(items.where(F.col("width") == width), F.col("words"), width, ["item_id"], templates).where(literal >= min(LITERAL, width - 1))
-        wanted = wanted.select(key.alias("key"), "item_id", F.col("pos").alias("at"), words.alias("theirs"))
+        key, bare, literal, words = _window(width)
+        wanted = windows(items.where(F.col("width") == width), F.col("words"), width, ["item_id"], templates)
+        wanted = wanted.select(key.alias("key"), bare.alias("bare"), (literal >= min(LITERAL, width - 1)).alias("template"), "item_id", F.col("pos").alias("at"), words.alias("theirs"))
+        either = F.array(F.struct("key", "template"), F.struct(F.col("bare").alias("key"), F.lit(False).alias("template")))
+        either = F.filter(either, lambda e: e["template"] | ((e["key"] == F.col("bare")) & ~(F.col("template") & (F.col("key") == F.col("bare")))))
+        wanted = wanted.select(F.explode(F.array_distinct(either)).alias("e"), "item_id", "at", "theirs").select("e.key", "e.template", "item_id", "at", "theirs")
         if wanted.count() <= MOST_SENT:
             wanted = F.broadcast(wanted)
-        seen = windows(docs, slots(F.col("text")), width, ["doc_id", "sha"], templates).select("doc_id", "sha", "pos", key.alias("key"), words.alias("ours"))
+        seen = windows(docs, slots(F.col("text")), width, ["doc_id", "sha"], templates).select("doc_id", "sha", "pos", key.alias("key"), bare.alias("bare"), words.alias("ours"))
+        keys = F.when(F.col("key") == F.col("bare"), F.array("key")).otherwise(F.array("key", "bare"))
+        seen = seen.select("doc_id", "sha", "pos", F.explode_outer(keys).alias("key"), "ours")
         found.append(seen.join(wanted, "key"))
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
 
-    marked = F.filter(F.arrays_zip("theirs", "ours"), lambda p: p["theirs"].startswith(MARK))
-    hits = hits.select("doc_id", "sha", "item_id", "pos", "at", marked.alias("slots"), (F.col("theirs") == F.col("ours")).alias("same"))
-    diagonals = hits.groupBy("doc_id", "sha", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), F.collect_list("slots").alias("slots"), F.bool_and("same").alias("same"), F.min("pos").alias("first"))
+    # Bare windows are equal words, so only templates can be inconsistent.
+    marked = F.filter(F.arrays_zip("theirs", "ours"), lambda p: F.col("template") & p["theirs"].startswith(MARK))
+    same = ~F.col("template") | (F.col("theirs") == F.col("ours"))
+    hits = hits.select("doc_id", "sha", "item_id", "pos", "at", "template", marked.alias("slots"), same.alias("same"))
+    of_template = F.collect_set(F.when(F.col("template"), F.col("at"))).alias("template_ats")
+    diagonals = hits.groupBy("doc_id", "sha", "item_id", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"), of_template, F.collect_list("slots").alias("slots"), F.bool_and("same").alias("same"), F.min("pos").alias("first"))
     diagonals = diagonals.withColumn("slots", F.array_distinct(F.flatten("slots")))
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda p: p["theirs"])))
+    positions = lambda ats: F.size(F.array_distinct(F.flatten(F.collect_list(ats)))).cast("long")
     per_item = diagonals.where(consistent).groupBy("doc_id", "sha", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_held"), F.max(F.size("slots")).cast("long").alias("n_slots"), F.bool_and("same").alias("verbatim"), F.min("first").cast("long").alias("first_word"),
+        positions("ats").alias("n_held"), positions("template_ats").alias("template_held"), F.max(F.size("slots")).cast("long").alias("n_slots"), F.bool_and("same").alias("verbatim"), F.min("first").cast("long").alias("first_word"),
     )
     sizes = []
     for width in widths or [WIDTH]:
-        _, literal, _ = _window(width)
-        sized = windows(items.where(F.col("width") == width), F.col("words"), width, ["item_id"], templates).where(literal >= min(LITERAL, width - 1))
-        sizes.append(sized.select("item_id", "pos"))
+        _, _, literal, _ = _window(width)
+        sized = windows(items.where(F.col("width") == width), F.col("words"), width, ["item_id"], templates)
+        sizes.append(sized.select("item_id", "pos", F.when(literal >= min(LITERAL, width - 1), F.col("pos")).alias("template_pos")))
     sized = sizes[0]
     for more in sizes[1:]:
         sized = sized.union(more)
-    sized = sized.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"))
-    held = per_item.join(sized, "item_id").where(F.col("n_held") >= F.least(F.lit(HOLD), F.col("n_windows")))
+    sized = sized.groupBy("item_id").agg(F.countDistinct("pos").alias("n_windows"), F.countDistinct("template_pos").alias("n_templates"))
+    by_template = (F.col("n_templates") > 0) & (F.col("template_held") >= F.least(F.lit(HOLD), F.col("n_templates")))
+    held = per_item.join(sized, "item_id").where(by_template | (F.col("n_held") >= F.least(F.lit(HOLD), F.col("n_windows"))))
     return held.groupBy("doc_id", "item_id").agg(F.max("n_held").alias("n_held"), F.max("n_windows").alias("n_windows"), F.max("n_slots").alias("n_slots"), F.bool_or("verbatim").alias("verbatim"), F.min("first_word").alias("first_word"))

@@ -137,6 +137,19 @@ def test_decontamination(spark):
     assert decontaminate.find_benchmark(frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_copies_of_other_case_and_spacing(spark):
+    named = "In spring Anna, Berta, Carla, Doris, Emma, Frida, Greta, Hanna, Ida and Jutta met by the Straße"
+    plain = "in spring the women, men, cats, dogs, cows, pigs, hens, geese, ducks and mice met by the river"
+    numbers = "sum of 3 14 15 92 65 35 89 79 32 38 46 and 26 in total"
+    bench = spark.createDataFrame([(1, named), (2, plain), (3, numbers), (4, "add 7 12 5")], "item_id long, text string")
+    spaced = [lambda t, s=s: t.replace(", ", f",{s}").replace(" ", s) for s in ("\t", "\r\n", "  ")]
+    changes = [str, str.upper, str.lower, *spaced]
+    rows = [(10 * k + i, f"{prose(k, 20)} {change(item)} {prose(k + 50, 20)}") for k, change in enumerate(changes) for i, item in ((1, named), (2, plain), (3, numbers), (4, "add 7 12 5"))]
+    rows += [(100, numbers.replace("3", "4").replace("5", "8")), (101, prose(99, 100)), (102, "add 8 13 6")]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_benchmark(frame(spark, rows), bench).collect()}
+    assert {(d, d % 10) for d, _ in rows if d < 100} == {x for x in found if x[0] < 100} and not {100, 101, 102} & {d for d, _ in found}
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License."), (2, "Licensed under the Apache License, Version 2.0. CC-BY-NC; under the mit license"), (3, prose(1, 30)), (4, None), (5, "under the"), (1, "Released under the MIT License."), (6, "Redistribution and use in source and (modified) binary forms with or without modification are permitted"), (7, "licensed under the GNU General Public License, version 3")]
     found = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
