@@ -6,12 +6,14 @@ with ranks) over compact arrays of fingerprints, counts and last documents. A se
 probes the arrays; lines are never joined to lines.
 
 The arrays that every task gets hold at most `capacity` hashes, the most frequent ones, so their size has a fixed
-bound. Hashes beyond it are rarer than those, so none of them is hot: their shards meet the documents' probes by
-shard number in a cogroup. Where the whole index fits, that second way has nothing to do.
+bound. Hashes beyond it are rarer than those, so none of them is hot: each of their shards is one row, and the probes
+that the arrays of every task can't answer are sorted behind it and stream past it, SALTS tasks to a shard. Where the
+whole index fits, that second way has nothing to do; both ways give the same rows. A hash that too few documents hold
+is in no shard, so its probe fails the fingerprint: the arrays hold what can be dropped, not every line of the corpus.
 
 Defined results: null or empty text = one empty line; rows with a null doc_id aren't counted and never hold the
-copy that stays; rows with equal doc_id count once as a document and are each returned; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+copy that stays; rows with equal doc_id count once as a document and are each returned; doc_ids are exact over all of
+a long's range; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import pickle
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,8 @@ BLANK = " \t\n\x0b\x0c\r"
 SHARDS = 64
 #: Most hashes in the arrays that go to every task (about 25 bytes each).
 CAPACITY = 1 << 20
+#: Hashes in a shard of the second way, and tasks that a shard's probes are dealt to.
+SHARD_HASHES, SALTS = 8192, 8
 
 
 def line_key(line: str, min_chars: int) -> tuple[int, int] | None:
@@ -84,10 +89,10 @@ class PerfectHash:
         return rank
 
     def probe(self, hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(known, last document) of each key; what the index doesn't hold fails the fingerprint."""
+        """(documents that hold it, last document) of each key; what the index doesn't hold fails the fingerprint and counts 0."""
         rank = self._ranks(self._keys(hi, lo))
         known = (rank >= 0) & (self.fingerprints[rank] == lo)
-        return known, self.last[rank]
+        return np.where(known, self.counts[rank], 0), self.last[rank]
 
 
 def shard_of(hi: np.ndarray, shards: int = SHARDS) -> np.ndarray:
@@ -98,8 +103,8 @@ def _shard(shards: int):
     return F.expr(f"pmod(shiftrightunsigned(hi, 7), {shards})")
 
 
-def line_keys(min_chars: int, once: bool):
-    """A function for mapInArrow: documents to (hi, lo, doc_id) of each distinct line key of a row."""
+def line_keys(min_chars: int):
+    """A function for mapInArrow: (doc_id, text) to (hi, lo, doc_id) of each distinct line key of a row with a doc_id."""
 
     def emit(batches):
         for batch in batches:
@@ -107,7 +112,7 @@ def line_keys(min_chars: int, once: bool):
                 part = batch.slice(at, 512)
                 his, los, ids = [], [], []
                 for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    if i is None and once:
+                    if i is None:
                         continue
                     for key in {k for line in text.split("\n") if (k := line_key(line, min_chars))}:
                         his.append(key[0]), los.append(key[1]), ids.append(i)
@@ -116,7 +121,54 @@ def line_keys(min_chars: int, once: bool):
     return emit
 
 
-def renderer(index, min_chars: int, routed: bool):
+def unanswered(index, min_chars: int):
+    """A function for mapInArrow: (doc_id, text, row) to the probes (hi, lo, doc_id, row) that the arrays of every task can't answer."""
+
+    def others(batches):
+        shards = {k: pickle.loads(blob) for k, blob in index.value.items()}
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                his, los, of = [], [], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    for key in {k for line in text.split("\n") if (k := line_key(line, min_chars))}:
+                        his.append(key[0]), los.append(key[1]), of.append(i)
+                hi, lo, of = (np.array(x, np.int64) for x in (his, los, of))
+                rest, shard = np.ones(len(hi), bool), shard_of(hi)
+                for s in np.unique(shard):
+                    if s in shards:
+                        rows = np.flatnonzero(shard == s)
+                        rest[rows] = shards[s].probe(hi[rows], lo[rows])[0] == 0
+                rows = pa.array(of[rest])
+                yield pa.RecordBatch.from_arrays([pa.array(hi[rest]), pa.array(lo[rest]), part.column(0).take(rows), part.column(2).take(rows)], names=["hi", "lo", "doc_id", "row"])
+
+    return others
+
+
+def judged(min_docs: int):
+    """A function for mapInArrow: rows in order of shard, each shard's index before its probes, to the probes whose line goes."""
+
+    def judge(batches):
+        shard = index = None
+        for batch in batches:
+            of, made = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
+            starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))) if len(of) else []
+            for a, b in zip(starts, [*starts[1:], len(of)], strict=True):
+                if of[a] != shard:
+                    shard, index = of[a], None
+                while a < b and made[a].is_valid:  # one for each salt that came here
+                    index, a = pickle.loads(made[a].as_py()), a + 1
+                if index is None or a == b:
+                    continue
+                part = batch.slice(a, b - a).select(["hi", "lo", "doc_id", "row"])
+                n, last = index.probe(*(part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+                goes = pc.fill_null(pc.not_equal(part.column(2), pa.array(last)), True)
+                yield part.filter(pc.and_(pa.array(n >= min_docs), goes))
+
+    return judge
+
+
+def renderer(index, min_chars: int, min_docs: int, routed: bool):
     """A function for mapInArrow: documents (and verdicts from routed shards) to documents without dropped lines."""
 
     def render(batches):
@@ -133,8 +185,9 @@ def renderer(index, min_chars: int, routed: bool):
                 for s in np.unique(shard):
                     if s in shards:
                         rows = np.flatnonzero(shard == s)
-                        known, last = shards[s].probe(hi[rows], lo[rows])
-                        for r, held_by in zip(rows[known], last[known], strict=True):
+                        n, last = shards[s].probe(hi[rows], lo[rows])
+                        often = n >= min_docs
+                        for r, held_by in zip(rows[often], last[often], strict=True):
                             _, d, n = flat[r]
                             if ids[d] is None or ids[d] != held_by:
                                 dropped[d].add(n)
@@ -154,21 +207,11 @@ def _built(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "index": [pickle.dumps(made)]})
 
 
-def _routed(requests: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
-    """Verdicts of one shard: the requests (hi, lo, doc_id) whose line goes."""
-    if entries.empty or requests.empty:
-        return requests[["doc_id", "hi", "lo"]].iloc[:0]
-    index = PerfectHash(*(entries[c].to_numpy(np.int64) for c in ("hi", "lo", "n", "last")))
-    known, last = index.probe(requests["hi"].to_numpy(np.int64), requests["lo"].to_numpy(np.int64))
-    return requests[known & ~(requests["doc_id"] == last).fillna(False).to_numpy(bool)][["doc_id", "hi", "lo"]]
-
-
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), capacity: int = CAPACITY) -> DataFrame:
     """doc_id, text (without the dropped lines), n_lines, n_dropped and the columns named in carry for every row of docs."""
     docs = texts(docs, id_col, text_col, carry)
     spark = docs.sparkSession
-    pairs = docs.select("doc_id", "text")
-    held = pairs.mapInArrow(line_keys(min_chars, True), "hi long, lo long, doc_id long")
+    held = docs.select("doc_id", "text").mapInArrow(line_keys(min_chars), "hi long, lo long, doc_id long")
     counted = held.groupBy("hi", "lo").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= min_docs)
     counted = written(counted, "frequent_lines")
 
@@ -179,32 +222,20 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5,
         if room < 0:
             least = 2 ** (e + 1)
             break
-    heavy = counted.where(F.col("n") >= least).withColumn("shard", _shard(SHARDS))
-    index = {r["shard"]: bytes(r["index"]) for r in heavy.groupBy("shard").applyInPandas(_built, "shard long, index binary").collect()}  # capacity bounds it
+    build = lambda df, shards: df.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(_built, "shard long, index binary")
+    index = {r["shard"]: bytes(r["index"]) for r in build(counted.where(F.col("n") >= least), SHARDS).collect()}  # capacity bounds it
     shared = spark.sparkContext.broadcast(index)
 
     if least:
-        shards = max(SHARDS, sum(sizes.values()) // 50_000)
-        entries = counted.where(F.col("n") < least).withColumn("shard", _shard(shards))
-        requests = pairs.mapInArrow(line_keys(min_chars, False), "hi long, lo long, doc_id long").mapInArrow(unanswered(shared), "hi long, lo long, doc_id long").withColumn("shard", _shard(shards))
-        verdicts = requests.groupBy("shard").cogroup(entries.groupBy("shard")).applyInPandas(_routed, "doc_id long, hi long, lo long")
-        verdicts = verdicts.groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("hi", "lo")).alias("gone"))
-        docs = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("of")), "left").select("doc_id", "text", *carry, "gone")
-    return docs.mapInArrow(renderer(shared, min_chars, bool(least)), "doc_id long, text string, n_lines long, n_dropped long" + ddl(docs, carry))
-
-
-def unanswered(index):
-    """A function for mapInArrow: the requests that the arrays of every task can't answer."""
-
-    def others(batches):
-        shards = {k: pickle.loads(blob) for k, blob in index.value.items()}
-        for batch in batches:
-            hi, lo = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            rest, shard = np.ones(len(hi), bool), shard_of(hi)
-            for s in np.unique(shard):
-                if s in shards:
-                    rows = np.flatnonzero(shard == s)
-                    rest[rows] = ~shards[s].probe(hi[rows], lo[rows])[0]
-            yield batch.filter(pa.array(rest))
-
-    return others
+        # The text's hash tells rows of a null doc_id apart: equal texts have equal verdicts.
+        docs = docs.withColumn("_row", F.xxhash64("text"))
+        shards = max(SHARDS, sum(sizes.values()) // SHARD_HASHES)
+        probes = docs.select("doc_id", "text", "_row").mapInArrow(unanswered(shared, min_chars), "hi long, lo long, doc_id long, row long")
+        probes = probes.select(_shard(shards).cast("long").alias("shard"), F.lit(None).cast("binary").alias("index"), "hi", "lo", "doc_id", "row", F.pmod(F.xxhash64("doc_id", "row", "lo"), F.lit(SALTS)).cast("int").alias("salt"))
+        none = [F.lit(None).cast("long").alias(c) for c in ("hi", "lo", "doc_id", "row")]
+        entries = build(counted.where(F.col("n") < least), shards).select("shard", "index", *none, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        met = entries.union(probes).repartition("shard", "salt").sortWithinPartitions("shard", F.col("index").isNull())
+        verdicts = met.select("shard", "index", "hi", "lo", "doc_id", "row").mapInArrow(judged(min_docs), "hi long, lo long, doc_id long, row long")
+        verdicts = verdicts.groupBy(F.col("doc_id").alias("_of"), F.col("row").alias("_of_row")).agg(F.collect_set(F.struct("hi", "lo")).alias("_gone"))
+        docs = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row")), "left").select("doc_id", "text", *carry, "_gone")
+    return docs.mapInArrow(renderer(shared, min_chars, min_docs, bool(least)), "doc_id long, text string, n_lines long, n_dropped long" + ddl(docs, carry))
