@@ -6,10 +6,11 @@ the blob, and the findings are joined back to all of them. A second run over the
 rule version scans every blob once more.
 
 Texts travel only to meet the list of unseen blobs; equal contents are one blob, so large groups of copies cost one
-scan. Blobs without findings stay in the ledger but take no part in the last join.
+scan, and rows that repeat a path and its blob are merged before they travel. Blobs without findings stay in the
+ledger but take no part in the last join.
 
 Defined results: a null text is the empty blob; a null path is a path like any other; repeated rows are each
-returned; an empty table gives an empty result and leaves the ledger as it is; other columns are ignored.
+returned, their blob is scanned once; an empty table gives an empty result and leaves the ledger as it is; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import new_path, texts
+from tessera.llm._common import new_path, texts, written
 
 # The kinds in the order that ties in a list of spans take.
 KINDS = ["assign", "access", "hex", "private_key", "jwt", "credential_url", "service_token"]
@@ -78,18 +79,20 @@ def scan_versions(versions: DataFrame, ledger_path: str | None = None, rules: st
     ledger_path: a Parquet folder that all executors share; it grows by the pairs this call scans. A new, empty
     ledger if None.
     """
+    # A path as text is never null, so that paths and blobs partition one shuffle alike.
+    path = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("path")
     versions = texts(versions, path_col, text_col)
     spark = versions.sparkSession
-    addressed = versions.select("doc_id", F.sha2("text", 256).alias("blob"))
+    addressed = versions.select("doc_id", path, F.sha2("text", 256).alias("blob"))
     ledger_path = ledger_path or new_path(spark, "ledger")
     spark.createDataFrame([], SCHEMA).write.mode("append").parquet(ledger_path)
     ledger = spark.read.schema(SCHEMA).parquet(ledger_path)
 
-    unseen = addressed.groupBy("blob").agg(F.min("doc_id").alias("holder"))
-    unseen = unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
-    # One holder's text stands for the blob; a path may hold several blobs, so the address is checked too.
-    held = versions.withColumn("sha", F.sha2("text", 256)).join(unseen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder")) & (F.col("sha") == F.col("blob")))
-    scanned = held.select("blob", "text").mapInArrow(scanner(rules), SCHEMA)
+    unseen = addressed.groupBy("blob").agg(F.min("path").alias("path"))
+    unseen = written(unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti"), "unseen")
+    # One path's text stands for the blob; rows that repeat both are one row before they are scanned.
+    each = versions.select(path, F.sha2("text", 256).alias("blob"), "text").groupBy("path", "blob").agg(F.first("text").alias("text"))
+    scanned = each.join(unseen, ["path", "blob"]).select("blob", "text").mapInArrow(scanner(rules), SCHEMA)
     scanned.write.mode("append").parquet(ledger_path)
 
     found = spark.read.schema(SCHEMA).parquet(ledger_path).where((F.col("rules") == rules) & (F.col("spans") != ""))
