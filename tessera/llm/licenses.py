@@ -8,8 +8,10 @@ merged, and a merged span is verified by the share of the template's words that
 The document side is never shuffled: the k-grams of the templates are a table of fixed, counted size that goes to
 every task, and only hits travel. Everything is DataFrame functions.
 
-Defined results: null or empty text = no words, no labels, score 0; rows equal in doc_id and text give one result
-row, rows with equal doc_id and other texts one each (null doc_id is a value like any other); an empty table gives
+A gram's hash only finds it: hits are taken if the words themselves are equal.
+
+Defined results: null or empty text = no words, no labels, score 0; repeated rows are each returned, rows with equal
+doc_id and other texts are judged each by its own (null doc_id is a value like any other); an empty table gives
 an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -36,21 +38,69 @@ PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-#: Notices that may be quoted with small changes.
+# Notices and paragraphs of license texts that may be quoted with small changes, each a template of its
+# own, with their labels.
 NOTICES = [
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
+    ("to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so", "mit"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "mit"),
+    ("licensed under the mit license", "mit"),
+    ("released under the mit license", "mit"),
+    ("distributed under the mit license", "mit"),
+    ("the mit license mit", "mit"),
+    ("spdx license identifier mit", "mit"),
     ("licensed under the apache license version 2 0", "apache-2"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
     ("you may not use this file except in compliance with the license", "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "apache-2"),
+    ("apache license 2 0", "apache-2"),
+    ("apache 2 0 license", "apache-2"),
+    ("apache software license 2 0", "apache-2"),
+    ("spdx license identifier apache 2 0", "apache-2"),
     ("licensed under the gnu general public license version 3", "gpl-3"),
     ("gnu general public license version 3", "gpl-3"),
+    ("gnu general public license v3", "gpl-3"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gpl-3"),
+    ("gpl v3 licensed", "gpl-3"),
+    ("gpl v3 license", "gpl-3"),
+    ("under the gpl v3", "gpl-3"),
+    ("under the gplv3", "gpl-3"),
+    ("spdx license identifier gpl 3 0", "gpl-3"),
     ("gnu general public license version 2", "gpl-2"),
-    ("gnu lesser general public license version", "lgpl"),
-    ("gnu affero general public license version 3", "agpl-3"),
+    ("gnu general public license v2", "gpl-2"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "gpl-2"),
+    ("gpl v2 licensed", "gpl-2"),
+    ("gpl v2 license", "gpl-2"),
+    ("under the gpl v2", "gpl-2"),
+    ("spdx license identifier gpl 2 0", "gpl-2"),
+    ("gnu lesser general public license", "lgpl"),
+    ("spdx license identifier lgpl", "lgpl"),
+    ("gnu affero general public license", "agpl-3"),
+    ("spdx license identifier agpl 3 0", "agpl-3"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd"),
+    ("this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "bsd"),
+    ("under the bsd license", "bsd"),
+    ("spdx license identifier bsd 3 clause", "bsd"),
+    ("spdx license identifier bsd 2 clause", "bsd"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    ("mozilla public license version 2 0", "mpl-2"),
+    ("spdx license identifier mpl 2 0", "mpl-2"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("spdx license identifier isc", "isc"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib"),
+    ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "zlib"),
+    ("eclipse public license v 2 0", "epl-2"),
+    ("boost software license version 1 0", "bsl-1"),
     ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
+    ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
+    ("cc0 1 0 universal", "cc0"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
     ("released into the public domain", "public-domain"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
@@ -69,26 +119,31 @@ def words(text: Column) -> Column:
 
 def templates(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     rows = [(i, text, label, base) for i, (text, label, base) in enumerate([(*p, True) for p in phrases] + [(*n, False) for n in notices])]
-    return spark.createDataFrame(rows, "template int, text string, label string, base boolean")
+    values = ", ".join(f"({i}, '{text}', '{label}', {str(base).lower()})" for i, text, label, base in rows)  # words and labels hold no quotes
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(template, text, label, base)")
+
+
+_words = [f"w{k}" for k in range(K)]
 
 
 def gram() -> Column:
-    return F.xxhash64(*(F.col(f"w{k}") for k in range(K)))
+    return F.xxhash64(*_words)
 
 
 def scan_licenses(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
+    """A row for each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     table: template int, text, label, base (count every verbatim place) of at least K words each.
     """
     docs = texts(docs, id_col, text_col).withColumn("sha", F.xxhash64("text"))
     table = templates(docs.sparkSession) if table is None else table
     known = table.withColumn("tw", words(F.col("text")))
-    grams = windows(known, F.col("tw"), K, ["template"]).where("pos is not null").select("template", F.col("pos").alias("at"), gram().alias("gram"))
+    grams = windows(known, F.col("tw"), K, ["template"]).where("pos is not null").select("template", F.col("pos").alias("at"), gram().alias("gram"), F.array(*_words).alias("theirs"))
     if grams.count() <= MOST_SENT:
         grams = F.broadcast(grams)
 
-    hits = windows(docs, words(F.col("text")), K, ["doc_id", "sha"]).select("doc_id", "sha", "pos", gram().alias("gram")).join(grams, "gram")
+    hits = windows(docs, words(F.col("text")), K, ["doc_id", "sha"]).select("doc_id", "sha", "pos", gram().alias("gram"), *_words)
+    hits = hits.join(grams, "gram").where(F.array(*_words) == F.col("theirs"))
     hits = hits.groupBy("doc_id", "sha", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
     lengths = known.select("template", "label", "base", F.size("tw").alias("n"))
     hits = hits.join(F.broadcast(lengths), "template")
@@ -112,7 +167,7 @@ def scan_licenses(docs: DataFrame, table: DataFrame | None = None, id_col: str =
         F.max("share").alias("score"), F.array_sort(F.collect_list(F.when(F.col("held"), F.struct("first", "end", "label")))).alias("spans"),
     )
 
-    sized = docs.select("doc_id", "sha", F.size(words(F.col("text"))).cast("long").alias("n_words")).groupBy("doc_id", "sha").agg(F.max("n_words").alias("n_words"))
+    sized = docs.select("doc_id", "sha", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     found = sized.alias("s").join(per_doc.alias("p"), F.col("s.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("s.sha") == F.col("p.sha")), "left")
     none = F.lit("")
     return found.select(
