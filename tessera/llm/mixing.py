@@ -28,8 +28,9 @@ from tessera.llm._common import written
 MOST_BLOCKS = 20_000
 LEAST_BLOCK = 50_000
 GRID, ROUNDS = 32, 5
-#: More sources than this, and the blocks are joined by a shuffle.
+#: More sources than this, and they meet their documents by a shuffle, each dealt to SALTS tasks.
 MOST_SOURCES = 200_000
+SALTS = 32  # order's low five bits; the others choose the block
 
 
 def hashed(*parts: Column) -> Column:
@@ -102,7 +103,16 @@ def mixed(docs: DataFrame, entropy: float = 0.95, max_repeats: float = 4.0, budg
 
     small = n_sources <= MOST_SOURCES
     sent = F.broadcast if small else (lambda df: df)
-    dealt = base.join(sent(plan), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.col("order") % F.col("blocks"))
+
+    def of_source(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+        """rows with their source's row of table; a source's rows are dealt to SALTS tasks where the table isn't sent to all."""
+        same = F.col("source").eqNullSafe(F.col(name))
+        if small:
+            return rows.join(F.broadcast(table), same)
+        salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return rows.join(salted, same & (F.pmod("order", F.lit(SALTS)) == F.col("salt"))).drop("salt")
+
+    dealt = of_source(base, plan, "of").withColumn("block", F.shiftright("order", 5) % F.col("blocks"))
     blocks = dealt.groupBy("of", "block").agg(F.sum("n_tokens").alias("held"), F.first("epochs").alias("epochs"), F.first("rest").alias("rest"), F.first("weight").alias("weight"), F.first("blocks").alias("blocks"))
     rank = lambda epoch: F.row_number().over(Window.partitionBy("of", epoch).orderBy(hashed(F.lit(seed), F.col("of"), epoch, F.col("block")), "block")).cast("long")
     # Each block once for every epoch; the last epoch is the partial one.
@@ -122,9 +132,9 @@ def mixed(docs: DataFrame, entropy: float = 0.95, max_repeats: float = 4.0, budg
     last = F.when(F.col("room") < F.col("held"), F.coalesce("last", F.lit(-1)))
     per_block = turns.groupBy("of", "block").agg(F.collect_list(F.struct("epoch", "block_rank", last.alias("last"))).alias("turns"), F.first("weight").alias("weight"))
     per_block = per_block.withColumnRenamed("block", "of_block")
-    counts = sent(plan.select(F.col("of").alias("of_source"), "blocks"))
-    ordered = docs.where("n_tokens > 0").withColumn("order", hashed(F.lit(seed), F.col("doc_id"))).join(counts, F.col("source").eqNullSafe(F.col("of_source")))
-    ordered = ordered.withColumn("block", F.col("order") % F.col("blocks"))
+    counts = plan.select(F.col("of").alias("of_source"), "blocks")
+    ordered = of_source(docs.where("n_tokens > 0").withColumn("order", hashed(F.lit(seed), F.col("doc_id"))), counts, "of_source")
+    ordered = ordered.withColumn("block", F.shiftright("order", 5) % F.col("blocks"))
     drawn = ordered.join(sent(per_block), F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
     drawn = drawn.select("doc_id", "source", "n_tokens", "order", "block", "weight", *carry, F.explode(F.filter("turns", lambda t: t["last"].isNull() | (F.col("order") <= t["last"]))).alias("t"))
     return drawn.select("doc_id", "source", "n_tokens", F.col("t.epoch").alias("epoch"), "block", F.col("t.block_rank").alias("block_rank"), "weight", *carry)
