@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\p{N}_]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -58,12 +60,58 @@ def slug(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
 
 
-def word_windows(text: Column, size: int = 300, overlap: int = 40) -> Column:
-    """Arrays of `size` words; the next begins `overlap` words before the last ends; no window of overlap only."""
-    words = F.filter(F.split(text, BLANK), lambda w: w != "")
-    n, step = F.size(words), size - overlap
-    starts = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(step)))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda s: F.slice(words, s + 1, size))
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, BLANK), lambda w: w != "")
+
+
+def windowed(df: DataFrame, keys: list[str], text: str, size: int = 300, overlap: int = 40) -> DataFrame:
+    """keys, i and ws: arrays of `size` words; the next begins `overlap` words before the last ends; no window of overlap only.
+
+    A text is split once, in a projection of its own, and its windows are slices of that.
+    """
+    df = df.select(*keys, words(F.col(text)).alias("_w"))
+    starts = F.when(F.size("_w") > 0, F.sequence(F.lit(0), F.greatest(F.size("_w") - overlap - 1, F.lit(0)), F.lit(size - overlap)))
+    cut = df.select(*keys, F.posexplode_outer(F.transform(starts, lambda s: F.slice("_w", s + 1, size))).alias("i", "ws"))
+    return cut.where("ws is not null").withColumn("i", F.col("i").cast("long"))
+
+
+def token_tail(text: Column, n: int = 60) -> Column:
+    """The text from its n-th last token on. Read backwards, tokens are the same runs, so the tail is a beginning."""
+    behind = F.regexp_extract(F.reverse(text), rf"^\s*(?:(?:[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s])\s*){{0,{n}}}", 0)
+    return F.regexp_replace(F.reverse(behind), r"^\s+|\s+$", "")
+
+
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """Unicode normal form C, for which Spark has no function."""
+    return text.str.normalize("NFC")
+
+
+NUMBER = r"(?<![\p{L}\p{N}_])(-?[0-9]+(?:[.,][0-9]+)?%?)"
+
+
+def numbers(text: Column) -> Column:
+    """Signed decimals with their percent sign, a comma as a point."""
+    return F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")))
+
+
+def citations(text: Column) -> Column:
+    """All ids cited as [S1], in order, with repeats."""
+    return F.regexp_extract_all(text, F.lit(r"\[(S[1-9][0-9]*)\]"), F.lit(1))
+
+
+def lexical_query(terms: Column) -> Column:
+    """Terms joined by OR, those of several words quoted, without characters of the query syntax, each once."""
+    safe = F.filter(F.transform(terms, lambda x: collapse(F.regexp_replace(normalized(x), r"[^\p{L}\p{N}_\s'-]", " "))), lambda x: x != "")
+    quoted = F.transform(safe, lambda x: F.when(x.contains(" "), F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x))
+    return F.array_join(F.array_distinct(quoted), " OR ")
+
+
+COMPARES = " (with|or|than) "
+
+
+def compares(text: Column, markers: str = COMPARES) -> Column:
+    return F.concat(F.lit(" "), search_text(text), F.lit(" ")).rlike(markers)
 
 
 def sentences(text: Column) -> Column:

@@ -1,118 +1,281 @@
-"""Lifecycle, incremental and retrieval-grounding jobs over the test tables."""
+"""Corpus versions, their readiness and lifecycle, incremental and embedding jobs, and the bounded crawl."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text as t
-from tessera.operators.textual import _TERMS
+from tessera.functions.embedding import hash_embed
 from tessera.registry import query, table
+from tessera.sources.sinks import unseen
+
+# What keeps a corpus version from being activated, in order.
+FINDINGS = (
+    "status_not_validating_or_archived",
+    "processing_not_passed",
+    "embedding_not_passed",
+    "chunk_count_mismatch",
+    "page_coverage_mismatch",
+    "current_page_coverage_mismatch",
+    "missing_embeddings",
+    "stale_revisions",
+    "invalid_chunk_metadata",
+)
+
+
+def readiness(versions: DataFrame, chunks: DataFrame, pages: DataFrame, current: bool = True) -> DataFrame:
+    """version, ready, findings, n_pages, n_chunks, missing, stale of every version.
+
+    versions: version, status, manifest (map), chunk_count, page_count. chunks: version, page_id, embedded, blank (some
+    metadata is missing). pages: page_id, is_active. current: whether all current revisions must be covered. A key that
+    a manifest lacks raises no finding.
+    """
+    held = chunks.join(pages, "page_id").groupBy("version").agg(
+        F.count_distinct("page_id").alias("n_pages"), F.count("*").alias("n_chunks"), F.count_if(~F.col("embedded")).alias("missing"), F.count_if(~F.col("is_active")).alias("stale"), F.count_if("blank").alias("invalid"),
+    )
+    active = pages.agg(F.count_if("is_active").alias("active"))  # one row
+    zero = F.lit(0).cast("long")
+    rows = versions.join(held, "version", "left").crossJoin(F.broadcast(active)).withColumns({c: F.coalesce(c, zero) for c in ("n_pages", "n_chunks", "missing", "stale", "invalid")})
+    told = lambda key: F.try_element_at("manifest", F.lit(key)) != "passed"
+    need = F.lit(current)
+    failed = [
+        ~F.col("status").isin("validating", "archived"), told("processing_status"), told("embedding_status"), (F.col("n_chunks") == 0) | (F.col("n_chunks") != F.col("chunk_count")), F.col("n_pages") != F.col("page_count"),
+        need & (F.col("n_pages") != F.col("active")), F.col("missing") > 0, need & (F.col("stale") > 0), F.col("invalid") > 0,
+    ]
+    rows = rows.withColumn("findings", F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in zip(FINDINGS, failed, strict=True)))))
+    return rows.select("version", (F.size("findings") == 0).alias("ready"), "findings", "n_pages", "n_chunks", "missing", "stale")
+
+
+def single_active(versions: DataFrame) -> DataFrame:
+    """active, n_active: the active version, if any; two of them are an error."""
+    row = versions.agg(F.max(F.when(F.col("status") == "active", F.col("version"))).alias("active"), F.count_if(F.col("status") == "active").alias("n_active"))
+    return row.where(F.assert_true(F.col("n_active") <= 1, "more than one active version").isNull())
+
+
+def _moved(versions: DataFrame, ready: DataFrame, wanted: DataFrame, required: str, needs_active: bool) -> DataFrame:
+    one = wanted.agg(F.count("*").alias("asked"), F.max("version").alias("target"))
+    states = versions.select(F.col("version").alias("v"), F.col("status").alias("was")).join(ready.select(F.col("version").alias("rv"), "ready"), F.col("v") == F.col("rv"), "left")
+    target = one.join(states, F.col("target") == F.col("v"), "left").crossJoin(single_active(versions))  # one row
+    none = F.col("target").isNull()
+    checks = {
+        "one version at a time": F.col("asked") <= 1, "the version does not exist": none | F.col("was").isNotNull(), f"the version must be {required}": none | (F.col("was") == required),
+        "the version is not ready": none | F.coalesce("ready", F.lit(False)), "no version is active": none | F.lit(not needs_active) | F.col("active").isNotNull(),
+    }
+    for text, holds in checks.items():
+        target = target.where(F.assert_true(holds, text).isNull())
+    target = target.select("target", "active")
+    rows = versions.crossJoin(F.broadcast(target))
+    rises, falls = F.coalesce(F.col("version") == F.col("target"), F.lit(False)), F.col("target").isNotNull() & (F.col("status") == "active")
+    status = F.when(rises, "active").when(falls, "archived").otherwise(F.col("status"))
+    return rows.select("version", status.alias("status"), F.when(rises, F.col("active")).alias("replaced"))
+
+
+def activated(versions: DataFrame, ready: DataFrame, wanted: DataFrame) -> DataFrame:
+    """version, status, replaced after the wanted version (one row, or none: nothing changes) has become active.
+
+    It must be validating and ready, and the active one, if any, is archived with it; anything else is an error and
+    leaves all as it is. ready: readiness with current revisions.
+    """
+    return _moved(versions, ready, wanted, "validating", False)
+
+
+def rolled_back(versions: DataFrame, ready: DataFrame, wanted: DataFrame) -> DataFrame:
+    """As activated, for an archived version that takes the place of the active one. ready: readiness without current revisions."""
+    return _moved(versions, ready, wanted, "archived", True)
+
+
+def _corpus(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Versions, chunks and pages: sources are versions of `documents`, whose last digit is the page; a few belong to a page that isn't current."""
+    page = F.when(F.col("doc_id") % 97 == 5, 100).otherwise(F.col("doc_id") % 10)
+    docs = table(spark, sf, "documents").where("source is not null").select(F.substring("source", 4, 9).cast("long").alias("version"), page.cast("long").alias("page_id"), "doc_id", (F.col("doc_id") % 211 != 3).alias("embedded"), ((F.trim(F.coalesce("text", F.lit(""))) == "") | F.col("lang").isNull()).alias("blank"))
+    pages = docs.select("page_id").union(spark.range(10).select("id")).union(spark.range(100, 101).select("id")).distinct().select("page_id", (F.col("page_id") < 10).alias("is_active"))
+    n = F.col("version")
+    status = F.when(n == 4, "active").when(n == 13, "building").when(n % 2 == 0, "validating").otherwise("archived")
+    manifest = F.map_filter(F.create_map(F.lit("processing_status"), F.when(n % 5 == 3, "failed").when(n % 5 != 4, "passed"), F.lit("embedding_status"), F.when(n % 7 == 6, "partial").otherwise("passed")), lambda _, v: v.isNotNull())
+    made = docs.groupBy("version").agg((F.count("*") + F.when(F.first("version") % 6 == 5, 1).otherwise(0)).alias("chunk_count"), (F.count_distinct("page_id") + F.when(F.first("version") % 9 == 8, 1).otherwise(0)).alias("page_count"))
+    return made.select("version", status.alias("status"), manifest.alias("manifest"), "chunk_count", "page_count"), docs, pages
+
+
+_V = """c0 AS (SELECT substr(source, 4)::BIGINT AS version, CASE WHEN doc_id % 97 = 5 THEN 100 ELSE doc_id % 10 END AS page_id, doc_id % 211 <> 3 AS embedded, trim(coalesce(text, '')) = '' OR lang IS NULL AS blank FROM documents WHERE source IS NOT NULL),
+v AS (SELECT version, CASE WHEN version = 4 THEN 'active' WHEN version = 13 THEN 'building' WHEN version % 2 = 0 THEN 'validating' ELSE 'archived' END AS status, count(*) AS n_chunks, count(DISTINCT page_id) AS n_pages, count(*) FILTER (NOT embedded) AS missing,
+ count(*) FILTER (page_id = 100) AS stale, count(*) FILTER (blank) AS invalid FROM c0 GROUP BY version)"""
+
+
+def _findings(current: bool) -> str:
+    more = ", CASE WHEN n_pages <> 10 THEN 'current_page_coverage_mismatch' END" if current else ""
+    stale = "CASE WHEN stale > 0 THEN 'stale_revisions' END, " if current else ""
+    return f"""list_filter([CASE WHEN status NOT IN ('validating', 'archived') THEN 'status_not_validating_or_archived' END, CASE WHEN version % 5 = 3 THEN 'processing_not_passed' END, CASE WHEN version % 7 = 6 THEN 'embedding_not_passed' END,
+ CASE WHEN version % 6 = 5 THEN 'chunk_count_mismatch' END, CASE WHEN version % 9 = 8 THEN 'page_coverage_mismatch' END{more}, CASE WHEN missing > 0 THEN 'missing_embeddings' END, {stale}CASE WHEN invalid > 0 THEN 'invalid_chunk_metadata' END], lambda x: x IS NOT NULL)"""
+
+
+_READY = f"r AS (SELECT *, {_findings(True)} AS findings, {_findings(False)} AS archived_findings FROM v)"
+
+
+@query(f"WITH {_V} SELECT count(*)::BIGINT AS versions, sum(n_chunks)::BIGINT AS chunks, sum(n_pages)::BIGINT AS pages, sum(missing)::BIGINT AS missing, sum(stale)::BIGINT AS stale FROM v")
+def agg_readiness_counts(spark, sf):
+    found = readiness(*_corpus(spark, sf))
+    return found.agg(F.count("*").alias("versions"), F.sum("n_chunks").alias("chunks"), F.sum("n_pages").alias("pages"), F.sum("missing").alias("missing"), F.sum("stale").alias("stale"))
+
+
+@query(f"WITH {_V}, {_READY} SELECT version, len(findings) = 0 AS ready, array_to_string(findings, ',') AS findings, array_to_string(archived_findings, ',') AS archived_findings FROM r")
+def agg_readiness_findings(spark, sf):
+    """With and without the need to cover current revisions."""
+    corpus = _corpus(spark, sf)
+    archived = readiness(*corpus, current=False).select("version", F.array_join("findings", ",").alias("archived_findings"))
+    return readiness(*corpus).join(archived, "version").select("version", "ready", F.array_join("findings", ",").alias("findings"), "archived_findings")
+
+
+@query(f"""WITH {_V}, {_READY}, t AS (SELECT min(version) AS t FROM r WHERE status = 'validating' AND len(findings) = 0)
+ SELECT version, CASE WHEN version = t THEN 'active' WHEN status = 'active' AND t IS NOT NULL THEN 'archived' ELSE status END AS status, CASE WHEN version = t THEN (SELECT max(version) FROM v WHERE status = 'active') END AS replaced FROM v, t""")
+def life_activate(spark, sf):
+    """The first version that may rise does."""
+    versions, chunks, pages = _corpus(spark, sf)
+    ready = readiness(versions, chunks, pages)
+    wanted = versions.where("status = 'validating'").join(ready.where("ready"), "version").agg(F.min("version").alias("version")).where("version is not null")
+    return activated(versions, ready, wanted)
 
-_EN = "WITH v AS (SELECT o_custkey AS version, CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 1 THEN 'validating' WHEN max(o_orderkey) % 2 = 0 THEN 'active' ELSE 'archived' END AS status FROM orders GROUP BY o_custkey)"
 
+@query(f"""WITH {_V}, {_READY}, t AS (SELECT min(version) AS t FROM r WHERE status = 'archived' AND len(archived_findings) = 0)
+ SELECT version, CASE WHEN version = t THEN 'active' WHEN status = 'active' AND t IS NOT NULL THEN 'archived' ELSE status END AS status, CASE WHEN version = t THEN (SELECT max(version) FROM v WHERE status = 'active') END AS replaced FROM v, t""")
+def life_rollback(spark, sf):
+    versions, chunks, pages = _corpus(spark, sf)
+    ready = readiness(versions, chunks, pages, current=False)
+    wanted = versions.where("status = 'archived'").join(ready.where("ready"), "version").agg(F.min("version").alias("version")).where("version is not null")
+    return rolled_back(versions, ready, wanted)
 
-def versions(spark, sf) -> DataFrame:
-    orders = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("version"))
-    return orders.agg(F.when(F.count_if(F.col("o_orderstatus") == "P") > 1, "validating").when(F.max("o_orderkey") % 2 == 0, "active").otherwise("archived").alias("status"))
 
+@query(f"WITH {_V} SELECT max(version) FILTER (status = 'active') AS active, count(*) FILTER (status = 'active')::BIGINT AS n_active FROM v")
+def life_single_active(spark, sf):
+    return single_active(_corpus(spark, sf)[0])
 
-def transitioned(states: DataFrame, wanted: DataFrame, required: str) -> DataFrame:
-    """version, status, changed: wanted versions in the required status become active, active ones beside them archived."""
-    marked = states.join(wanted.withColumn("wanted", F.lit(True)), "version", "left")
-    rises = F.coalesce("wanted", F.lit(False)) & (F.col("status") == required)
-    status = F.when(rises, "active").when(F.col("status") == "active", "archived").otherwise(F.col("status"))
-    return marked.select("version", status.alias("status"), (status != F.col("status")).alias("changed"))
 
+@query(f"WITH {_V} SELECT max(version) FILTER (status = 'active') AS active, count(*) FILTER (status = 'active')::BIGINT AS n_active, max(n_chunks) FILTER (status = 'active')::BIGINT AS chunks, count(*) FILTER (status = 'validating')::BIGINT AS validating, count(*) FILTER (status = 'archived')::BIGINT AS archived FROM v")
+def agg_corpus_status(spark, sf):
+    """One public row; two active versions are an error."""
+    versions = _corpus(spark, sf)[0]
+    of = lambda s: F.count_if(F.col("status") == s)
+    counts = versions.agg(F.max(F.when(F.col("status") == "active", F.col("chunk_count"))).alias("chunks"), of("validating").alias("validating"), of("archived").alias("archived"))
+    return single_active(versions).crossJoin(counts)  # one row each
 
-@query(_EN + " SELECT version, CASE WHEN version % 5 = 0 AND status = 'validating' THEN 'active' WHEN status = 'active' THEN 'archived' ELSE status END AS status FROM v")
-def life_activate(spark, sf):
-    states = versions(spark, sf)
-    return transitioned(states, states.where("version % 5 = 0").select("version"), "validating").select("version", "status")
 
+def synced(stored: DataFrame, fetched: DataFrame, keys: list[str], revision: str) -> DataFrame:
+    """The new state of a table of revisions: keys, revision, is_active, change and attributed, after fetched ones are kept.
 
-@query(_EN + " SELECT version, CASE WHEN version % 7 = 0 AND status = 'archived' THEN 'active' WHEN status = 'active' THEN 'archived' ELSE status END AS status FROM v")
-def life_rollback(spark, sf):
-    states = versions(spark, sf)
-    return transitioned(states, states.where("version % 7 = 0").select("version"), "archived").select("version", "status")
+    Stored revisions are never replaced; the highest of each key is active, all others aren't. change: added, changed
+    (a newer revision than those stored), late (an older one) or unchanged for what was stored; each new revision is
+    attributed once.
+    """
+    new = unseen(fetched.select(*keys, revision).distinct(), stored, [*keys, revision]).withColumn("new", F.lit(True))
+    every = stored.select(*keys, revision).distinct().withColumn("new", F.lit(False)).union(new)
+    of = Window.partitionBy(*keys)
+    known = F.max(F.when(~F.col("new"), F.col(revision))).over(of)
+    change = F.when(~F.col("new"), "unchanged").when(known.isNull(), "added").when(F.col(revision) > known, "changed").otherwise("late")
+    return every.select(*keys, revision, (F.col(revision) == F.max(revision).over(of)).alias("is_active"), change.alias("change"), F.col("new").alias("attributed"))
 
 
-@query(_EN + " SELECT count(*) FILTER (status = 'active')::BIGINT AS active, count(*) FILTER (status = 'active') <= 1 AS single FROM v")
-def life_single_active(spark, sf):
-    active = F.count_if(F.col("status") == "active")
-    return versions(spark, sf).agg(active.alias("active"), (active <= 1).alias("single"))
+@query("""WITH e AS (SELECT user_id, event_type, event_id, event_id % 3 <> 0 AS new FROM events), w AS (SELECT *, max(event_id) FILTER (NOT new) OVER (PARTITION BY user_id, event_type) AS known, max(event_id) OVER (PARTITION BY user_id, event_type) AS top FROM e)
+ SELECT user_id, event_type, event_id, event_id = top AS is_active, CASE WHEN NOT new THEN 'unchanged' WHEN known IS NULL THEN 'added' WHEN event_id > known THEN 'changed' ELSE 'late' END AS change, new AS attributed FROM w""")
+def job_incremental_sync(spark, sf):
+    """A third of the events is stored already; all are fetched."""
+    events = table(spark, sf, "events").select("user_id", "event_type", "event_id")
+    return synced(events.where("event_id % 3 = 0"), events, ["user_id", "event_type"], "event_id")
 
 
-@query("""WITH old AS (SELECT user_id, event_type, max(event_id) AS revision FROM events WHERE event_id % 2 = 0 GROUP BY ALL), new AS (SELECT user_id, event_type, max(event_id) AS revision FROM events GROUP BY ALL)
- SELECT n.user_id, n.event_type, n.revision, CASE WHEN o.revision IS NULL THEN 'added' WHEN o.revision = n.revision THEN 'unchanged' ELSE 'changed' END AS change FROM new n LEFT JOIN old o USING (user_id, event_type)""")
-def job_incremental_sync(spark, sf):
-    events = table(spark, sf, "events")
-    latest = lambda df, name: df.groupBy("user_id", "event_type").agg(F.max("event_id").alias(name))
-    both = latest(events, "revision").join(latest(events.where("event_id % 2 = 0"), "old"), ["user_id", "event_type"], "left")
-    change = F.when(F.col("old").isNull(), "added").when(F.col("old") == F.col("revision"), "unchanged").otherwise("changed")
-    return both.select("user_id", "event_type", "revision", change.alias("change"))
+def embedded_pending(rows: DataFrame, done: DataFrame, key: str, text: str, embed: Callable[[list[str]], list] = hash_embed, size: int = 16) -> DataFrame:
+    """key, embedding, status, error of the rows that have no vector yet, in batches of `size`; a batch that fails marks its rows, no others."""
 
+    def each(batches):
+        for batch in batches:
+            for at in range(0, len(batch), size):
+                part = batch.iloc[at : at + size]
+                try:
+                    vectors, error = embed(part["text"].tolist()), None
+                except Exception as e:  # whatever a model raises is the batch's error
+                    vectors, error = [None] * len(part), str(e)
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "embedding": list(vectors), "status": "embedded" if error is None else "failed", "error": error})
 
-@query("""SELECT count(*)::BIGINT AS pending, count(*) FILTER (n_chars >= 50)::BIGINT AS embedded, count(*) FILTER (n_chars < 50)::BIGINT AS failed FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
-def job_embed_pending(spark, sf):
-    done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    pending = table(spark, sf, "documents").join(done, "doc_id", "left_anti")
-    return pending.agg(F.count("*").alias("pending"), F.count_if(F.col("n_chars") >= 50).alias("embedded"), F.count_if(F.col("n_chars") < 50).alias("failed"))
+    pending = unseen(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), done.select(F.col(key).alias("key")), ["key"])
+    return pending.mapInPandas(each, "key long, embedding array<double>, status string, error string").withColumnRenamed("key", key)
+
+
+def strict_embed(texts: list[str]) -> list:
+    """hash_embed that refuses texts without words."""
+    if not all((x or "").strip() for x in texts):
+        raise ValueError("a text has no words")
+    return hash_embed(texts)
 
 
-_TREE = """RECURSIVE edges AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL
- SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders)"""
+def _pending(spark, sf) -> DataFrame:
+    """Documents that have no vector; some are blanked."""
+    docs = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 40 == 7, "").otherwise(F.col("text")).alias("text"))
+    done = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return embedded_pending(docs, done, "doc_id", "text", strict_embed, size=1)
 
 
-@query(f"WITH {_TREE}, walk AS (SELECT 'r0' AS node, 0::BIGINT AS depth UNION ALL SELECT child, depth + 1 FROM walk JOIN edges ON parent = node WHERE depth < 2) SELECT node, min(depth) AS depth FROM walk GROUP BY node")
+@query("""SELECT status, coalesce(error, '') AS error, count(*)::BIGINT AS n, sum(has)::BIGINT AS vectors FROM (SELECT CASE WHEN doc_id % 40 = 7 OR trim(text) = '' THEN 'failed' ELSE 'embedded' END AS status,
+ CASE WHEN doc_id % 40 = 7 OR trim(text) = '' THEN 'a text has no words' END AS error, CASE WHEN doc_id % 40 = 7 OR trim(text) = '' THEN 0 ELSE 1 END AS has FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)) GROUP BY ALL""")
+def job_embed_pending(spark, sf):
+    found = _pending(spark, sf)
+    return found.groupBy("status", F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("n"), F.count("embedding").alias("vectors"))
+
+
+@query("""SELECT n AS chunks, e AS embedded, n - e AS missing, CASE WHEN e = n THEN 'passed' WHEN e > 0 THEN 'partial' ELSE 'failed' END AS status FROM (SELECT count(*) AS n, count(*) FILTER (vec_id IS NOT NULL) AS e FROM documents LEFT JOIN (SELECT DISTINCT vec_id FROM embeddings) ON vec_id = doc_id)""")
+def agg_embedding_status(spark, sf):
+    """Chunks of documents and those that have a vector."""
+    done = table(spark, sf, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id"), F.lit(True).alias("has")).distinct()
+    n, has = F.count("*"), F.count("has")
+    row = table(spark, sf, "documents").select("doc_id").join(done, "doc_id", "left").agg(n.alias("chunks"), has.alias("embedded"))
+    missing = F.col("chunks") - F.col("embedded")
+    return row.select("chunks", "embedded", missing.alias("missing"), F.when(missing == 0, "passed").when(F.col("embedded") > 0, "partial").otherwise("failed").alias("status"))
+
+
+def crawled(edges: DataFrame, seeds: DataFrame, denied: Callable[[Column], Column], depth: int, most: int | None = None) -> DataFrame:
+    """node, depth, reason, included, truncated of what a walk from the seeds meets, breadth first.
+
+    edges: parent, child, ord (of a parent's children). seeds: node, ord. A node is met at its first place in the order
+    of (depth, path of ords); reason says seed or link, or why it is left out: what `denied` gives (null: nothing), or
+    page_cap beyond `most` included nodes. Nodes that are left out aren't walked from. truncated: whether the cap left
+    anything out. One join a level; paths stand for the order, so nothing is counted across a level.
+    """
+    def met(level: DataFrame, found: DataFrame | None) -> DataFrame:
+        first = level.groupBy("node").agg(F.min("path").alias("path"))
+        first = first if found is None else first.join(found.select("node"), "node", "left_anti")
+        return first.withColumn("denied", denied(F.col("node")))
+
+    level = met(seeds.select("node", F.array(F.col("ord").cast("long")).alias("path")), None)
+    found = level.withColumn("depth", F.lit(0).cast("long"))
+    for n in range(1, depth + 1):
+        ways = edges.join(level.where("denied is null").select(F.col("node").alias("parent"), "path"), "parent")
+        level = met(ways.select(F.col("child").alias("node"), F.concat("path", F.array(F.col("ord").cast("long"))).alias("path")), found)
+        found = found.union(level.withColumn("depth", F.lit(n).cast("long")))
+    allowed = found.where("denied is null")
+    if most is not None:
+        capped = allowed.orderBy("depth", "path").limit(most).select("node").withColumn("kept", F.lit(True))
+        found = found.join(capped, "node", "left")
+    else:
+        found = found.withColumn("kept", F.col("denied").isNull())
+    kept = F.coalesce("kept", F.lit(False))
+    reason = F.when(F.col("denied").isNotNull(), F.col("denied")).when(~kept, "page_cap").when(F.col("depth") == 0, "seed").otherwise("link")
+    cut = found.agg(F.max(F.col("denied").isNull() & ~kept).alias("truncated"))  # one row
+    return found.crossJoin(F.broadcast(cut)).select("node", "depth", reason.alias("reason"), (F.col("denied").isNull() & kept).alias("included"), "truncated")
+
+
+_WALK = """RECURSIVE edges AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child, n_nationkey::BIGINT AS ord FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL
+ SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey FROM orders),
+walk AS (SELECT 'r' || r_regionkey AS node, 0::BIGINT AS depth, [r_regionkey::BIGINT] AS path FROM region WHERE r_regionkey < 2 UNION ALL
+ SELECT child, depth + 1, list_append(path, ord) FROM walk JOIN edges ON parent = node WHERE depth < 3 AND NOT (node LIKE 'n%3') AND NOT (node LIKE 'c%5')),
+w AS (SELECT node, depth, path, CASE WHEN node LIKE 'n%3' THEN 'denied:category' WHEN node LIKE 'c%5' THEN 'denied:title' END AS d FROM walk),
+k AS (SELECT *, row_number() OVER (PARTITION BY d IS NULL ORDER BY depth, path) AS r FROM w)"""
+
+
+@query(f"WITH {_WALK} SELECT node, depth, CASE WHEN d IS NOT NULL THEN d WHEN r > 500 THEN 'page_cap' WHEN depth = 0 THEN 'seed' ELSE 'link' END AS reason, d IS NULL AND r <= 500 AS included, (SELECT count(*) FROM w WHERE d IS NULL) > 500 AS truncated FROM k")
 def job_bounded_bfs(spark, sf):
-    edge = lambda name, p, a, c, b: table(spark, sf, name).select(F.concat(F.lit(p), a).alias("parent"), F.concat(F.lit(c), b).alias("child"))
+    """Regions, nations, customers and orders as a tree of categories; some are denied, at most 500 pages are taken."""
+    edge = lambda name, p, a, c, b: table(spark, sf, name).select(F.concat(F.lit(p), a).alias("parent"), F.concat(F.lit(c), b).alias("child"), F.col(b).cast("long").alias("ord"))
     edges = edge("nation", "r", "n_regionkey", "n", "n_nationkey").union(edge("customer", "n", "c_nationkey", "c", "c_custkey")).union(edge("orders", "c", "o_custkey", "o", "o_orderkey"))
-    level = spark.createDataFrame([("r0",)], "node string")
-    found = level.withColumn("depth", F.lit(0).cast("long"))
-    for depth in (1, 2):  # one join a level; what was found before isn't walked again
-        level = edges.join(level, F.col("parent") == F.col("node")).select(F.col("child").alias("node")).distinct().join(found.select("node"), "node", "left_anti")
-        found = found.union(level.withColumn("depth", F.lit(depth).cast("long")))
-    return found
-
-
-@query(rf"""WITH c AS (SELECT conv_id, turn, unnest(list_filter(string_split_regex(text, '\n+'), lambda s: trim(s) <> '')) AS claim FROM conversations WHERE role = 'assistant')
- SELECT conv_id, turn, count(*)::BIGINT AS claims, round(avg((len({_TERMS.replace('@', 'claim')}) < 4)::INT), 6) AS exempt FROM c GROUP BY conv_id, turn""")
-def job_claim_coverage(spark, sf):
-    lines = F.filter(F.split("text", r"\n+"), lambda s: F.trim(s) != "")
-    claims = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(lines).alias("claim"))
-    return claims.groupBy("conv_id", "turn").agg(F.count("*").alias("claims"), F.round(F.avg((F.size(t.terms(F.col("claim"))) < 4).cast("int")), 6).alias("exempt"))
-
-
-@query(r"""WITH a AS (SELECT conv_id, turn, text || ' [S' || (turn % 4) || '][S1]' AS answer FROM conversations WHERE role = 'assistant'),
- c AS (SELECT conv_id, turn, answer, regexp_extract_all(answer, '\[(S[0-9]+)\]', 1) AS ids FROM a)
- SELECT conv_id, turn, CASE WHEN trim(answer) = '' THEN 'empty' WHEN len(ids) = 0 THEN 'uncited' WHEN list_contains(ids, 'S0') THEN 'unknown_citation' ELSE 'valid' END AS verdict FROM c""")
-def job_validate_citations(spark, sf):
-    answers = table(spark, sf, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" [S"), (F.col("turn") % 4).cast("string"), F.lit("][S1]")).alias("answer"))
-    cited = answers.withColumn("ids", F.regexp_extract_all("answer", F.lit(r"\[(S[0-9]+)\]"), F.lit(1)))
-    known = F.array(*(F.lit(f"S{i}") for i in range(1, 9)))
-    verdict = F.when(F.trim("answer") == "", "empty").when(F.size("ids") == 0, "uncited").when(F.size(F.array_except("ids", known)) > 0, "unknown_citation").otherwise("valid")
-    return cited.select("conv_id", "turn", verdict.alias("verdict"))
-
-
-@query("""WITH t AS (SELECT conv_id, string_agg('[' || role || '] ' || md5(text), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id) SELECT conv_id, md5(prompt) AS h FROM t""")
-def job_render_prompt(spark, sf):
-    line = F.struct("turn", F.concat(F.lit("["), "role", F.lit("] "), F.md5("text")).alias("line"))
-    joined = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(line)).alias("x"))
-    return joined.select("conv_id", F.md5(F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("h"))
-
-
-@query("""WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source, sha256(text) ORDER BY doc_id) AS copy FROM documents WHERE n_chars >= 200),
- k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM r WHERE copy = 1) SELECT source, doc_id, rank::BIGINT AS rank FROM k WHERE rank <= 8""")
-def job_accept_evidence(spark, sf):
-    docs = table(spark, sf, "documents").where("n_chars >= 200").select("source", "doc_id", "n_chars", F.sha2("text", 256).alias("body"))
-    first = docs.groupBy("source", "body").agg(F.min("doc_id").alias("doc_id"), F.min("n_chars").alias("n_chars"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).cast("long")
-    return first.select("source", "doc_id", rank.alias("rank")).where("rank <= 8")
-
-
-@query("SELECT a.p_partkey, count(*)::BIGINT AS shared FROM part a JOIN part b ON split_part(lower(a.p_name), ' ', 1) = split_part(lower(b.p_name), ' ', 1) AND starts_with(b.p_name, a.p_name) GROUP BY a.p_partkey")
-def join_theta_alias(spark, sf):
-    """Aliases that begin with an alias: the first word is an equality that Spark can join by."""
-    of = lambda n: table(spark, sf, "part").select(F.col("p_partkey").alias(f"k{n}"), F.col("p_name").alias(f"a{n}"), F.split(F.lower("p_name"), " ")[0].alias("head"))
-    return of(1).join(of(2), "head").where(F.col("a2").startswith(F.col("a1"))).groupBy(F.col("k1").alias("p_partkey")).agg(F.count("*").alias("shared"))
+    seeds = table(spark, sf, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_regionkey").alias("ord"))
+    denied = lambda node: F.when(node.like("n%3"), "denied:category").when(node.like("c%5"), "denied:title")
+    return crawled(edges, seeds, denied, depth=3, most=500)

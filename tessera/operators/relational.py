@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.registry import query, table
+from tessera.sources.shared import new_path
+from tessera.sources.sinks import append_unseen, write_groups, write_new, write_upsert
 
 
 @query("SELECT page_id, url, length(html)::BIGINT AS n_chars FROM pages WHERE url IS NOT NULL AND html IS NOT NULL")
@@ -81,12 +83,6 @@ def join_chunk_page(spark, sf):
     return items.join(parts, items.l_partkey == parts.p_partkey).select("l_orderkey", "l_linenumber", "p_name", "p_brand")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def join_anti_unseen(spark, sf):
-    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders")
-    return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def join_semi_evidence(spark, sf):
     customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_orderstatus = 'F'")
@@ -101,7 +97,7 @@ def join_unknown_reference(spark, sf):
 
 _FUSED = """
 WITH lexical AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS lexical_rank FROM documents QUALIFY lexical_rank <= 40),
-semantic AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 97, doc_id) AS semantic_rank FROM documents QUALIFY semantic_rank <= 40)
+semantic AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY round(embedding[1]::DOUBLE, 6) DESC, doc_id DESC) AS semantic_rank FROM documents JOIN embeddings ON vec_id = doc_id QUALIFY semantic_rank <= 40)
 SELECT coalesce(l.lang, s.lang) AS lang, coalesce(l.doc_id, s.doc_id) AS doc_id, lexical_rank::BIGINT AS lexical_rank, semantic_rank::BIGINT AS semantic_rank,
  round(coalesce(1.0 / (60 + lexical_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0), 6) AS rrf
 FROM lexical l FULL OUTER JOIN semantic s ON l.lang = s.lang AND l.doc_id = s.doc_id"""
@@ -109,9 +105,11 @@ FROM lexical l FULL OUTER JOIN semantic s ON l.lang = s.lang AND l.doc_id = s.do
 
 @query(_FUSED)
 def join_full_outer_fusion(spark, sf):
+    """Two rankings within each language: by length, and by the vectors' first component."""
     docs = table(spark, sf, "documents").select("lang", "doc_id", "n_chars")
-    top = lambda name, *by: docs.withColumn(name, F.row_number().over(Window.partitionBy("lang").orderBy(*by)).cast("long")).where(F.col(name) <= 40).select("lang", "doc_id", name)
-    fused = top("lexical_rank", F.desc("n_chars"), "doc_id").join(top("semantic_rank", F.col("doc_id") % 97, "doc_id"), ["lang", "doc_id"], "full_outer")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    top = lambda df, name, *by: df.withColumn(name, F.row_number().over(Window.partitionBy("lang").orderBy(*by)).cast("long")).where(F.col(name) <= 40).select("lang", "doc_id", name)
+    fused = top(docs, "lexical_rank", F.desc("n_chars"), "doc_id").join(top(docs.join(vectors, "doc_id"), "semantic_rank", F.desc("first"), F.desc("doc_id")), ["lang", "doc_id"], "full_outer")
     part = lambda c: F.coalesce(F.lit(1.0) / (60 + F.col(c)), F.lit(0.0))
     return fused.withColumn("rrf", F.round(part("lexical_rank") + part("semantic_rank"), 6))
 
@@ -121,34 +119,12 @@ def join_rehydrate(spark, sf):
     return join_full_outer_fusion(spark, sf).select("doc_id", "rrf").join(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "doc_id")
 
 
-@query("""SELECT count(*)::BIGINT AS n, count(DISTINCT source)::BIGINT AS sources, count(*) FILTER (quality IS NULL)::BIGINT AS unlabelled,
- count(*) FILTER (trim(coalesce(text, '')) = '')::BIGINT AS blank FROM documents LEFT JOIN labels USING (doc_id)""")
-def agg_readiness_counts(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    return docs.agg(F.count("*").alias("n"), F.countDistinct("source").alias("sources"), F.count_if(F.col("quality").isNull()).alias("unlabelled"), F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"))
-
-
-@query("""SELECT lang, array_to_string(list_filter([CASE WHEN count(*) < 200 THEN 'few' END, CASE WHEN count(*) FILTER (n_chars < 50) > 0 THEN 'short' END,
- CASE WHEN count(DISTINCT source) < 20 THEN 'sources' END], lambda x: x IS NOT NULL), ',') AS findings FROM documents GROUP BY lang""")
-def agg_readiness_findings(spark, sf):
-    checks = F.array(F.when(F.count("*") < 200, "few"), F.when(F.count_if(F.col("n_chars") < 50) > 0, "short"), F.when(F.countDistinct("source") < 20, "sources"))
-    return table(spark, sf, "documents").groupBy("lang").agg(F.array_join(F.array_compact(checks), ",").alias("findings"))
-
-
 @query("SELECT coalesce('scope:' || lang, 'source:' || source) AS label, count(*)::BIGINT AS n FROM documents GROUP BY GROUPING SETS ((lang), (source))")
 def agg_classification_counts(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("lang"), F.col("source"))
     return docs.groupingSets([[F.col("lang")], [F.col("source")]], "lang", "source").agg(F.count("*").alias("n")).select(F.coalesce(F.concat(F.lit("scope:"), "lang"), F.concat(F.lit("source:"), "source")).alias("label"), "n")
 
 
-@query("""SELECT count(*)::BIGINT AS pages, count(*) FILTER (n_chars >= 200)::BIGINT AS valid, (count(*) - count(DISTINCT text))::BIGINT AS duplicates,
- round(count(*) FILTER (n_chars >= 200) / count(*), 4) AS completeness FROM documents""")
-def agg_build_report(spark, sf):
-    valid = F.count_if(F.col("n_chars") >= 200)
-    docs = table(spark, sf, "documents").select("n_chars", F.sha2("text", 256).alias("h"))
-    return docs.agg(F.count("*").alias("pages"), valid.alias("valid"), (F.count("*") - F.countDistinct("h")).alias("duplicates"), F.round(valid / F.count("*"), 4).alias("completeness"))
-
-
 @query("SELECT o_custkey, max(o_orderkey) AS revision FROM orders GROUP BY o_custkey")
 def agg_max_revision(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("revision"))
@@ -159,12 +135,6 @@ def agg_latest_success(spark, sf):
     return table(spark, sf, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("latest"))
 
 
-@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
-def agg_nearest_rank_pct(spark, sf):
-    events = table(spark, sf, "events").where("value is not null")
-    return events.groupBy("event_type").agg(F.expr("percentile_disc(0.5) within group (order by value)").alias("p50"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95"))
-
-
 @query("""SELECT round(coalesce(count(*) FILTER (quality = 0 AND toxic = 1) / nullif(count(*) FILTER (quality = 0), 0), 0), 6) AS precision_,
  round(coalesce(count(*) FILTER (quality = 0 AND toxic = 1) / nullif(count(*) FILTER (toxic = 1), 0), 0), 6) AS recall_ FROM labels""")
 def agg_abstention_pr(spark, sf):
@@ -173,37 +143,6 @@ def agg_abstention_pr(spark, sf):
     return table(spark, sf, "labels").agg(ratio(said).alias("precision_"), ratio(right).alias("recall_"))
 
 
-@query("""SELECT p_type, count(*)::BIGINT AS n, count(*) >= 10 AS enough FROM part GROUP BY p_type""")
-def agg_category_minimums(spark, sf):
-    return table(spark, sf, "part").groupBy("p_type").agg(F.count("*").alias("n")).withColumn("enough", F.col("n") >= 10)
-
-
-@query("""SELECT source, lang, array_to_string(list_sort(list(DISTINCT n_chars % 7)), ',') AS vals FROM documents GROUP BY source, lang HAVING count(DISTINCT n_chars % 7) >= 2""")
-def agg_conflicts(spark, sf):
-    docs = table(spark, sf, "documents").select("source", "lang", (F.col("n_chars") % 7).alias("v"))
-    found = docs.groupBy("source", "lang").agg(F.sort_array(F.collect_set("v")).alias("v")).where(F.size("v") >= 2)
-    return found.select("source", "lang", F.array_join("v", ",").alias("vals"))
-
-
-@query("""SELECT event_type, count(*)::BIGINT AS discovered, count(*) FILTER (value > 50)::BIGINT AS changed, count(*) FILTER (value IS NULL)::BIGINT AS errors,
- count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY event_type""")
-def agg_sync_summary(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("discovered"), F.count_if(F.col("value") > 50).alias("changed"), F.count_if(F.col("value").isNull()).alias("errors"), F.countDistinct("user_id").alias("users"))
-
-
-@query("""SELECT count(*)::BIGINT AS chunks, count(*) FILTER (label IS NOT NULL AND label > 0)::BIGINT AS embedded,
- CASE WHEN count(*) = count(*) FILTER (label > 0) THEN 'passed' WHEN count(*) FILTER (label > 0) > 0 THEN 'partial' ELSE 'failed' END AS status FROM embeddings""")
-def agg_embedding_status(spark, sf):
-    done, n = F.count_if(F.col("label") > 0), F.count("*")
-    return table(spark, sf, "embeddings").agg(n.alias("chunks"), done.alias("embedded"), F.when(n == done, "passed").when(done > 0, "partial").otherwise("failed").alias("status"))
-
-
-@query("SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id)::BIGINT AS rank FROM documents")
-def win_rank_lexical(spark, sf):
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).cast("long")
-    return table(spark, sf, "documents").select("doc_id", rank.alias("rank"))
-
-
 @query("""SELECT doc_id, first_doc, CASE WHEN doc_id = first_doc THEN 'accepted' ELSE 'duplicate_content' END AS code
  FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS first_doc FROM documents)""")
 def win_dedupe_body(spark, sf):
@@ -251,31 +190,60 @@ def set_union_tagged(spark, sf):
     return frames[0].unionByName(frames[1]).unionByName(frames[2])
 
 
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def join_anti_unseen(spark, sf):
+    customers, orders = table(spark, sf, "customer"), table(spark, sf, "orders").where("o_totalprice > 300000")
+    return customers.join(orders, customers.c_custkey == orders.o_custkey, "left_anti").select("c_custkey")
+
+
+def short_categories(rows: DataFrame, category: str, minimums: DataFrame) -> DataFrame:
+    """category, n, least, enough of every category that rows or minimums (category, least) have; none is absent, what has no minimum needs nothing."""
+    counts = rows.groupBy(F.col(category).alias("category")).agg(F.count("*").alias("n"))
+    both = minimums.join(counts, "category", "full_outer")
+    n, least = (F.coalesce(c, F.lit(0).cast("long")) for c in ("n", "least"))
+    return both.select("category", n.alias("n"), least.alias("least"), (n >= least).alias("enough"))
+
+
+@query("""WITH m AS (SELECT p_type AS category, 40 + 10 * length(p_type) AS least FROM part WHERE p_type <> 'SMALL' GROUP BY p_type UNION ALL SELECT 'ABSENT', 5), c AS (SELECT p_type AS category, count(*) AS n FROM part GROUP BY p_type)
+ SELECT category, coalesce(n, 0)::BIGINT AS n, coalesce(least, 0)::BIGINT AS least, coalesce(n, 0) >= coalesce(least, 0) AS enough FROM m FULL OUTER JOIN c USING (category)""")
+def agg_category_minimums(spark, sf):
+    """Minimums by category, of which one has no rows."""
+    part = table(spark, sf, "part")
+    minimums = part.where("p_type <> 'SMALL'").select(F.col("p_type").alias("category"), (F.length("p_type") * 10 + 40).cast("long").alias("least")).distinct()
+    minimums = minimums.union(spark.sql("SELECT 'ABSENT', 5L"))
+    return short_categories(part, "p_type", minimums)
+
+
+@query("""SELECT event_type, count(*)::BIGINT AS discovered, count(*) FILTER (value > 50)::BIGINT AS changed, count(*) FILTER (value IS NULL)::BIGINT AS errors,
+ count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY event_type""")
+def agg_sync_summary(spark, sf):
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("discovered"), F.count_if(F.col("value") > 50).alias("changed"), F.count_if(F.col("value").isNull()).alias("errors"), F.countDistinct("user_id").alias("users"))
+
+
 @query("""WITH old AS (SELECT *, 0 AS src FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT * REPLACE (o_totalprice + 1 AS o_totalprice), 1 AS src FROM orders WHERE o_orderkey % 2 = 0)
  SELECT o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT * FROM old UNION ALL SELECT * FROM new) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY src DESC) = 1""")
 def sink_upsert_key(spark, sf):
-    from tessera.sources.sinks import upserted
-
-    orders = table(spark, sf, "orders")
-    old = orders.where("o_orderkey % 3 <> 0")
-    new = orders.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    return upserted(old, new, ["o_orderkey"]).select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
+    """A table is written, other rows are put into it by key, and it is read back."""
+    path, orders = new_path(spark, "orders"), table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    write_new(orders.where("o_orderkey % 3 <> 0"), path, ["o_orderkey"])
+    write_upsert(orders.where("o_orderkey % 2 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), path, ["o_orderkey"])
+    return spark.read.parquet(path).select("o_orderkey", F.round("o_totalprice", 2).alias("price"))
 
 
 @query("""SELECT doc_id, source, 1::BIGINT AS version FROM documents WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT doc_id, source, 2 FROM documents WHERE source IN ('src1', 'src2') AND n_chars > 500""")
 def sink_replace_group(spark, sf):
-    from tessera.sources.sinks import replaced_groups
-
-    docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    new = docs.where("source in ('src1', 'src2') and n_chars > 500").withColumn("version", F.lit(2).cast("long"))
-    groups = docs.where("source in ('src1', 'src2')").select("source").distinct()
-    return replaced_groups(docs.withColumn("version", F.lit(1).cast("long")), new, groups, "source").select("doc_id", "source", "version")
+    """A table is written, the rows of two sources are replaced in it, and it is read back."""
+    path, docs = new_path(spark, "documents"), table(spark, sf, "documents").where("source is not null").select("doc_id", "source", "n_chars")
+    write_new(docs.withColumn("version", F.lit(1).cast("long")), path, ["source"])
+    of = docs.where("source in ('src1', 'src2')")
+    write_groups(of.where("n_chars > 500").withColumn("version", F.lit(2).cast("long")), path, of.select("source"), "source")
+    return spark.read.parquet(path).select("doc_id", "source", "version")
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 4 = 0 UNION SELECT doc_id FROM documents WHERE n_chars > 1000")
+@query("""SELECT count(*) FILTER (doc_id % 4 <> 0 AND n_chars > 1000)::BIGINT AS uploaded, count(*) FILTER (doc_id % 4 = 0 AND n_chars > 1000)::BIGINT AS existing, count(*) FILTER (doc_id % 4 = 0 OR n_chars > 1000)::BIGINT AS stored FROM documents""")
 def sink_insert_new(spark, sf):
-    from tessera.sources.sinks import unseen
-
-    docs = table(spark, sf, "documents")
-    stored = docs.where("doc_id % 4 = 0").select("doc_id")
-    return stored.union(unseen(docs.where("n_chars > 1000").select("doc_id"), stored, ["doc_id"]))
+    """A table is written, rows are appended where their key is absent, and it is counted."""
+    path, docs = new_path(spark, "documents"), table(spark, sf, "documents").select("doc_id", "n_chars")
+    write_new(docs.where("doc_id % 4 = 0"), path, ["doc_id"])
+    told = append_unseen(docs.where("n_chars > 1000"), path, ["doc_id"])
+    return told.crossJoin(spark.read.parquet(path).agg(F.count("*").alias("stored")))  # one row each

@@ -2,47 +2,29 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import text as t
+from tessera.functions.embedding import embedded, hash_embed
+from tessera.operators.corpus import _READY, _V, _corpus, readiness
+from tessera.operators.retrieval import _COS
+from tessera.operators.textual import _TERMS, vector_sql
 from tessera.registry import query, table
 from tessera.sources.raw import case_issues, raw_pages, write_report
 from tessera.sources.shared import new_path
 from tessera.sources.snapshot import restored, verify_snapshot, write_snapshot
 from tessera.streaming.sync import embed_pending, sync
 
-DIMS = 64
-
-
-def hash_embed(texts: list[str]) -> list[np.ndarray]:
-    """Unit vectors of signed word counts in hashed cells; a text without words gives the zero vector."""
-    found = []
-    for text in texts:
-        codes = np.array([zlib.crc32(w.encode()) for w in (text or "").lower().split()], np.int64)
-        v = np.bincount(codes % DIMS, weights=np.where(codes >> 16 & 1, 1.0, -1.0), minlength=DIMS)
-        norm = np.linalg.norm(v)
-        found.append((v / norm if norm else v).astype(np.float32))
-    return found
-
-
-def embedded(rows: DataFrame, key: str, text: str, embed: Callable[[list[str]], list[np.ndarray]] = hash_embed) -> DataFrame:
-    """key and embedding; embed gets the texts of an Arrow batch at a time."""
-
-    def each(batches):
-        for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "embedding": embed(batch["text"].tolist())})
-
-    found = rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(each, "key long, embedding array<float>")
-    return found.withColumnRenamed("key", key)
+__all__ = ["embedded", "hash_embed"]
 
 
 def quoting(prompts: list[str]) -> list[str]:
-    return [f"[S1] {(p or '')[:80]}" for p in prompts]
+    """Stands in for a model: the whole prompt as a quotation."""
+    return [f"[S1] {p or ''}" for p in prompts]
 
 
 def generated(rows: DataFrame, key: str, prompt: str, generate: Callable[[list[str]], list[str]] = quoting) -> DataFrame:
@@ -56,13 +38,15 @@ def generated(rows: DataFrame, key: str, prompt: str, generate: Callable[[list[s
     return found.withColumnRenamed("key", key)
 
 
-@query("SELECT doc_id, 64::BIGINT AS dims, true AS sound FROM documents")
+@query(f"SELECT doc_id, round(list_sum(list_transform(e, lambda x, i: x * i)), 4) AS told, len(e)::BIGINT AS dims FROM ({vector_sql('documents', 'doc_id')})")
 def hook_embedding(spark, sf):
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    return embedded(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", F.size("embedding").cast("long").alias("dims"), ((norm == 0) | (F.abs(norm - 1) < 1e-3)).alias("sound"))
+    """Vectors of all documents with words, told by a weighted sum of their components."""
+    found = embedded(table(spark, sf, "documents"), "doc_id", "text").where(F.exists("embedding", lambda x: x != 0))
+    told = F.aggregate(F.transform("embedding", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return found.select("doc_id", F.round(told, 4).alias("told"), F.size("embedding").cast("long").alias("dims"))
 
 
-@query("SELECT item_id, '[S1] ' || left(text, 80) AS answer FROM benchmark")
+@query("SELECT item_id, '[S1] ' || text AS answer FROM benchmark")
 def hook_generator(spark, sf):
     return generated(table(spark, sf, "benchmark"), "item_id", "text")
 
@@ -124,9 +108,9 @@ def stream_sync_upsert(spark, sf):
     return sync(rows, new_path(spark, "sync"), ["user_id", "event_type"], "event_id")
 
 
-@query("SELECT DISTINCT doc_id, 64::BIGINT AS dims FROM documents")
+@query("SELECT DISTINCT doc_id, 256::BIGINT AS dims FROM documents")
 def stream_embed_pending(spark, sf):
-    found = embed_pending(_stream(spark, sf, "documents").select("doc_id", "text"), new_path(spark, "embedded"), "doc_id", lambda rows: embedded(rows, "doc_id", "text"))
+    found = embed_pending(_stream(spark, sf, "documents").select("doc_id", "text"), new_path(spark, "embedded"), "doc_id", lambda rows: embedded(rows, "doc_id", "text"), "doc_id long, embedding array<double>")
     return found.select("doc_id", F.size("embedding").cast("long").alias("dims"))
 
 
@@ -134,21 +118,50 @@ _INNER = "aggregate(zip_with({0}, {1}, (x, y) -> double(x) * double(y)), 0D, (s,
 _SIMILARITY = f"round({_INNER.format('q.embedding', 'c.embedding')} / sqrt({_INNER.format('q.embedding', 'q.embedding')} * {_INNER.format('c.embedding', 'c.embedding')}), 6)"
 
 
-@query("""SELECT vec_id, similarity FROM (SELECT c.vec_id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6) AS similarity
- FROM embeddings q, embeddings c WHERE q.vec_id = 0) WHERE similarity >= 0.1 ORDER BY similarity DESC, vec_id LIMIT 20""")
+def register_functions(spark, vectors: DataFrame, terms: DataFrame) -> None:
+    """The SQL table functions over chunks: match_chunks, semantic_search, lexical_search and hybrid_search.
+
+    vectors: vec_id, embedding. terms: doc_id, term, each once. Queries are a vector's id and words joined by a blank.
+    """
+    vectors.createOrReplaceTempView("tessera_chunks")
+    terms.createOrReplaceTempView("tessera_terms")
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION semantic_search(wanted BIGINT, most INT DEFAULT 40) RETURNS TABLE(vec_id BIGINT, similarity DOUBLE, place BIGINT) RETURN
+ SELECT vec_id, similarity, place FROM (SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS place FROM (SELECT c.vec_id, {_SIMILARITY} AS similarity FROM tessera_chunks c JOIN (SELECT embedding FROM tessera_chunks WHERE vec_id = semantic_search.wanted) q ON true))
+ WHERE place <= least(greatest(semantic_search.most, 1), 200)""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION match_chunks(wanted BIGINT, floor DOUBLE DEFAULT 0.0, most INT DEFAULT 5) RETURNS TABLE(vec_id BIGINT, similarity DOUBLE) RETURN
+ SELECT vec_id, similarity FROM semantic_search(match_chunks.wanted, least(greatest(match_chunks.most, 1), 20)) WHERE similarity >= match_chunks.floor""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION lexical_search(words STRING, most INT DEFAULT 40) RETURNS TABLE(doc_id BIGINT, score DOUBLE, place BIGINT) RETURN
+ SELECT doc_id, score, place FROM (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT t.doc_id, round(count(*) * 0.1D, 6) AS score FROM tessera_terms t
+ WHERE array_contains(split(lexical_search.words, ' '), t.term) GROUP BY t.doc_id)) WHERE place <= least(greatest(lexical_search.most, 1), 200)""")
+    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION hybrid_search(wanted BIGINT, words STRING, most INT DEFAULT 20) RETURNS TABLE(doc_id BIGINT, lexical_place BIGINT, semantic_place BIGINT, score DOUBLE, place BIGINT) RETURN
+ SELECT doc_id, lexical_place, semantic_place, score, place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, similarity DESC NULLS LAST, doc_id) AS place FROM (SELECT coalesce(l.doc_id, s.vec_id) AS doc_id, l.place AS lexical_place, s.place AS semantic_place, s.similarity,
+ round(coalesce(1D / (60 + l.place), 0D) + coalesce(1D / (60 + s.place), 0D), 6) AS score FROM lexical_search(hybrid_search.words, 40) l FULL OUTER JOIN semantic_search(hybrid_search.wanted, 40) s ON l.doc_id = s.vec_id))
+ WHERE place <= least(greatest(hybrid_search.most, 1), 100)""")
+
+
+_SEM = f"""(SELECT c.vec_id, {_COS} AS similarity, row_number() OVER (ORDER BY {_COS} DESC, c.vec_id) AS place FROM embeddings q, embeddings c WHERE q.vec_id = 0 QUALIFY place <= 40)"""
+_WORD = f"(SELECT doc_id, round(count(*) * 0.1, 6)::DOUBLE AS score FROM (SELECT doc_id, unnest(list_distinct({_TERMS.replace('@', 'text')})) AS term FROM documents) WHERE term IN ('the', 'les', 'und', 'una') GROUP BY doc_id)"
+_WORDS40 = f"(SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM {_WORD} QUALIFY place <= 40)"
+
+
+@query(f"""WITH sem AS {_SEM}, words AS {_WORDS40}, both_ AS (SELECT coalesce(l.doc_id, s.vec_id) AS id, similarity, round(coalesce(1.0::DOUBLE / (60 + l.place), 0) + coalesce(1.0::DOUBLE / (60 + s.place), 0), 6) AS score FROM words l FULL OUTER JOIN sem s ON l.doc_id = s.vec_id),
+ hybrid AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, similarity DESC NULLS LAST, id) AS place FROM both_ QUALIFY place <= 20)
+ SELECT 'match' AS f, vec_id AS id, similarity AS score, 0::BIGINT AS place FROM sem WHERE place <= 20 AND similarity >= 0.1 UNION ALL SELECT 'semantic', vec_id, similarity, place FROM sem UNION ALL SELECT 'lexical', doc_id, score, place FROM words UNION ALL SELECT 'hybrid', id, score, place FROM hybrid""")
 def udtf_match_chunks(spark, sf):
-    """match_chunks(wanted, floor), a SQL table function over all chunks: the 20 nearest of one vector."""
-    table(spark, sf, "embeddings").createOrReplaceTempView("tessera_chunks")
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION match_chunks(wanted BIGINT, floor DOUBLE DEFAULT 0.0) RETURNS TABLE(vec_id BIGINT, similarity DOUBLE) RETURN
- SELECT vec_id, similarity FROM (SELECT c.vec_id, {_SIMILARITY} AS similarity FROM tessera_chunks c JOIN (SELECT embedding FROM tessera_chunks WHERE vec_id = match_chunks.wanted) q ON true)
- WHERE similarity >= match_chunks.floor ORDER BY similarity DESC, vec_id LIMIT 20""")
-    return spark.sql("SELECT * FROM match_chunks(0L, 0.1D)")
+    """The four table functions, each called once from SQL."""
+    terms = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(t.terms(F.col("text")))).alias("term"))
+    register_functions(spark, table(spark, sf, "embeddings").select("vec_id", "embedding"), terms)
+    return spark.sql("""SELECT 'match' AS f, vec_id AS id, similarity AS score, 0L AS place FROM match_chunks(0L, 0.1D, 50) UNION ALL SELECT 'semantic', vec_id, similarity, place FROM semantic_search(0L)
+ UNION ALL SELECT 'lexical', doc_id, score, place FROM lexical_search('the les und una') UNION ALL SELECT 'hybrid', doc_id, score, place FROM hybrid_search(0L, 'the les und una')""")
 
 
-@query("SELECT source, count(*)::BIGINT AS pages, count(*) FILTER (n_chars < 60)::BIGINT AS errors, count(*) FILTER (n_chars < 60) = 0 AS ready FROM documents WHERE source = 'src1' GROUP BY source")
+@query(f"WITH {_V}, {_READY} SELECT version, len(findings) = 0 AS ready, array_to_string(findings, ',') AS issues, n_pages, n_chunks, missing, stale FROM r WHERE version = 4 UNION ALL SELECT version, len(archived_findings) = 0, array_to_string(archived_findings, ','), n_pages, n_chunks, missing, stale FROM r WHERE version = 1")
 def udtf_corpus_readiness(spark, sf):
-    """corpus_readiness(wanted), a SQL table function: one row on whether a source could be activated."""
-    table(spark, sf, "documents").createOrReplaceTempView("tessera_documents")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION corpus_readiness(wanted STRING) RETURNS TABLE(source STRING, pages BIGINT, errors BIGINT, ready BOOLEAN) RETURN
- SELECT source, count(*), count_if(n_chars < 60), count_if(n_chars < 60) = 0 FROM tessera_documents WHERE source = corpus_readiness.wanted GROUP BY source""")
-    return spark.sql("SELECT * FROM corpus_readiness('src1')")
+    """corpus_readiness(wanted, current), a SQL table function: one row on whether a version could be activated."""
+    corpus = _corpus(spark, sf)
+    for name, current in (("tessera_ready", True), ("tessera_ready_archived", False)):
+        readiness(*corpus, current=current).createOrReplaceTempView(name)
+    columns = "version, ready, array_join(findings, ',') AS issues, n_pages, n_chunks, missing, stale"
+    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION corpus_readiness(wanted BIGINT, current BOOLEAN DEFAULT true) RETURNS TABLE(version BIGINT, ready BOOLEAN, issues STRING, n_pages BIGINT, n_chunks BIGINT, missing BIGINT, stale BIGINT) RETURN
+ SELECT {columns} FROM tessera_ready WHERE version = corpus_readiness.wanted AND corpus_readiness.current UNION ALL SELECT {columns} FROM tessera_ready_archived WHERE version = corpus_readiness.wanted AND NOT corpus_readiness.current""")
+    return spark.sql("SELECT * FROM corpus_readiness(4L) UNION ALL SELECT * FROM corpus_readiness(1L, false)")

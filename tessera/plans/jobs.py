@@ -1,9 +1,8 @@
-"""Jobs whose folds need ordered state, and approximate search."""
+"""Jobs whose folds need ordered state, snapshots, and approximate search."""
 
 from __future__ import annotations
 
-import difflib
-import re
+import math
 
 import numpy as np
 import pandas as pd
@@ -12,78 +11,52 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.registry import query, table
-from tessera.streaming.admission import admitted_batch
+from tessera.sources.shared import new_path
+from tessera.sources.snapshot import verify_snapshot, write_snapshot
+from tessera.streaming.admission import run_admission
 
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Accepted events of a key in any WINDOW seconds.
+LIMIT, WINDOW = 3, 86400.0
+#: Chunks that a bucket of the approximate search is to hold.
+BUCKET = 64
 
 
-@query()
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+walk AS (SELECT key, event_id, tm, r, [tm] AS times, true AS admitted, 0.0::DOUBLE AS retry_after FROM e WHERE r = 1 UNION ALL
+ SELECT e.key, e.event_id, e.tm, e.r, CASE WHEN len(live) < {LIMIT} THEN list_append(live, e.tm) ELSE live END, len(live) < {LIMIT}, CASE WHEN len(live) < {LIMIT} THEN 0.0 ELSE round({WINDOW} - (e.tm - live[1]), 6) END
+ FROM (SELECT w.key, w.r, e2.r AS nr, list_filter(w.times, lambda x: x > e2.tm - {WINDOW}) AS live FROM walk w JOIN e e2 ON e2.key = w.key AND e2.r = w.r + 1) w JOIN e ON e.key = w.key AND e.r = w.nr)
+SELECT key, event_id, admitted, retry_after FROM walk""")
 def stream_admission(spark, sf):
-    """The batch form over the whole events table; tests hold the stream form against it."""
-    return admitted_batch(table(spark, sf, "events"), limit=3, window=86400.0)
-
-
-def chunked(blocks: list[str], target: int = 450, most: int = 600, overlap: int = 60) -> list[str]:
-    """Blocks packed into chunks of about `target` tokens, never over `most` unless one block is; a tail is carried on."""
-    out, now, n, carried = [], [], 0, ""
-    for block in blocks:
-        size = len(_TOKEN.findall(block))
-        if now and n + size > most:
-            out.append("\n\n".join(now))
-            carried = tail(out[-1], overlap)
-            now, n = [carried], len(_TOKEN.findall(carried))
-        now.append(block)
-        n += size
-        if n >= target:
-            out.append("\n\n".join(now))
-            carried = tail(out[-1], overlap)
-            now, n = [carried], len(_TOKEN.findall(carried))
-    rest = "\n\n".join(now)
-    return out + [rest] if rest and rest != carried else out
-
-
-def tail(text: str, n: int) -> str:
-    """The text from its n-th last token on."""
-    found = list(_TOKEN.finditer(text))
-    return text if len(found) <= n else text[found[-n].start() :]
-
-
-@query()
-def job_chunk_sections(spark, sf):
-    def fold(batches):
-        for pdf in batches:
-            rows = [(i, k, c) for i, text in zip(pdf["doc_id"], pdf["text"], strict=True) for k, c in enumerate(chunked([b for b in (text or "").split("\n") if b.strip()]))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
-
-    chunks = table(spark, sf, "documents").select("doc_id", "text").mapInPandas(fold, "doc_id long, chunk_index long, content string")
-    return chunks.select("doc_id", "chunk_index", t.token_count(F.col("content")).alias("n_tokens"), F.sha2("content", 256).alias("content_hash"))
-
-
-@query()
-def fn_fuzzy_ratio(spark, sf):
-    """Ratcliff-Obershelp ratio of part names with one first word, where the length bound allows 0.78."""
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
-
-    of = lambda n: table(spark, sf, "part").select(F.col("p_partkey").alias(f"k{n}"), F.lower("p_name").alias(f"a{n}"), "p_brand", "p_size")
-    pairs = of(1).join(of(2), ["p_brand", "p_size"]).where("k1 < k2")
-    bound = 2 * F.least(F.length("a1"), F.length("a2")) / (F.length("a1") + F.length("a2"))
-    return pairs.where(bound >= 0.78).withColumn("ratio", F.round(ratio("a1", "a2"), 6)).where("ratio >= 0.78").select("k1", "k2", "ratio")
-
-
-def lsh_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, tables: int = 24, bits: int = 4, seed: int = 1) -> DataFrame:
-    """Approximate top k: sign-random-projection buckets, an equi-join on the bucket, exact rescoring."""
-    dim = len(chunks.select("embedding").first()[0])
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-
-    def keyed(df: DataFrame, key: str, vector: str) -> DataFrame:
-        sign = lambda p: (t.dot(F.col(vector), F.array(*(F.lit(float(x)) for x in p))) >= 0).cast("string")
-        keys = [F.concat_ws("", F.lit(f"{i}:"), *(sign(p) for p in planes[i])) for i in range(tables)]
-        return df.select(key, vector, F.explode(F.array(*keys)).alias("bucket"))
-
-    pairs = keyed(queries, "query_id", "query").join(keyed(chunks, "vec_id", "embedding"), "bucket").dropDuplicates(["query_id", "vec_id"])
-    scored = pairs.select("query_id", "vec_id", F.round(t.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
+    """The stream over the whole events table, run until nothing is left; it tells what the batch form does."""
+    events = table(spark, sf, "events")
+    rows = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parquet*")
+    return run_admission(rows, new_path(spark, "admission"), limit=LIMIT, window=WINDOW)
+
+
+def lsh_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, tables: int = 48, bits: int | None = None, seed: int = 1) -> DataFrame:
+    """Approximate top k: sign-random-projection buckets, an equi-join on the bucket, exact rescoring.
+
+    A bucket is to hold about BUCKET chunks, so the number of bits grows with the logarithm of theirs; a query also looks
+    into the buckets that differ in one bit. Vectors of other lengths than the first chunk's have no bucket; an empty
+    table gives an empty result.
+    """
+    n, dim = chunks.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    bits = bits or min(62, max(1, round(math.log2(max(2, (n or 0) / BUCKET)))))
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim or 1))
+
+    def keyed(df: DataFrame, key: str, vector: str, near: bool) -> DataFrame:
+        def buckets(batches):
+            for batch in batches:
+                x = np.stack(batch["v"].to_numpy()).astype(np.float64)
+                code = ((np.einsum("nd,tbd->ntb", x, planes) >= 0) << np.arange(bits)).sum(axis=2)
+                rows = [code ^ flip for flip in ([0, *(1 << np.arange(bits))] if near else [0])]
+                yield pd.DataFrame({"key": batch["key"].to_numpy().repeat(tables * len(rows)), "of": np.tile(np.arange(tables), len(x) * len(rows)), "bucket": np.stack(rows, axis=1).reshape(-1)})
+
+        sized = df.where(F.size(vector) == (dim or 0)).select(F.col(key).alias("key"), F.col(vector).alias("v"))
+        return sized.mapInPandas(buckets, "key long, of long, bucket long").withColumnRenamed("key", key)
+
+    pairs = keyed(queries, "query_id", "query", True).join(keyed(chunks, "vec_id", "embedding", False), ["of", "bucket"]).select("query_id", "vec_id").distinct()
+    scored = pairs.join(queries, "query_id").join(chunks, "vec_id").select("query_id", "vec_id", F.round(t.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
@@ -94,44 +67,14 @@ def topk_lsh_join(spark, sf):
     return lsh_top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v)
 
 
-_PACK = """WITH RECURSIVE c AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents QUALIFY r <= 40),
-walk AS (SELECT source, 0::BIGINT AS r, 0::BIGINT AS used, 0::BIGINT AS n, '' AS taken FROM (SELECT DISTINCT source FROM c) UNION ALL
- SELECT w.source, w.r + 1, CASE WHEN w.n < 8 AND w.used + c.n_chars <= 9000 THEN w.used + c.n_chars ELSE w.used END, CASE WHEN w.n < 8 AND w.used + c.n_chars <= 9000 THEN w.n + 1 ELSE w.n END,
- CASE WHEN w.n < 8 AND w.used + c.n_chars <= 9000 THEN w.taken || ' ' || c.doc_id ELSE w.taken END FROM walk w JOIN c ON c.source = w.source AND c.r = w.r + 1)
-SELECT source, arg_max(used, r) AS used, trim(arg_max(taken, r)) AS taken FROM walk GROUP BY source"""
-
-
-@query(_PACK)
-def job_pack_context(spark, sf):
-    """Greedy packing under a budget: what doesn't fit is skipped, at most 8 blocks; a fold over at most 40 candidates."""
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))
-    best = table(spark, sf, "documents").select("source", "doc_id", "n_chars", rank.alias("r")).where("r <= 40")
-    listed = best.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("r", "doc_id", "n_chars"))).alias("c"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("taken"))
-
-    def take(s, x):
-        fits = (F.size(s["taken"]) < 8) & (s["used"] + x["n_chars"] <= 9000)
-        return F.when(fits, F.struct((s["used"] + x["n_chars"]).alias("used"), F.concat(s["taken"], F.array(x["doc_id"].cast("string"))).alias("taken"))).otherwise(s)
-
-    return listed.select("source", F.aggregate("c", start, take).alias("s")).select("source", F.col("s.used").alias("used"), F.array_join("s.taken", " ").alias("taken"))
-
-
-@query("""SELECT doc_id, round(least(greatest(0.35 * least(1.0 / (60 + doc_id % 50) / 0.04, 1) + 0.20 * (lang = 'en')::INT + 0.15 * least(n_chars / 5000.0, 1) - 0.08 * (n_chars < 300)::INT, 0), 1), 6)::DOUBLE AS score,
- array_to_string(list_filter([CASE WHEN lang = 'en' THEN 'title' END, CASE WHEN n_chars >= 5000 THEN 'content' END, CASE WHEN n_chars < 300 THEN 'subjective' END], lambda x: x IS NOT NULL), ',') AS reasons FROM documents""")
-def job_rerank(spark, sf):
-    rrf = F.least(1.0 / (60 + F.col("doc_id") % 50) / 0.04, F.lit(1.0))
-    score = 0.35 * rrf + 0.20 * (F.col("lang") == "en").cast("int") + 0.15 * F.least(F.col("n_chars") / 5000.0, F.lit(1.0)) - 0.08 * (F.col("n_chars") < 300).cast("int")
-    reasons = F.array_compact(F.array(F.when(F.col("lang") == "en", "title"), F.when(F.col("n_chars") >= 5000, "content"), F.when(F.col("n_chars") < 300, "subjective")))
-    return table(spark, sf, "documents").select("doc_id", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 6).alias("score"), F.array_join(reasons, ",").alias("reasons"))
-
-
 @query("SELECT 'nation' AS record_type, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
 def sink_snapshot_jsonl(spark, sf):
-    """Counts of a snapshot's manifest, over the tagged JSON lines that write_snapshot writes."""
-    from tessera.sources.snapshot import tagged
-
-    lines = tagged({n: table(spark, sf, n) for n in ("nation", "region", "supplier")})
-    return lines.groupBy(F.get_json_object("line", "$.record_type").alias("record_type")).agg(F.count("*").alias("n"))
+    """The counts in a snapshot's manifest, after it is written and found sound."""
+    path = new_path(spark, "snapshot")
+    write_snapshot({n: table(spark, sf, n) for n in ("nation", "region", "supplier")}, path)
+    sound = verify_snapshot(spark, path).agg((F.count("*") == 0).alias("sound"))
+    counts = spark.read.schema("record_type string, n long").json(f"{path}/counts")
+    return counts.crossJoin(F.broadcast(sound)).where("sound").select("record_type", "n")
 
 
 @query("SELECT page_id, sha256(html) AS content_hash, length(html)::BIGINT AS n FROM pages")
@@ -142,4 +85,3 @@ def src_page_flatten(spark, sf):
     raw = table(spark, sf, "pages").select(F.from_json(page, schema).alias("r")).select(F.explode("r.query.pages").alias("p")).where(F.size("p.revisions") > 0)
     content = F.element_at("p.revisions", 1)["content"]
     return raw.select(F.col("p.pageid").alias("page_id"), F.sha2(content, 256).alias("content_hash"), F.length(content).cast("long").alias("n"))
-

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path not used before, under spark.checkpoint.dir; where that is unset (tests), under a new temporary folder."""
+    """A path not used before, under spark.checkpoint.dir; where that is unset, one machine may take a new folder of its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return f"{folder.rstrip('/')}/tessera-{uuid.uuid4().hex}/{name}"

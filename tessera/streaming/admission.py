@@ -1,7 +1,8 @@
 """Sliding-window admission: at most `limit` accepted events of a key in any `window` seconds.
 
-Rejected events leave no trace, so a count over a window isn't enough: accepted times are kept per key, in order.
-The batch form and the stream form share one fold, whose state is at most `limit` times.
+Rejected events leave no trace, so a count over a window isn't enough: accepted times are kept per key, in order. The
+batch form and the stream form share one fold, whose state is at most `limit` times. Neither gathers a key: rows stream
+past the fold in order of key and time.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SCHEMA = "key long, event_id long, admitted boolean, retry_after double"
+_COLUMNS = ["key", "event_id", "admitted", "retry_after"]
 
 
 def admit(times: list[float], rows: pd.DataFrame, limit: int, window: float) -> tuple[list[float], pd.DataFrame]:
@@ -25,24 +27,56 @@ def admit(times: list[float], rows: pd.DataFrame, limit: int, window: float) ->
         out.append((key, event_id, accepted, 0.0 if accepted else round(window - (at - times[0]), 6)))
         if accepted:
             times.append(at)
-    return times, pd.DataFrame(out, columns=["key", "event_id", "admitted", "retry_after"])
+    return times, pd.DataFrame(out, columns=_COLUMNS)
 
 
 def _shaped(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").alias("key"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    return events.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
 
 
 def admitted_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
-    return _shaped(events).groupBy("key").applyInPandas(lambda rows: admit([], rows, limit, window)[1], SCHEMA)
+    """A partition's keys one after the other, each in order of time; an Arrow batch at a time is in memory. A null key is a key."""
 
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, times = None, []
+        for batch in batches:
+            new = (batch["key"].ne(batch["key"].shift()) & ~(batch["key"].isna() & batch["key"].shift().isna())).cumsum()
+            for _, part in batch.groupby(new, sort=False):
+                key = part["key"].iloc[0]
+                key = None if pd.isna(key) else key
+                if last != (key,):
+                    last, times = (key,), []
+                times, out = admit(times, part, limit, window)
+                yield out
 
-def admitted_stream(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """events: a streaming DataFrame; each micro-batch of a key is taken in order of time."""
+    rows = _shaped(events).select("key", "event_id", "at").repartition("key").sortWithinPartitions("key", "at", "event_id")
+    return rows.mapInPandas(fold, SCHEMA)
+
+
+def admitted_stream(events: DataFrame, limit: int, window: float, late: str = "1 day") -> DataFrame:
+    """events: a streaming DataFrame; each micro-batch of a key is taken in order of time.
+
+    A key's state goes when the watermark (`late` behind the newest event) has passed its last accepted event by the
+    window, as it can reject nothing then.
+    """
 
     def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         times, out = admit(times, pd.concat(list(batches)), limit, window)
         state.update((times,))
+        until = int(((times[-1] if times else 0.0) + window) * 1000) + 1
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield out
 
-    return _shaped(events).groupBy("key").applyInPandasWithState(fold, SCHEMA, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = _shaped(events).withWatermark("ts", late)
+    return rows.groupBy("key").applyInPandasWithState(fold, SCHEMA, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_admission(events: DataFrame, path: str, limit: int, window: float) -> DataFrame:
+    """The verdicts on all events that a stream has, written under path."""
+    run = admitted_stream(events, limit, window).writeStream.format("parquet").option("path", f"{path}/verdicts").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return events.sparkSession.read.schema(SCHEMA).parquet(f"{path}/verdicts")

@@ -1,4 +1,9 @@
-"""Streams that keep a table current: revisions by key, and embeddings of what has none yet."""
+"""Streams that keep a table current: revisions by key, and embeddings of what has none yet.
+
+The table is cut into buckets by key. A micro-batch rewrites only the buckets that it has keys of, each under the number
+of the batch; a bucket's newest folder is its state. A batch that is repeated writes the same folders from the same
+older ones, so it changes nothing, and a restart finds all it needs in the folders.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.sinks import unseen
+from tessera.sources.sinks import BUCKETS, unseen
 
 
 def newest(rows: DataFrame, keys: list[str], revision: str) -> DataFrame:
@@ -17,34 +22,54 @@ def newest(rows: DataFrame, keys: list[str], revision: str) -> DataFrame:
     return best.select(*keys, *(F.col("best")[c].alias(c) for c in (revision, *rest)))
 
 
-def run_versions(stream: DataFrame, path: str, step: Callable[[DataFrame, DataFrame | None], DataFrame]) -> DataFrame:
-    """Folds a stream into a table: each batch writes the next version of it, from the last one and the batch.
+def state(spark, path: str, schema: str, below: int | None = None) -> DataFrame:
+    """The rows of each bucket's newest folder (of a batch below `below`), without further columns; empty if there is none."""
+    rows = spark.read.schema(f"{schema}, batch long, bucket int").option("basePath", path).parquet(f"{path}/batch=*") if _any(spark, path) else spark.createDataFrame([], f"{schema}, batch long, bucket int")
+    if below is not None:
+        rows = rows.where(F.col("batch") < below)
+    last = rows.groupBy(F.col("bucket").alias("_bucket")).agg(F.max("batch").alias("_batch"))
+    return rows.join(F.broadcast(last), (F.col("bucket") == F.col("_bucket")) & (F.col("batch") == F.col("_batch"))).drop("_bucket", "_batch", "batch")  # BUCKETS rows
+
+
+def _any(spark, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*")
+    told = found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found)
+    return bool(told and len(told))
+
 
-    A version is overwritten when its batch is repeated, so a repeated batch changes nothing.
+def run_versions(stream: DataFrame, path: str, keys: list[str], schema: str, step: Callable[[DataFrame, DataFrame], DataFrame], buckets: int = BUCKETS) -> DataFrame:
+    """Folds a stream into a table of the given schema under path/table and returns it.
+
+    step(batch, old) gives the new rows of the buckets that a batch touches from their old ones.
     """
-    spark, done = stream.sparkSession, []
-    at = lambda n: f"{path}/version={n}"
+    spark, table = stream.sparkSession, f"{path}/table"
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
 
     def write(batch: DataFrame, n: int) -> None:
-        old = batch.sparkSession.read.parquet(at(n - 1)) if n else None
-        step(batch, old).write.mode("overwrite").parquet(at(n))
-        done.append(n)
+        own = batch.sparkSession
+        touched = batch.select(bucket).distinct()
+        old = state(own, table, schema, n).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
+        now = step(batch, old).withColumn("bucket", bucket)
+        now.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table}/batch={n}")
 
     run = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.parquet(at(max(done))) if done else spark.createDataFrame([], stream.schema)
+    return state(spark, table, schema).drop("bucket")
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def sync(stream: DataFrame, path: str, keys: list[str], revision: str) -> DataFrame:
     """The newest revision for each key; a late older one never replaces it."""
-    return run_versions(stream, path, lambda batch, old: newest(batch if old is None else old.unionByName(batch), keys, revision))
+    return run_versions(stream, path, keys, _ddl(stream), lambda batch, old: newest(old.unionByName(batch), keys, revision).select(*stream.columns))
 
 
-def embed_pending(stream: DataFrame, path: str, key: str, embed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Embeddings of all rows, each key once; a resumed run embeds only what has none."""
+def embed_pending(stream: DataFrame, path: str, key: str, embed: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
+    """Embeddings (of the given schema) of all rows, each key once; a resumed run embeds only what has none. Of rows that repeat a key in a batch one is embedded."""
 
-    def step(batch: DataFrame, old: DataFrame | None) -> DataFrame:
-        batch = batch.dropDuplicates([key])
-        return embed(batch) if old is None else old.unionByName(embed(unseen(batch, old, [key])))
+    def step(batch: DataFrame, old: DataFrame) -> DataFrame:
+        return old.unionByName(embed(unseen(batch.dropDuplicates([key]), old, [key])))
 
-    return run_versions(stream, path, step)
+    return run_versions(stream, path, [key], schema, step)

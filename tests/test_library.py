@@ -42,8 +42,16 @@ def test_text_functions(spark):
 
 def test_word_windows_have_no_overlap_only_tail(spark):
     words = " ".join(map(str, range(560)))
-    cut = spark.createDataFrame([(words,), ("",)], "s string").select(t.word_windows(F.col("s")).alias("w")).collect()
-    assert [len(w) for w in cut[0]["w"]] == [300, 300] and cut[0]["w"][1][0] == "260" and cut[1]["w"] == []
+    cut = t.windowed(spark.createDataFrame([(1, words), (2, ""), (3, None)], "k int, s string"), ["k"], "s").orderBy("i").collect()
+    assert [len(r["ws"]) for r in cut] == [300, 300] and cut[1]["ws"][0] == "260" and {r["k"] for r in cut} == {1}
+
+
+def test_text_parts(spark):
+    text = "a b, c d. e"
+    row = spark.createDataFrame([(text,)], "s string").select(
+        t.token_tail(F.col("s"), 3).alias("tail"), t.token_tail(F.col("s"), 99).alias("all"), t.numbers(F.lit("-3,5% x-4 7 a8")).alias("n"), t.lexical_query(F.array(F.lit("a (b)"), F.lit("c"), F.lit("!"), F.lit("c"))).alias("q"), t.composed(F.lit("e\u0301")).alias("nfc"),
+    ).first()
+    assert row["tail"] == "d. e" and row["all"] == text and row["n"] == ["-3.5%", "4", "7"] and row["q"] == '"a b" OR c' and row["nfc"] == "é"
 
 
 def test_upsert_replaces_by_key(spark):

@@ -1,11 +1,14 @@
 """Glossary, tables, raw objects, cases, restore and streams on small rows, with nulls, ties and repeats."""
 
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators.terms import completions, glossary, resolved, table_rows
+from tessera.operators.terms import completions, glossary, matched, resolved, similar, table_rows
 from tessera.plans.hooks import embedded, hash_embed
 from tessera.sources.raw import case_issues, raw_pages, write_report
+from tessera.sources.sinks import append_unseen, write_groups, write_new, write_upsert
 from tessera.sources.snapshot import restored, write_snapshot
 from tessera.streaming.sync import embed_pending, sync
 
@@ -22,22 +25,52 @@ def test_glossary_file(spark, tmp_path):
 
 
 def test_resolve_prefers_whole_phrases(spark):
-    known = glossary(spark.createDataFrame([("Ham Bat", None, None, "w", "", True), ("Bat", "", "", "w", "", False)], GLOSSARY))
-    asked = spark.createDataFrame([(1, "ham bat"), (2, "a bat here"), (3, None), (4, "")], "query_id long, text string")
+    known = glossary(spark.createDataFrame([("Ham Bat", None, None, "w", "", True), ("Bat", "", "", "w", "", False), ("a very long name of five", "", "", "w", "", False)], GLOSSARY))
+    asked = spark.createDataFrame([(1, "ham bat"), (2, "a bat here"), (3, None), (4, ""), (5, "hamm bat"), (6, "a very long name of five"), (7, "bats")], "query_id long, text string")
     found = [(r["query_id"], r["entity"], r["rank"]) for r in resolved(asked, known).orderBy("query_id", "rank").collect()]
-    assert found == [(1, "Ham Bat", 1), (1, "Bat", 2), (2, "Bat", 1)]
+    assert found == [(1, "Ham Bat", 1), (1, "Bat", 2), (2, "Bat", 1), (5, "Bat", 1), (5, "Ham Bat", 2), (6, "a very long name of five", 1), (7, "Bat", 1)]
+
+
+STRINGS = ["bat", "ham bat", "zz", "log", "catalog", "ab", "", "hamm bats", "table", "bat", "aaaa", "aa", "goal", "abcdefgh", "abdcefhg"]
+
+
+@pytest.mark.parametrize("floor", [0.55, 0.78, 1.0])
+def test_similar_strings_match_brute_force(spark, floor):
+    one, two = [(x,) for x in [*STRINGS, None]], [(x,) for x in STRINGS[::-1]]
+    found = {(r["a"], r["b"]) for r in similar(spark.createDataFrame(one, "a string"), spark.createDataFrame(two, "b string"), floor).collect()}
+    assert found == {(a, b) for a in STRINGS for b in STRINGS if a and b and SequenceMatcher(None, a, b).ratio() >= floor}
+
+
+def test_matches_in_three_tiers_equal_brute_force(spark):
+    names, asked = ["ham bat", "bat", "log", "catalogue", "gold bar", "ab"], ["ham bat", "my bat", "cat", "golden bar", "loggy", "xx", "ab", "ham bta"]
+    known = spark.createDataFrame([(x, x, x, 10, True) for x in names], "entity string, alias string, normalized string, priority int, verified boolean")
+    found = {(asked[r["query_id"]], r["normalized"]): (r["tier"], r["similarity"]) for r in matched(spark.createDataFrame(list(enumerate(asked)), "query_id long, text string"), known).collect()}
+    want = {}
+    for q in asked:
+        for n in names:
+            r = SequenceMatcher(None, q, n).ratio()
+            tier = 4 if q == n else 2 if min(len(q), len(n)) >= 3 and (n.startswith(q) or q.startswith(n) or f" {n} " in f" {q} ") else 1 if r >= 0.78 else 0
+            if tier:
+                want[q, n] = (tier, round(1.0 if tier == 4 else r, 6))
+    assert found == want
 
 
 def test_completions_match_brute_force(spark):
-    queries, titles = ["bat", "ham bat x", "zz", "log"], ["ham bat", "bat", "log", "catalog", "ab"]
-    found = {(r["q"], r["title"]) for r in completions(spark.createDataFrame([(q,) for q in queries], "q string"), spark.createDataFrame([(x,) for x in titles], "title string")).collect()}
-    assert found == {(q, x) for q in queries for x in titles if min(len(q), len(x)) >= 3 and (q in x or x in q)}
+    queries, titles = ["bat", "ham bat x", "zz", "log", "ctalog", "ab"], ["ham bat", "bat", "log", "catalog", "ab"]
+    found = {(r["q"], r["title"]): r["score"] for r in completions(spark.createDataFrame([(q,) for q in queries], "q string"), spark.createDataFrame([(x,) for x in titles], "title string")).collect()}
+    want = {}
+    for q in queries:
+        for x in titles:
+            r, contains = SequenceMatcher(None, q, x).ratio(), min(len(q), len(x)) >= 3 and (q in x or x in q)
+            if contains or r >= 0.55:
+                want[q, x] = (1000 if q == x else 500 if q in x or x in q else 0) + round(r, 6)
+    assert found == want
 
 
 def test_table_rows_keep_overflow(spark):
     markup = "{| class=x\n! a !! b\n|-\n| 1 || 2 || 3\n|}"
     rows = spark.createDataFrame([(markup,), ("",), (None,)], "m string").select(table_rows(F.col("m")).alias("r")).collect()
-    assert rows[0]["r"] == ["Row 1: a: 1; b: 2; 3"] and not rows[1]["r"]
+    assert rows[0]["r"] == ["Table:", "Row 1: a: 1; b: 2; 3"] and not rows[1]["r"]
 
 
 def test_raw_pages_quarantine(spark):
@@ -75,15 +108,33 @@ def _two_files(spark, tmp_path, first, second, schema):
 
 def test_late_revisions_do_not_win(spark, tmp_path):
     stream = _two_files(spark, tmp_path, [(1, 5, "new"), (2, 1, "a")], [(1, 3, "old"), (2, 2, "b")], "k long, rev long, v string")
-    assert sorted(map(tuple, sync(stream, str(tmp_path / "t"), ["k"], "rev").collect())) == [(1, 5, "new"), (2, 2, "b")]
+    for _ in range(2):  # the second run finds nothing new
+        assert sorted(map(tuple, sync(stream, str(tmp_path / "t"), ["k"], "rev").collect())) == [(1, 5, "new"), (2, 2, "b")]
+    spark.createDataFrame([(2, 9, "c"), (3, 1, "d")], "k long, rev long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert sorted(map(tuple, sync(stream, str(tmp_path / "t"), ["k"], "rev").collect())) == [(1, 5, "new"), (2, 9, "c"), (3, 1, "d")]
 
 
 def test_pending_rows_are_embedded_once(spark, tmp_path):
     stream = _two_files(spark, tmp_path, [(1, "a b"), (1, "a b")], [(1, "a b"), (2, None)], "k long, text string")
-    found = embed_pending(stream, str(tmp_path / "t"), "k", lambda rows: embedded(rows, "k", "text")).collect()
+    run = lambda: embed_pending(stream, str(tmp_path / "t"), "k", lambda rows: embedded(rows, "k", "text"), "k long, embedding array<double>")
+    found = run().collect()
+    assert sorted(map(tuple, run().collect())) == sorted(map(tuple, found))  # nothing new, nothing lost
     assert sorted(r["k"] for r in found) == [1, 2] and not any(next(r["embedding"] for r in found if r["k"] == 2))
 
 
 def test_hash_vectors_are_stable_units():
     a, b, none = hash_embed(["x y z", "X  y z", None])
     assert (a == b).all() and abs((a * a).sum() - 1) < 1e-6 and not none.any()
+
+
+def test_sinks_replace_only_what_they_are_told(spark, tmp_path):
+    path = str(tmp_path / "t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "k long, v string")
+    write_new(frame((1, "a"), (2, "b"), (3, "c")), path, ["k"])
+    read = lambda: sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect())
+    write_upsert(frame((2, "B"), (4, "d")), path, ["k"])
+    assert read() == [(1, "a"), (2, "B"), (3, "c"), (4, "d")]
+    write_groups(frame((3, "x"), (3, "y")), path, frame((1, ""), (3, "")), "k")
+    assert read() == [(2, "B"), (3, "x"), (3, "y"), (4, "d")]
+    told = append_unseen(frame((4, "no"), (5, "e")), path, ["k"]).first()
+    assert (told["uploaded"], told["existing"]) == (1, 1) and read()[-1] == (5, "e")
