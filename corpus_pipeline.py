@@ -1,7 +1,12 @@
 """A training-data pipeline over `documents`: each stage works on all that its predecessor kept.
 
 The first four stages return the columns of documents; the last one returns the mixture, a row for each document and
-epoch it is drawn in. Rows with a null doc_id pass; null texts are empty texts.
+epoch it is drawn in.
+
+Defined results, in every stage: null texts are empty texts; rows with a null doc_id are judged for quality, lose
+repeated lines and otherwise pass; rows that repeat a doc_id share its fate and are each kept or dropped; documents of
+equal rank are told apart by doc_id; an empty table gives an empty result; other columns are ignored. Empty texts are
+in no mixture.
 """
 
 from __future__ import annotations
