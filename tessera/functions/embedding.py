@@ -13,17 +13,20 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 
 DIMS = 256
-_cells: dict[str, tuple[int, float]] = {}
 
 
-def _cell(feature: str) -> tuple[int, float]:
-    """The cell and sign of a feature, by its SHA-256."""
-    if feature not in _cells:
-        if len(_cells) > 500_000:
-            _cells.clear()
-        digest = hashlib.sha256(feature.encode()).hexdigest()
-        _cells[feature] = int(digest[:8], 16) % DIMS, 1.0 if int(digest[8:10], 16) % 2 == 0 else -1.0
-    return _cells[feature]
+class _Cells(dict):
+    """Each feature's cell, times two, and one more if its sign is minus; by its SHA-256."""
+
+    def __missing__(self, feature: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        digest = hashlib.sha256(feature.encode()).digest()
+        self[feature] = code = int.from_bytes(digest[:4]) % DIMS * 2 + digest[4] % 2
+        return code
+
+
+_cells = _Cells()
 
 
 def hash_embed(texts: list[str]) -> list[np.ndarray]:
@@ -31,8 +34,11 @@ def hash_embed(texts: list[str]) -> list[np.ndarray]:
     found = []
     for text in texts:
         words = (text or "").lower().split()
-        cells = [(*_cell(w), 1.0) for w in words] + [(*_cell(f"{a} {b}"), 0.5) for a, b in zip(words, words[1:], strict=False)]
-        v = np.bincount([c for c, _, _ in cells], weights=[s * w for _, s, w in cells], minlength=DIMS) if cells else np.zeros(DIMS)
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+        codes = np.array(list(map(_cells.__getitem__, words + pairs)), np.int64)
+        weights = np.where(codes & 1, -1.0, 1.0)
+        weights[len(words) :] *= 0.5
+        v = np.bincount(codes >> 1, weights=weights, minlength=DIMS)
         norm = np.linalg.norm(v)
         found.append(v / norm if norm else v)
     return found

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as t
 from tessera.operators.textual import _TERMS
 from tessera.registry import query, table
+from tessera.sources.shared import new_path
 
 #: Claims of fewer words need no citation.
 LEAST_WORDS = 4
@@ -246,11 +247,15 @@ def numbered(rows: DataFrame, group: str, order: list[Column], ranges: int | Non
     """rows with rank, their place in the order of their group, without putting a group into one task.
 
     Rows are range-partitioned by group and order and numbered within each partition; what earlier partitions hold of
-    the group is added. The rows must be distinct in the order.
+    the group is added. The ranges come from a sample, so rows are written with the number of theirs. The rows must be
+    distinct in the order.
     """
     spark = rows.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.repartitionByRange(ranges, F.col(group).asc_nulls_first(), *order).withColumn("_part", F.spark_partition_id())
+    path = new_path(spark, "ranges")
+    cut.write.parquet(path)
+    cut = spark.read.schema(cut.schema).parquet(path)
     counts = cut.groupBy(group, "_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(F.col(group).alias("_g"), F.col("_part").alias("_p"), before.alias("_before"))

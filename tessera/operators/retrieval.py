@@ -163,7 +163,8 @@ def reranked(candidates: DataFrame, queries: DataFrame, docs: DataFrame, advice:
     Scores have six digits; halves are lifted so that every engine rounds them alike.
     queries: item_id, words, titles, intent. docs: doc_id, text, subjective.
     """
-    rows = candidates.join(docs.select("doc_id", t.terms(F.col("text")).alias("held"), "subjective"), "doc_id").join(queries.select("item_id", "words", "titles", F.col("intent").alias("wanted")), "item_id")
+    # Only candidates' texts are split.
+    rows = candidates.join(docs.select("doc_id", "text", "subjective"), "doc_id").withColumn("held", t.terms(F.col("text"))).join(queries.select("item_id", "words", "titles", F.col("intent").alias("wanted")), "item_id")
     share = lambda c: F.when(F.size("words") > 0, F.size(F.array_intersect("words", c)) / F.size("words")).otherwise(0.0)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     rows = rows.withColumns({
@@ -209,8 +210,9 @@ def accepted(rows: DataFrame, body: str = "body", scope: Column | None = None, t
 
 
 def _evidence(spark, sf) -> DataFrame:
-    bodies = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("body"), t.token_count(F.col("text")).alias("n_tokens"))
-    return accepted(_judged(spark, sf).join(bodies, "doc_id"), scope=F.col("section") == "en")
+    rows = _judged(spark, sf).join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    rows = rows.withColumns({"body": F.sha2("text", 256), "n_tokens": t.token_count(F.col("text"))}).drop("text")
+    return accepted(rows, scope=F.col("section") == "en")
 
 
 _ACC = rf"""{_RR}, acc AS (SELECT item_id, doc_id, title, section, rerank_score, place, len(regexp_extract_all(text, '{t.TOKEN}'))::BIGINT AS n_tokens, row_number() OVER (PARTITION BY item_id ORDER BY place)::BIGINT AS n FROM (
