@@ -10,10 +10,11 @@ confirmed on the full sets.
 No bucket is ever paired in full. Equal sets collapse to one representative; each bucket is a star around its
 smallest member; stars that hold give components, and then only members of *different* components that still
 share a bucket are compared. So every pair that shares a band either is connected already or has been compared.
-Large buckets of unconnected members are variants of one text, mostly too far apart. Their members meet by their rarest
-shingles instead of by bucket, so that no bucket is one task: sets that are similar enough have one of these in common
-for certain. Shingles that occur in one component alone can't be shared, so a member that has many of them offers none
-to others; they also bound each pair's intersection before it becomes a row.
+Large buckets of unconnected members are variants of one text, mostly too far apart. Their members meet by the first
+of their shingles instead of by bucket, so that no bucket is one task: in one order of all shingles, sets that are
+similar enough have one of these in common for certain. Shingles that occur in one component alone come first, and as
+they can't be shared, a member that has many of them offers none to others; they also bound each pair's intersection
+before it becomes a row.
 
 Defined results: null text = empty text; a text without words has the empty set, links with nothing and is kept;
 a null doc_id links with nothing (component_id null, kept true); rows with equal doc_id are each returned;
@@ -28,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm._common import mix, shingle_sets, texts, written
 
@@ -205,24 +205,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     across = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") < F.col("y.rep")) & close("x", "y"))
     across = across.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
-    # Members of large buckets meet by shingle instead, each with its rarest ones: of two sets that are similar enough
-    # the larger one's `probes` and the smaller one's `offers` rarest shingles have one in common.
+    # Members of large buckets meet by shingle instead, each with its first ones in one order of all shingles: of two sets
+    # that are similar enough the larger one's first `probes` and the smaller one's first `offers` have one in common.
     members = left.join(large, "key").select("rep", "comp").distinct()
     listed = members.join(docs, F.col("rep") == F.col("doc_id")).select("rep", "comp", "text").mapInArrow(lister(width), "rep long, comp long, digest binary, shingles array<long>")
     # A doc_id can stand in many rows, of one text or of several: each of its sets is counted once.
     listed = written(listed.dropDuplicates(["rep", "digest"]).withColumn("n", F.size("shingles")), "shingles")
-    held = listed.select("rep", "comp", "digest", "n", F.explode("shingles").alias("shingle"))
-    # What one component alone holds can't be shared; it comes first in every set and is only counted.
-    shared = held.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("often")).where("low < high").select("shingle", "often")
-    held = held.join(shared, "shingle")
-    of_set = Window.partitionBy("rep", "digest")
-    held = held.withColumns({"own": F.col("n") - F.count("*").over(of_set), "at": F.row_number().over(of_set.orderBy("often", "shingle"))})
-    held = held.withColumns({"at": F.col("own") + F.col("at"), "probes": F.expr(f"n - ceil({percent} * n / 100) + 1"), "offers": F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1")})
-    held = held.where(F.col("at") <= F.col("probes")).join(sized, ["rep", "digest"])
+    # What one component alone holds can't be shared; it comes first in every set and is only counted. The others follow
+    # in the order of their hashes, the same in every set.
+    held = listed.select("rep", "comp", "digest", F.explode("shingles").alias("shingle"))
+    alone = held.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low = high").select("shingle")
+    alone = held.join(alone, "shingle", "left_semi").groupBy("rep", "digest").agg(F.collect_list("shingle").alias("alone"))
+    held = listed.join(alone, ["rep", "digest"], "left").withColumn("rest", F.array_except("shingles", F.coalesce("alone", F.array().cast("array<bigint>"))))
+    held = held.withColumns({"own": F.col("n") - F.size("rest"), "probes": F.expr(f"n - ceil({percent} * n / 100) + 1"), "offers": F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1")})
+    held = held.select("rep", "comp", "digest", "own", "offers", F.posexplode(F.slice("rest", F.lit(1), F.greatest(F.col("probes") - F.col("own"), F.lit(0)).cast("int"))).alias("at", "shingle"))
+    held = held.join(sized, ["rep", "digest"])
     # The intersection is within what either set shares with any other.
     most = F.least(F.col("x.n_shingles") - F.col("x.own"), F.col("y.n_shingles") - F.col("y.own"))
     possible = most * (100 + percent) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * percent
-    offered = held.where(F.col("at") <= F.col("offers")).alias("y")
+    offered = held.where(F.col("own") + F.col("at") < F.col("offers")).alias("y")
     met = held.alias("x").join(offered, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n_shingles") >= F.col("y.n_shingles")) & possible & close("x", "y"))
     across = across.union(met.select(F.least("x.rep", "y.rep"), F.greatest("x.rep", "y.rep"))).distinct().join(starred, ["a", "b"], "left_anti")
     across = written(across, "cross_pairs")
