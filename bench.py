@@ -1,7 +1,7 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
 Each query is timed once after a small one has warmed the session up. single_query is the 95th percentile of ten vector
-searches of one query each, single_hybrid the time of one hybrid search whose vectors are written already.
+searches of one query each.
 """
 
 import json
@@ -10,13 +10,11 @@ import tempfile
 import time
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from tessera import library
-from tessera.functions.embedding import embedded
 from tessera.operators import retrieval
 
-NAMES = ["topk_vector", "job_hybrid_search", "job_chunk_words", "job_hash_embed", "win_dedupe_body", "agg_readiness_counts", "topk_lexical", "job_retrieve", "job_bounded_bfs", "job_build_corpus"]
+NAMES = ["topk_vector", "job_hybrid_search", "job_chunk_words", "job_hash_embed", "win_dedupe_body", "agg_readiness_counts", "topk_lexical"]
 
 
 def timed(df) -> float:
@@ -41,10 +39,6 @@ def main() -> None:
     queries, chunks = retrieval._vectors(spark, sf_dir)
     asked = spark.createDataFrame(queries.limit(1).collect(), queries.schema)
     times["single_query"] = sorted(timed(retrieval.match_vectors(asked, chunks)) for _ in range(10))[9]
-    path = f"{folder}/vectors"
-    embedded(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").withColumnRenamed("doc_id", "vec_id").write.parquet(path)
-    items = retrieval._items(spark, sf_dir).where(F.col("item_id") == 0)
-    times["single_hybrid"] = timed(retrieval.hybrid(items, retrieval._docs(spark, sf_dir), spark.read.parquet(path)))
     print(json.dumps({"metric": "total_seconds", "value": round(sum(times[n] for n in NAMES), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir).removeprefix("sf")}))
 
 
