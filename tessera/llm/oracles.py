@@ -92,4 +92,55 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 FROM d LEFT JOIN told USING (doc_id)
 """
 
-ORACLES = {"op3_blob_ledger": OP3, "op4_odd_sketch_dedup": OP4, "op6_line_dedup": OP6, "op7_reply_trees": OP7, "op8_pivot_topk": OP8}
+OP11 = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex({_LOW.format("coalesce(text, '')")}, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM words
+), items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c
+  FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (SELECT a, b FROM shared WHERE 100 * c >= 85 * (na + nb - c)),
+reach AS (SELECT a AS doc_id, b AS other FROM links UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a),
+low AS (SELECT doc_id, min(other) AS m FROM reach GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id
+FROM sets s LEFT JOIN low USING (doc_id)
+"""
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         list_filter(string_split_regex({_LOW.format("coalesce(text, '')")}, '[\x00-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), grp AS (SELECT DISTINCT lang, source FROM d),
+words AS (SELECT r, lang, source, term, count(*) AS c FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+tally AS (SELECT lang, source, term, sum(c)::HUGEINT AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(t.c, 0)::HUGEINT AS c FROM grp g JOIN kept k USING (lang) LEFT JOIN tally t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+p AS (SELECT c.lang, source, term, c, 1 + 1000000000::HUGEINT * (c + 2) // (sum(c) OVER (PARTITION BY c.lang, source) + 2 * v)::HUGEINT AS p FROM cells c JOIN v ON c.lang = v.lang),
+whole AS (SELECT lang, term, sum(c)::HUGEINT AS c FROM cells GROUP BY ALL),
+q AS (SELECT w.lang, term, 1 + 1000000000::HUGEINT * (c + 2) // (sum(c) OVER (PARTITION BY w.lang) + 2 * v)::HUGEINT AS q FROM whole w JOIN v ON w.lang = v.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+told AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0)::BIGINT AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT p.lang, source, 'term', p.term, ((p - q) * (p - q) // (p + q))::BIGINT FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE c > 0 AND p > q
+)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM told QUALIFY part = 'pair' OR rank <= 10
+"""
+
+OP13 = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), met AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, c.r AS c, c.vec_id AS other_id, a.label = c.label AS same, list_dot_product(a.e, c.e)::BIGINT AS score FROM v a JOIN v c ON a.r <> c.r WHERE a.vec_id % 100 = 0
+), pos AS (SELECT * FROM met WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, other_id, c) <= 5)
+SELECT p.anchor_id, p.other_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.c ORDER BY n.score DESC, n.other_id, n.c)::INT AS rank, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM pos p JOIN met n ON p.a = n.a AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score QUALIFY rank <= 5
+"""
+
+ORACLES = {"op3_blob_ledger": OP3, "op4_odd_sketch_dedup": OP4, "op6_line_dedup": OP6, "op7_reply_trees": OP7, "op8_pivot_topk": OP8, "op11_combination_join": OP11, "op12_source_stripes": OP12, "op13_lemp_negatives": OP13}

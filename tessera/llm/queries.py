@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, html_text, licenses, line_dedup, mixing, near_dedup, quality, secrets, topk
+from tessera.llm import chat, combination_join, decontaminate, divergence, hard_negatives, html_text, licenses, line_dedup, mixing, near_dedup, quality, secrets, topk
 from tessera.llm._common import read
 
 
@@ -60,4 +60,17 @@ def op10_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_slot_templates, op2_temperature_mixing, op3_blob_ledger, op4_odd_sketch_dedup, op5_wrapper_text, op6_line_dedup, op7_reply_trees, op8_pivot_topk, op9_quality_cnn, op10_license_diagonals)}
+def op11_combination_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return combination_join.similar_documents(read(spark, sf_dir, "documents"), percent=85, width=4)
+
+
+def op12_source_stripes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"), min_docs=10, ranks=10)
+
+
+def op13_lemp_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+QUERIES = {f.__name__: f for f in (op1_slot_templates, op2_temperature_mixing, op3_blob_ledger, op4_odd_sketch_dedup, op5_wrapper_text, op6_line_dedup, op7_reply_trees, op8_pivot_topk, op9_quality_cnn, op10_license_diagonals, op11_combination_join, op12_source_stripes, op13_lemp_negatives)}
