@@ -96,7 +96,7 @@ def slicer(width: int, parts: int, least: int):
             new = np.concatenate(([True], tokens[1:] != tokens[:-1]))[: len(tokens)]
             owners[np.concatenate((~new[1:], [False]))[: len(tokens)]] = SEVERAL
             tokens, owners = tokens[new], owners[new]
-            cuts = np.searchsorted(tokens, (np.arange(parts + 1) * (COUNTED << 56) // parts).astype(np.uint64)) if parts > 1 else np.array([0, len(tokens)])
+            cuts = np.searchsorted(tokens, np.array([p * (COUNTED << 56) // parts for p in range(parts + 1)], np.uint64))
             rows = [(d, n, k, number, i, None, None, None, None) for i, (d, n, k) in enumerate(docs)]
             rows += [(None, None, None, number, None, p, int(b - a), _packed(tokens[a:b]), _packed(owners[a:b])) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
             return pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in rows], schema=_schema())
