@@ -31,7 +31,7 @@ def variants(seed, per_base):
 
 def sets_of(rows, width):
     for _, text in rows:
-        w = (text or "").split()
+        w = (text or "").lower().split()
         yield {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
 
