@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.embedding import hash_embed
 from tessera.registry import query, table
+from tessera.sources.shared import new_path
 from tessera.sources.sinks import unseen
+from tessera.sources.versions import VersionedTable
 
 # What keeps a corpus version from being activated, in order.
 FINDINGS = (
@@ -55,9 +58,9 @@ def single_active(versions: DataFrame) -> DataFrame:
     return row.where(F.assert_true(F.col("n_active") <= 1, "more than one active version").isNull())
 
 
-def _moved(versions: DataFrame, ready: DataFrame, wanted: DataFrame, required: str, needs_active: bool) -> DataFrame:
+def _moved(versions: DataFrame, ready: DataFrame, wanted: DataFrame, required: str, needs_active: bool, stamp: Callable[[Column], Column], key: str, at: str) -> DataFrame:
     one = wanted.agg(F.count("*").alias("asked"), F.max("version").alias("target"))
-    states = versions.select(F.col("version").alias("v"), F.col("status").alias("was")).join(ready.select(F.col("version").alias("rv"), "ready"), F.col("v") == F.col("rv"), "left")
+    states = versions.select(F.col("version").alias("v"), F.col("status").alias("was")).join(ready.select(F.col("version").alias("rv"), "ready", "findings"), F.col("v") == F.col("rv"), "left")
     target = one.join(states, F.col("target") == F.col("v"), "left").crossJoin(single_active(versions))  # one row
     none = F.col("target").isNull()
     checks = {
@@ -65,26 +68,52 @@ def _moved(versions: DataFrame, ready: DataFrame, wanted: DataFrame, required: s
         "the version is not ready": none | F.coalesce("ready", F.lit(False)), "no version is active": none | F.lit(not needs_active) | F.col("active").isNotNull(),
     }
     for text, holds in checks.items():
-        target = target.where(F.assert_true(holds, text).isNull())
+        told = F.concat(F.lit(f"{text}: "), F.array_join("findings", ",")) if text.endswith("ready") else F.lit(text)
+        target = target.where(F.assert_true(holds, told).isNull())
     target = target.select("target", "active")
-    rows = versions.crossJoin(F.broadcast(target))
+    rows = versions.crossJoin(F.broadcast(target))  # with one row
     rises, falls = F.coalesce(F.col("version") == F.col("target"), F.lit(False)), F.col("target").isNotNull() & (F.col("status") == "active")
     status = F.when(rises, "active").when(falls, "archived").otherwise(F.col("status"))
-    return rows.select("version", status.alias("status"), F.when(rises, F.col("active")).alias("replaced"))
+    stamped = F.map_from_entries(F.array(F.struct(F.lit(key), stamp(F.lit(at)))))
+    manifest = F.when(rises, F.map_concat(F.map_filter("manifest", lambda k, _: k != key), stamped)).otherwise(F.col("manifest"))
+    return rows.select("version", status.alias("status"), manifest.alias("manifest"), *(c for c in versions.columns if c not in ("version", "status", "manifest")))
 
 
-def activated(versions: DataFrame, ready: DataFrame, wanted: DataFrame) -> DataFrame:
-    """version, status, replaced after the wanted version (one row, or none: nothing changes) has become active.
+def activated(versions: DataFrame, ready: DataFrame, wanted: DataFrame, at: str) -> DataFrame:
+    """versions after the wanted one (one row, or none: nothing changes) has become active.
 
     It must be validating and ready, and the active one, if any, is archived with it; anything else is an error and
-    leaves all as it is. ready: readiness with current revisions.
+    leaves all as it is. The manifest gets `activation`: when, and which version it follows. ready: readiness with
+    current revisions.
     """
-    return _moved(versions, ready, wanted, "validating", False)
+    stamp = lambda at: F.to_json(F.struct(at.alias("activated_at"), F.col("active").alias("previous_version")))
+    return _moved(versions, ready, wanted, "validating", False, stamp, "activation", at)
 
 
-def rolled_back(versions: DataFrame, ready: DataFrame, wanted: DataFrame) -> DataFrame:
-    """As activated, for an archived version that takes the place of the active one. ready: readiness without current revisions."""
-    return _moved(versions, ready, wanted, "archived", True)
+def rolled_back(versions: DataFrame, ready: DataFrame, wanted: DataFrame, at: str) -> DataFrame:
+    """As activated, for an archived version that takes the place of the active one; `rollback` says which it replaced.
+
+    ready: readiness without current revisions.
+    """
+    stamp = lambda at: F.to_json(F.struct(at.alias("rolled_back_at"), F.col("active").alias("replaced_version")))
+    return _moved(versions, ready, wanted, "archived", True, stamp, "rollback", at)
+
+
+def switch(store: VersionedTable, chunks: DataFrame, pages: DataFrame, version, back: bool = False, at: str | None = None) -> int:
+    """Activates a version (or rolls back to it) in a stored table of versions; the number of the new table.
+
+    Readiness is judged on the table that was read, and if another has been committed meanwhile the switch is an error
+    (ConcurrentChange) that leaves that one in place. None for version changes nothing.
+    """
+    number, versions = store.read()
+    if versions is None:
+        raise ValueError("the table of versions is empty")
+    if version is None:
+        return number
+    at = at or datetime.now(timezone.utc).isoformat()
+    wanted = versions.sparkSession.range(1).select(F.lit(version).cast(versions.schema["version"].dataType).alias("version"))
+    moved = (rolled_back if back else activated)(versions, readiness(versions, chunks, pages, current=not back), wanted, at)
+    return store.commit(number, moved, {"action": "rollback" if back else "activation", "version": str(version), "at": at})
 
 
 def _corpus(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -128,23 +157,29 @@ def agg_readiness_findings(spark, sf):
     return readiness(*corpus).join(archived, "version").select("version", "ready", F.array_join("findings", ",").alias("findings"), "archived_findings")
 
 
+def _switched(spark, sf, back: bool) -> DataFrame:
+    versions, chunks, pages = _corpus(spark, sf)
+    store = VersionedTable(spark, new_path(spark, "versions"))
+    store.commit(0, versions)
+    ready = readiness(versions, chunks, pages, current=not back).where("ready")
+    first = versions.where(F.col("status") == ("archived" if back else "validating")).join(ready, "version").agg(F.min("version")).first()[0]
+    switch(store, chunks, pages, first, back)
+    _, now = store.read()
+    told = F.get_json_object(F.try_element_at("manifest", F.lit("rollback" if back else "activation")), "$.replaced_version" if back else "$.previous_version")
+    return now.select("version", "status", told.cast("long").alias("replaced"))
+
+
 @query(f"""WITH {_V}, {_READY}, t AS (SELECT min(version) AS t FROM r WHERE status = 'validating' AND len(findings) = 0)
  SELECT version, CASE WHEN version = t THEN 'active' WHEN status = 'active' AND t IS NOT NULL THEN 'archived' ELSE status END AS status, CASE WHEN version = t THEN (SELECT max(version) FROM v WHERE status = 'active') END AS replaced FROM v, t""")
 def life_activate(spark, sf):
-    """The first version that may rise does."""
-    versions, chunks, pages = _corpus(spark, sf)
-    ready = readiness(versions, chunks, pages)
-    wanted = versions.where("status = 'validating'").join(ready.where("ready"), "version").agg(F.min("version").alias("version")).where("version is not null")
-    return activated(versions, ready, wanted)
+    """The first version that may rise does, in a stored table of versions that is read back."""
+    return _switched(spark, sf, back=False)
 
 
 @query(f"""WITH {_V}, {_READY}, t AS (SELECT min(version) AS t FROM r WHERE status = 'archived' AND len(archived_findings) = 0)
  SELECT version, CASE WHEN version = t THEN 'active' WHEN status = 'active' AND t IS NOT NULL THEN 'archived' ELSE status END AS status, CASE WHEN version = t THEN (SELECT max(version) FROM v WHERE status = 'active') END AS replaced FROM v, t""")
 def life_rollback(spark, sf):
-    versions, chunks, pages = _corpus(spark, sf)
-    ready = readiness(versions, chunks, pages, current=False)
-    wanted = versions.where("status = 'archived'").join(ready.where("ready"), "version").agg(F.min("version").alias("version")).where("version is not null")
-    return rolled_back(versions, ready, wanted)
+    return _switched(spark, sf, back=True)
 
 
 @query(f"WITH {_V} SELECT max(version) FILTER (status = 'active') AS active, count(*) FILTER (status = 'active')::BIGINT AS n_active FROM v")
@@ -230,52 +265,3 @@ def agg_embedding_status(spark, sf):
     row = table(spark, sf, "documents").select("doc_id").join(done, "doc_id", "left").agg(n.alias("chunks"), has.alias("embedded"))
     missing = F.col("chunks") - F.col("embedded")
     return row.select("chunks", "embedded", missing.alias("missing"), F.when(missing == 0, "passed").when(F.col("embedded") > 0, "partial").otherwise("failed").alias("status"))
-
-
-def crawled(edges: DataFrame, seeds: DataFrame, denied: Callable[[Column], Column], depth: int, most: int | None = None) -> DataFrame:
-    """node, depth, reason, included, truncated of what a walk from the seeds meets, breadth first.
-
-    edges: parent, child, ord (of a parent's children). seeds: node, ord. A node is met at its first place in the order
-    of (depth, path of ords); reason says seed or link, or why it is left out: what `denied` gives (null: nothing), or
-    page_cap beyond `most` included nodes. Nodes that are left out aren't walked from. truncated: whether the cap left
-    anything out. One join a level; paths stand for the order, so nothing is counted across a level.
-    """
-    def met(level: DataFrame, found: DataFrame | None) -> DataFrame:
-        first = level.groupBy("node").agg(F.min("path").alias("path"))
-        first = first if found is None else first.join(found.select("node"), "node", "left_anti")
-        return first.withColumn("denied", denied(F.col("node")))
-
-    level = met(seeds.select("node", F.array(F.col("ord").cast("long")).alias("path")), None)
-    found = level.withColumn("depth", F.lit(0).cast("long"))
-    for n in range(1, depth + 1):
-        ways = edges.join(level.where("denied is null").select(F.col("node").alias("parent"), "path"), "parent")
-        level = met(ways.select(F.col("child").alias("node"), F.concat("path", F.array(F.col("ord").cast("long"))).alias("path")), found)
-        found = found.union(level.withColumn("depth", F.lit(n).cast("long")))
-    allowed = found.where("denied is null")
-    if most is not None:
-        capped = allowed.orderBy("depth", "path").limit(most).select("node").withColumn("kept", F.lit(True))
-        found = found.join(capped, "node", "left")
-    else:
-        found = found.withColumn("kept", F.col("denied").isNull())
-    kept = F.coalesce("kept", F.lit(False))
-    reason = F.when(F.col("denied").isNotNull(), F.col("denied")).when(~kept, "page_cap").when(F.col("depth") == 0, "seed").otherwise("link")
-    cut = found.agg(F.max(F.col("denied").isNull() & ~kept).alias("truncated"))  # one row
-    return found.crossJoin(F.broadcast(cut)).select("node", "depth", reason.alias("reason"), (F.col("denied").isNull() & kept).alias("included"), "truncated")
-
-
-_WALK = """RECURSIVE edges AS (SELECT 'r' || r_regionkey AS parent, 'n' || n_nationkey AS child, n_nationkey::BIGINT AS ord FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL
- SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, o_orderkey FROM orders),
-walk AS (SELECT 'r' || r_regionkey AS node, 0::BIGINT AS depth, [r_regionkey::BIGINT] AS path FROM region WHERE r_regionkey < 2 UNION ALL
- SELECT child, depth + 1, list_append(path, ord) FROM walk JOIN edges ON parent = node WHERE depth < 3 AND NOT (node LIKE 'n%3') AND NOT (node LIKE 'c%5')),
-w AS (SELECT node, depth, path, CASE WHEN node LIKE 'n%3' THEN 'denied:category' WHEN node LIKE 'c%5' THEN 'denied:title' END AS d FROM walk),
-k AS (SELECT *, row_number() OVER (PARTITION BY d IS NULL ORDER BY depth, path) AS r FROM w)"""
-
-
-@query(f"WITH {_WALK} SELECT node, depth, CASE WHEN d IS NOT NULL THEN d WHEN r > 500 THEN 'page_cap' WHEN depth = 0 THEN 'seed' ELSE 'link' END AS reason, d IS NULL AND r <= 500 AS included, (SELECT count(*) FROM w WHERE d IS NULL) > 500 AS truncated FROM k")
-def job_bounded_bfs(spark, sf):
-    """Regions, nations, customers and orders as a tree of categories; some are denied, at most 500 pages are taken."""
-    edge = lambda name, p, a, c, b: table(spark, sf, name).select(F.concat(F.lit(p), a).alias("parent"), F.concat(F.lit(c), b).alias("child"), F.col(b).cast("long").alias("ord"))
-    edges = edge("nation", "r", "n_regionkey", "n", "n_nationkey").union(edge("customer", "n", "c_nationkey", "c", "c_custkey")).union(edge("orders", "c", "o_custkey", "o", "o_orderkey"))
-    seeds = table(spark, sf, "region").where("r_regionkey < 2").select(F.concat(F.lit("r"), "r_regionkey").alias("node"), F.col("r_regionkey").alias("ord"))
-    denied = lambda node: F.when(node.like("n%3"), "denied:category").when(node.like("c%5"), "denied:title")
-    return crawled(edges, seeds, denied, depth=3, most=500)

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as t
 from tessera.functions.embedding import embedded
+from tessera.operators.lexical import best_lexical, index_of, lexical_scores, write_index
+from tessera.operators.order import nearest_rank
 from tessera.operators.textual import _SEARCH, _TERMS, INTENTS, intent, intent_sql, vector_sql
 from tessera.operators.vectors import match_vectors, similarities
 from tessera.registry import query, table
+from tessera.sources.store import stored
 
 _COS = "round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6)"
 
@@ -50,24 +53,16 @@ def fn_cosine(spark, sf):
     return v.join(after, "vec_id").select("vec_id", cosine.alias("cosine"), F.least(F.greatest(cosine, F.lit(0.0)), F.lit(1.0)).alias("clamped"))
 
 
-def phrases(words: Column, n: int) -> Column:
-    """All runs of n words, joined by a space."""
-    count = F.size(words) - (n - 1)
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice("_words", i, n), " "))).otherwise(F.array().cast("array<string>"))
+def _index(spark, sf) -> DataFrame:
+    """The stored postings of the documents."""
+    docs = table(spark, sf, "documents")
+    return stored(docs, "postings", lambda path: write_index(docs, path))
 
 
-def lexical_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """item_id, doc_id, score: a tenth for each distinct term of a query (item_id, terms) that occurs in a document (doc_id, text).
-
-    A term is a word or a phrase of several words in search form; all are joined by equality with a document's words and
-    with its runs of as many words as any phrase has.
-    """
-    wanted = queries.select("item_id", F.explode(F.array_distinct("terms")).alias("term"))
-    widths = [r[0] for r in wanted.select(F.size(F.split("term", " ")).alias("n")).distinct().orderBy("n").collect()]  # lengths of phrases
-    held = docs.select("doc_id", t.terms(F.col("text")).alias("_words"))
-    every = [F.col("_words") if n == 1 else phrases(F.col("_words"), n) for n in widths] or [F.col("_words")]
-    held = held.select("doc_id", F.explode(F.array_distinct(F.concat(*every))).alias("term"))
-    return held.join(wanted, "term").groupBy("item_id", "doc_id").agg(F.round(F.count("*") * 0.1, 6).alias("score"))
+def _embedded(spark, sf, name: str, key: str) -> DataFrame:
+    """The stored vectors of a table's texts."""
+    rows = table(spark, sf, name)
+    return stored(rows, f"vectors-{name}", lambda path: embedded(rows, key, "text").write.parquet(path))
 
 
 def _items(spark, sf) -> DataFrame:
@@ -87,12 +82,7 @@ lexall AS (SELECT item_id, doc_id, round(sum(n) * 0.1, 6)::DOUBLE AS score FROM
 
 @query(f"WITH {_Q}, {_LEX} SELECT * FROM lexall")
 def join_postings(spark, sf):
-    return lexical_scores(_items(spark, sf), table(spark, sf, "documents"))
-
-
-def best_lexical(queries: DataFrame, docs: DataFrame, k: int = 40) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")).cast("long")
-    return lexical_scores(queries, docs).withColumn("rank", rank).where(F.col("rank") <= k)
+    return lexical_scores(_items(spark, sf), _index(spark, sf))
 
 
 _TOPLEX = "lex AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM lexall QUALIFY rank <= 40)"
@@ -100,29 +90,32 @@ _TOPLEX = "lex AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION B
 
 @query(f"WITH {_Q}, {_LEX}, {_TOPLEX} SELECT * FROM lex")
 def topk_lexical(spark, sf):
-    return best_lexical(_items(spark, sf), table(spark, sf, "documents"))
+    return best_lexical(_items(spark, sf), _index(spark, sf))
 
 
 @query(f"WITH {_Q} SELECT item_id, doc_id, round(len(list_intersect(words, dw)) / len(words), 6) AS overlap FROM q, d WHERE len(list_intersect(words, dw)) > 0")
 def set_token_overlap(spark, sf):
     """Share of a query's distinct words that a document has; pairs without any have no row."""
     items = _items(spark, sf).select("item_id", F.col("words").alias("terms"))
-    shared = lexical_scores(items, table(spark, sf, "documents")).join(items.select("item_id", F.size("terms").alias("n")), "item_id")
+    shared = lexical_scores(items, _index(spark, sf)).join(items.select("item_id", F.size("terms").alias("n")), "item_id")
     return shared.select("item_id", "doc_id", F.round(F.round(F.col("score") * 10, 0) / F.col("n"), 6).alias("overlap"))
 
 
-def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame | None = None, branch: int = 40, most: int = 30, rrf_k: int = 60, scope: Column | None = None) -> DataFrame:
+def hybrid(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None, vectors: DataFrame | None = None, asked: DataFrame | None = None, branch: int = 40, most: int = 30, rrf_k: int = 60, scope: Column | None = None) -> DataFrame:
     """item_id, doc_id, lexical_rank, semantic_rank, similarity, score and rank of each query's candidates.
 
-    queries: item_id, text, terms, titles, intent. docs: doc_id, text, title, section. vectors: vec_id, embedding of docs
-    (hashed features if None). scope: a condition on docs that holds in both branches. A side that lacks a document adds
-    nothing; titles and section intents add to the fused score; only ids and ranks travel until the candidates are known.
+    queries: item_id, text, terms, titles, intent. docs: doc_id, text, title, section. index: postings of docs. vectors:
+    vec_id, embedding of docs. asked: query_id, query of queries. What is None is made here, vectors as hashed features;
+    stored ones serve all later calls. scope: a condition on docs that holds in both branches; index and vectors are of
+    the documents in scope. A side that lacks a document adds nothing; titles and section intents add to the fused score;
+    only ids and ranks travel until the candidates are known.
     """
     clamp = lambda n, top: min(max(n, 1), top)
     docs = docs if scope is None else docs.where(scope)
-    lex = best_lexical(queries, docs, clamp(branch, 200)).select("item_id", "doc_id", F.col("rank").alias("lexical_rank"))
+    lex = best_lexical(queries, index_of(docs) if index is None else index, clamp(branch, 200)).select("item_id", "doc_id", F.col("rank").alias("lexical_rank"))
     vectors = embedded(docs, "doc_id", "text").withColumnRenamed("doc_id", "vec_id") if vectors is None else vectors
-    asked = embedded(queries.select("item_id", "text"), "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
+    if asked is None:
+        asked = embedded(queries.select("item_id", "text"), "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
     near = match_vectors(asked, vectors, clamp(branch, 200), most=200)
     sem = near.select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("doc_id"), F.col("rank").alias("semantic_rank"), "similarity")
     part = lambda c: F.coalesce(1 / (max(rrf_k, 1) + F.col(c)), F.lit(0.0))
@@ -150,7 +143,9 @@ hyb AS (SELECT item_id, doc_id, title, section, lexical_rank, semantic_rank, sim
 
 @query(f"WITH {_HYB} SELECT * FROM hyb")
 def job_hybrid_search(spark, sf):
-    return hybrid(_items(spark, sf), _docs(spark, sf))
+    vectors = _embedded(spark, sf, "documents", "doc_id").withColumnRenamed("doc_id", "vec_id")
+    asked = _embedded(spark, sf, "benchmark", "item_id").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
+    return hybrid(_items(spark, sf), _docs(spark, sf), _index(spark, sf), vectors, asked)
 
 
 #: Words of a query that ask for advice, so subjective chunks are welcome.
@@ -371,15 +366,6 @@ def agg_scope_accuracy(spark, sf):
     return _hits(spark, sf).groupBy("query_id").agg(F.bool_and("relevant").alias("ok")).agg(F.round(F.avg(F.col("ok").cast("int")), 6).alias("scope_accuracy"))
 
 
-def nearest_rank(rows: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """group and a column for each share: the value at place ceil(share * n) in order. Equal values are counted before they are ordered."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*group).orderBy(value)
-    counts = counts.withColumns({"_upto": F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0)), "_all": F.sum("_n").over(Window.partitionBy(*group))})
-    at = lambda p: F.min(F.when(F.col("_upto") >= F.greatest(F.ceil(F.lit(p) * F.col("_all")), F.lit(1)), F.col(value)))
-    return counts.groupBy(*group).agg(*(at(p).alias(name) for name, p in shares.items()))
-
-
 @query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE value IS NOT NULL GROUP BY event_type")
 def agg_nearest_rank_pct(spark, sf):
     return nearest_rank(table(spark, sf, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
@@ -387,7 +373,7 @@ def agg_nearest_rank_pct(spark, sf):
 
 def _latency(spark, sf) -> DataFrame:
     """Latencies of the request log; views stand in for retrievals."""
-    return nearest_rank(table(spark, sf, "events").where("event_type = 'view'").withColumn("one", F.lit(1)), ["one"], "value", {"p50": 0.5, "p95": 0.95}).drop("one")
+    return nearest_rank(table(spark, sf, "events").where("event_type = 'view'"), [], "value", {"p50": 0.5, "p95": 0.95})
 
 
 _LATENCY = "(SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events WHERE event_type = 'view' AND value IS NOT NULL)"
@@ -446,7 +432,7 @@ def backfilled(queries: DataFrame, held: DataFrame, others: DataFrame, floor: fl
     asked = embedded(queries, "item_id", "text").select(F.col("item_id").alias("query_id"), F.col("embedding").alias("query"))
     answered = similarities(asked, index, floor=floor).select("query_id").distinct()
     open_ = queries.join(answered.withColumnRenamed("query_id", "item_id"), "item_id", "left_anti")
-    fetched = best_lexical(open_, others, pages).select("doc_id").distinct()
+    fetched = best_lexical(open_, index_of(others), pages).select("doc_id").distinct()
     more = embedded(chunks(others.join(fetched, "doc_id", "left_semi")), "chunk", "text").withColumnRenamed("chunk", "vec_id")
     again = asked.join(answered, "query_id", "left_anti")
     return match_vectors(again, index.union(more), k).select(F.col("query_id").alias("item_id"), F.col("vec_id").alias("chunk"), "similarity", "rank")

@@ -86,24 +86,26 @@ VERSIONS = [(1, "active"), (2, "validating"), (3, "archived"), (4, "building")]
 
 
 def _states(spark, rows=VERSIONS):
-    return spark.createDataFrame(rows, "version long, status string")
+    return spark.createDataFrame([(v, status, {"note": "x", "activation": "old"}) for v, status in rows], "version long, status string, manifest map<string,string>")
 
 
 def test_activation_needs_a_validating_ready_version(spark):
-    ready = spark.createDataFrame([(v, v != 5) for v in range(1, 6)], "version long, ready boolean")
+    ready = spark.createDataFrame([(v, v != 5, ["stale_revisions"] * (v == 5)) for v in range(1, 6)], "version long, ready boolean, findings array<string>")
+    at = "2026-01-01T00:00:00+00:00"
     wanted = lambda *v: spark.createDataFrame([(x,) for x in v], "version long")
-    got = {r["version"]: (r["status"], r["replaced"]) for r in corpus.activated(_states(spark), ready, wanted(2)).collect()}
-    assert got == {1: ("archived", None), 2: ("active", 1), 3: ("archived", None), 4: ("building", None)}
-    assert {r["version"]: r["status"] for r in corpus.activated(_states(spark), ready, wanted()).collect()} == dict(VERSIONS)
-    back = {r["version"]: r["status"] for r in corpus.rolled_back(_states(spark), ready, wanted(3)).collect()}
-    assert back == {1: "archived", 2: "validating", 3: "active", 4: "building"}
+    got = {r["version"]: (r["status"], r["manifest"]) for r in corpus.activated(_states(spark), ready, wanted(2), at).collect()}
+    assert {v: s for v, (s, _) in got.items()} == {1: "archived", 2: "active", 3: "archived", 4: "building"}
+    assert got[2][1] == {"note": "x", "activation": '{"activated_at":"' + at + '","previous_version":1}'} and got[1][1] == {"note": "x", "activation": "old"}
+    assert {r["version"]: r["status"] for r in corpus.activated(_states(spark), ready, wanted(), at).collect()} == dict(VERSIONS)
+    back = {r["version"]: (r["status"], r["manifest"].get("rollback")) for r in corpus.rolled_back(_states(spark), ready, wanted(3), at).collect()}
+    assert back == {1: ("archived", None), 2: ("validating", None), 3: ("active", '{"rolled_back_at":"' + at + '","replaced_version":1}'), 4: ("building", None)}
     for bad in (wanted(3), wanted(4), wanted(9), wanted(2, 3)):
         with pytest.raises(Exception, match="version"):
-            corpus.activated(_states(spark), ready, bad).collect()
-    with pytest.raises(Exception, match="not ready"):
-        corpus.activated(_states(spark, [*VERSIONS, (5, "validating")]), ready, wanted(5)).collect()
+            corpus.activated(_states(spark), ready, bad, at).collect()
+    with pytest.raises(Exception, match="not ready: stale_revisions"):
+        corpus.activated(_states(spark, [*VERSIONS, (5, "validating")]), ready, wanted(5), at).collect()
     with pytest.raises(Exception, match="no version is active"):
-        corpus.rolled_back(_states(spark, VERSIONS[1:]), ready, wanted(3)).collect()
+        corpus.rolled_back(_states(spark, VERSIONS[1:]), ready, wanted(3), at).collect()
     with pytest.raises(Exception, match="more than one"):
         corpus.single_active(_states(spark, [*VERSIONS, (6, "active")])).collect()
 
@@ -116,15 +118,6 @@ def test_missing_manifest_keys_raise_no_finding(spark):
     assert found[3] == ["status_not_validating_or_archived", "chunk_count_mismatch", "current_page_coverage_mismatch"]
 
 
-def test_crawl_walks_breadth_first_up_to_the_cap(spark):
-    edges = spark.createDataFrame([("a", "b", 2), ("a", "c", 1), ("c", "d", 1), ("x", "e", 1), ("b", "x", 1), ("b", "d", 9)], "parent string, child string, ord long")
-    seeds = spark.createDataFrame([("a", 1)], "node string, ord long")
-    denied = lambda node: F.when(node == "x", "denied:title")
-    walk = lambda most: {r["node"]: (r["depth"], r["reason"], r["truncated"]) for r in corpus.crawled(edges, seeds, denied, 3, most).collect()}
-    assert walk(None) == {"a": (0, "seed", False), "c": (1, "link", False), "b": (1, "link", False), "d": (2, "link", False), "x": (2, "denied:title", False)}
-    assert {n: r for n, (_, r, cut) in walk(2).items() if cut} == {"a": "seed", "c": "link", "b": "page_cap", "d": "page_cap", "x": "denied:title"}
-
-
 def test_a_failing_batch_marks_only_its_rows(spark):
     rows = spark.createDataFrame([(i, "" if i == 3 else f"w{i}") for i in range(8)], "doc_id long, text string").coalesce(1)
     done = spark.createDataFrame([(0,)], "doc_id long")
@@ -183,12 +176,6 @@ def test_similarities_in_blocks_equal_those_sent(spark, monkeypatch):
     assert [(a, b) for a, b, *_ in one if a < 60] == sorted(want) and [t[:2] for t in one if t[0] > 60] == [(92, 92)]
 
 
-def test_nearest_rank(spark):
-    rows = spark.createDataFrame([("a", float(i)) for i in range(1, 21)] + [("b", 7.0)] * 3 + [("c", None)], "g string, v double")
-    found = {r["g"]: (r["p50"], r["p95"]) for r in retrieval.nearest_rank(rows, ["g"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
-    assert found == {"a": (10.0, 19.0), "b": (7.0, 7.0)}
-
-
 def test_ndcg_counts_each_title_once(spark):
     hits = spark.createDataFrame([(1, "a", 1, True), (1, "a", 2, True), (1, "b", 3, False)], "query_id long, title string, rank long, relevant boolean")
     expected = spark.createDataFrame([(1, 1), (2, 3), (3, 0)], "query_id long, n long")
