@@ -13,8 +13,10 @@ documents; a document with too many exclusive ones among them alone links with n
 hash in slices of many documents, and only counts come back.
 
 Buckets are never paired in full: each is a star around its member with the fewest exclusive tokens, stars that hold
-give components, and only members of different components that still share a bucket are compared. Equal sets are one
-set from the start. Links are confirmed on the full sets of 64-bit token hashes.
+give components, and only members of different components that still share a bucket are compared. A bitmap of parities
+of each set rules pairs out with certainty before they become rows: the bits in which two differ and the exclusive tokens
+of both are no more than their symmetric difference. Equal sets are one set from the start. Links are confirmed on the
+full sets of 64-bit token hashes.
 
 Defined results: null text = empty text; a text without words has the empty set and links with nothing; a null doc_id
 links with nothing (component_id null); rows that repeat a doc_id are documents of their own, returned each with the
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._common import mix, shingle_sets, texts, written
-from tessera.llm.near_dedup import components
+from tessera.llm.near_dedup import SKETCH_WORDS, components, parities
 
 #: The share of the hash range whose tokens are counted before all others, in 1/256.
 COUNTED = 77
@@ -245,6 +247,13 @@ def signer(percent: int):
     return signed
 
 
+def bitmaps(batches):
+    """For mapInArrow: (set, tokens) to (set, parities of the tokens' cells)."""
+    for batch in batches:
+        maps = [parities(mix(tokens.values.to_numpy().view(np.uint64))) for tokens in batch.column("tokens")]
+        yield pa.RecordBatch.from_arrays([batch.column("set"), pa.array(maps, pa.list_(pa.int64()))], names=["set", "bits"])
+
+
 def confirmer(percent: int):
     """A function for mapInArrow: (a, b, n_a, n_b, tokens_a, tokens_b) to the pairs that are similar enough."""
 
@@ -305,9 +314,13 @@ def similar_documents(docs: DataFrame, percent: int = 80, width: int = 5, id_col
     # What shares a bucket but no component yet; a bucket whose members are all connected gives nothing.
     labelled = keys.join(found, keys["set"] == found["id"], "left").select("key", "set", "n", "own", "probe", F.coalesce("component", "set").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    open_ = written(labelled.join(mixed, "key"), "unsettled")
+    cells = [F.col("bits")[i].alias(f"bits{i}") for i in range(SKETCH_WORDS)]
+    maps = lists.select("set", "tokens").mapInArrow(bitmaps, "set long, bits array<long>").select("set", *cells)
+    open_ = written(labelled.join(mixed, "key").join(maps, "set"), "unsettled")
     x, y = open_.where("probe").alias("x"), open_.where("not probe").alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") >= F.col("y.n")) & fits("x.n", "x.own", "y.n", "y.own"))
+    differ = F.col("x.own") + F.col("y.own") + sum((F.bit_count(F.col(f"x.bits{i}").bitwiseXOR(F.col(f"y.bits{i}"))) for i in range(SKETCH_WORDS)), F.lit(0))
+    possible = differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.n") >= F.col("y.n")) & fits("x.n", "x.own", "y.n", "y.own") & possible)
     across = across.select(F.least("x.set", "y.set").alias("a"), F.greatest("x.set", "y.set").alias("b")).distinct().join(starred, ["a", "b"], "left_anti")
     across = written(across, "cross_pairs")
     if not across.isEmpty():
