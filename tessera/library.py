@@ -1,7 +1,7 @@
 """Every query of the engine."""
 
-from tessera.operators import answers, corpus, crawl, pages, relational, retrieval, terms, textual
+from tessera.operators import ann, answers, corpus, crawl, pages, relational, retrieval, terms, textual
 from tessera.plans import hooks, jobs
 from tessera.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "answers", "corpus", "crawl", "hooks", "jobs", "pages", "relational", "retrieval", "terms", "textual"]
+__all__ = ["ORACLES", "QUERIES", "ann", "answers", "corpus", "crawl", "hooks", "jobs", "pages", "relational", "retrieval", "terms", "textual"]

@@ -88,7 +88,10 @@ def join_postings(spark, sf):
 _TOPLEX = "lex AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::BIGINT AS rank FROM lexall QUALIFY rank <= 40)"
 
 
-@query(f"WITH {_Q}, {_LEX}, {_TOPLEX} SELECT * FROM lex")
+LEXICAL = f"WITH {_Q}, {_LEX}, {_TOPLEX} SELECT * FROM lex"
+
+
+@query(LEXICAL)
 def topk_lexical(spark, sf):
     return best_lexical(_items(spark, sf), _index(spark, sf))
 

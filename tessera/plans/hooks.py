@@ -8,14 +8,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text as t
 from tessera.functions.embedding import embedded, hash_embed
 from tessera.operators.corpus import _READY, _V, _corpus, readiness
-from tessera.operators.retrieval import _COS
-from tessera.operators.textual import _TERMS, vector_sql
+from tessera.operators.lexical import best_lexical
+from tessera.operators.retrieval import _COS, LEXICAL, _index, _items, _vectors
+from tessera.operators.textual import vector_sql
+from tessera.operators.vectors import match_vectors
+from tessera.plans.functions import called, register_functions
 from tessera.registry import query, table
 from tessera.sources.raw import case_issues, raw_pages, write_report
-from tessera.sources.shared import new_path
+from tessera.sources.shared import new_path, written
 from tessera.sources.snapshot import restored, verify_snapshot, write_snapshot
 from tessera.streaming.sync import embed_pending, sync
 
@@ -114,45 +116,28 @@ def stream_embed_pending(spark, sf):
     return found.select("doc_id", F.size("embedding").cast("long").alias("dims"))
 
 
-_INNER = "aggregate(zip_with({0}, {1}, (x, y) -> double(x) * double(y)), 0D, (s, v) -> s + v)"
-_SIMILARITY = f"round({_INNER.format('q.embedding', 'c.embedding')} / sqrt({_INNER.format('q.embedding', 'q.embedding')} * {_INNER.format('c.embedding', 'c.embedding')}), 6)"
+_TOP40 = f"""sem AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COS} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COS} DESC, c.vec_id) AS place FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 QUALIFY place <= 40),
+ lex AS (SELECT item_id * 100 AS query_id, doc_id AS id, score, rank AS place FROM (SELECT * FROM ({LEXICAL}) WHERE item_id < 5)),
+ fused AS (SELECT coalesce(l.query_id, s.query_id) AS query_id, coalesce(l.id, s.id) AS id, similarity, round(coalesce(1.0::DOUBLE / (60 + l.place), 0) + coalesce(1.0::DOUBLE / (60 + s.place), 0), 6) AS score FROM lex l FULL OUTER JOIN sem s ON l.query_id = s.query_id AND l.id = s.id),
+ hybrid AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, similarity DESC NULLS LAST, id) AS place FROM fused QUALIFY place <= 20)"""
 
 
-def register_functions(spark, vectors: DataFrame, terms: DataFrame) -> None:
-    """The SQL table functions over chunks: match_chunks, semantic_search, lexical_search and hybrid_search.
-
-    vectors: vec_id, embedding. terms: doc_id, term, each once. Queries are a vector's id and words joined by a blank.
-    """
-    vectors.createOrReplaceTempView("tessera_chunks")
-    terms.createOrReplaceTempView("tessera_terms")
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION semantic_search(wanted BIGINT, most INT DEFAULT 40) RETURNS TABLE(vec_id BIGINT, similarity DOUBLE, place BIGINT) RETURN
- SELECT vec_id, similarity, place FROM (SELECT vec_id, similarity, row_number() OVER (ORDER BY similarity DESC, vec_id) AS place FROM (SELECT c.vec_id, {_SIMILARITY} AS similarity FROM tessera_chunks c JOIN (SELECT embedding FROM tessera_chunks WHERE vec_id = semantic_search.wanted) q ON true))
- WHERE place <= least(greatest(semantic_search.most, 1), 200)""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION match_chunks(wanted BIGINT, floor DOUBLE DEFAULT 0.0, most INT DEFAULT 5) RETURNS TABLE(vec_id BIGINT, similarity DOUBLE) RETURN
- SELECT vec_id, similarity FROM semantic_search(match_chunks.wanted, least(greatest(match_chunks.most, 1), 20)) WHERE similarity >= match_chunks.floor""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION lexical_search(words STRING, most INT DEFAULT 40) RETURNS TABLE(doc_id BIGINT, score DOUBLE, place BIGINT) RETURN
- SELECT doc_id, score, place FROM (SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM (SELECT t.doc_id, round(count(*) * 0.1D, 6) AS score FROM tessera_terms t
- WHERE array_contains(split(lexical_search.words, ' '), t.term) GROUP BY t.doc_id)) WHERE place <= least(greatest(lexical_search.most, 1), 200)""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION hybrid_search(wanted BIGINT, words STRING, most INT DEFAULT 20) RETURNS TABLE(doc_id BIGINT, lexical_place BIGINT, semantic_place BIGINT, score DOUBLE, place BIGINT) RETURN
- SELECT doc_id, lexical_place, semantic_place, score, place FROM (SELECT *, row_number() OVER (ORDER BY score DESC, similarity DESC NULLS LAST, doc_id) AS place FROM (SELECT coalesce(l.doc_id, s.vec_id) AS doc_id, l.place AS lexical_place, s.place AS semantic_place, s.similarity,
- round(coalesce(1D / (60 + l.place), 0D) + coalesce(1D / (60 + s.place), 0D), 6) AS score FROM lexical_search(hybrid_search.words, 40) l FULL OUTER JOIN semantic_search(hybrid_search.wanted, 40) s ON l.doc_id = s.vec_id))
- WHERE place <= least(greatest(hybrid_search.most, 1), 100)""")
-
-
-_SEM = f"""(SELECT c.vec_id, {_COS} AS similarity, row_number() OVER (ORDER BY {_COS} DESC, c.vec_id) AS place FROM embeddings q, embeddings c WHERE q.vec_id = 0 QUALIFY place <= 40)"""
-_WORD = f"(SELECT doc_id, round(count(*) * 0.1, 6)::DOUBLE AS score FROM (SELECT doc_id, unnest(list_distinct({_TERMS.replace('@', 'text')})) AS term FROM documents) WHERE term IN ('the', 'les', 'und', 'una') GROUP BY doc_id)"
-_WORDS40 = f"(SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM {_WORD} QUALIFY place <= 40)"
-
-
-@query(f"""WITH sem AS {_SEM}, words AS {_WORDS40}, both_ AS (SELECT coalesce(l.doc_id, s.vec_id) AS id, similarity, round(coalesce(1.0::DOUBLE / (60 + l.place), 0) + coalesce(1.0::DOUBLE / (60 + s.place), 0), 6) AS score FROM words l FULL OUTER JOIN sem s ON l.doc_id = s.vec_id),
- hybrid AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, similarity DESC NULLS LAST, id) AS place FROM both_ QUALIFY place <= 20)
- SELECT 'match' AS f, vec_id AS id, similarity AS score, 0::BIGINT AS place FROM sem WHERE place <= 20 AND similarity >= 0.1 UNION ALL SELECT 'semantic', vec_id, similarity, place FROM sem UNION ALL SELECT 'lexical', doc_id, score, place FROM words UNION ALL SELECT 'hybrid', id, score, place FROM hybrid""")
+@query(f"""WITH {_TOP40} SELECT 'match' AS f, query_id, id, similarity AS score, place FROM sem WHERE place <= 20 AND similarity >= 0.1 UNION ALL SELECT 'semantic', query_id, id, similarity, place FROM sem
+ UNION ALL SELECT 'lexical', query_id, id, score, place FROM lex UNION ALL SELECT 'hybrid', query_id, id, score, place FROM hybrid""")
 def udtf_match_chunks(spark, sf):
-    """The four table functions, each called once from SQL."""
-    terms = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(t.terms(F.col("text")))).alias("term"))
-    register_functions(spark, table(spark, sf, "embeddings").select("vec_id", "embedding"), terms)
-    return spark.sql("""SELECT 'match' AS f, vec_id AS id, similarity AS score, 0L AS place FROM match_chunks(0L, 0.1D, 50) UNION ALL SELECT 'semantic', vec_id, similarity, place FROM semantic_search(0L)
- UNION ALL SELECT 'lexical', doc_id, score, place FROM lexical_search('the les und una') UNION ALL SELECT 'hybrid', doc_id, score, place FROM hybrid_search(0L, 'the les und una')""")
+    """The four table functions, each called once from SQL for all queries; the first five items share ids with vectors."""
+    register_functions(spark)
+    near = match_vectors(*_vectors(spark, sf), k=40, most=200).select("query_id", F.col("vec_id").alias("id"), F.col("similarity").alias("score"), F.col("rank").alias("place"))
+    words = best_lexical(_items(spark, sf).where("item_id < 5"), _index(spark, sf), 40).select((F.col("item_id") * 100).alias("query_id"), F.col("doc_id").alias("id"), "score", F.col("rank").alias("place"))
+    near, words = written(near, "semantic"), written(words, "lexical")
+    both = near.withColumn("branch", F.lit("semantic")).union(words.withColumn("branch", F.lit("lexical")))
+    best = "score DESC, id"
+    found = {
+        "match": called(spark, "match_chunks", near, best, 50, 0.1), "semantic": called(spark, "semantic_search", near, best, 40), "lexical": called(spark, "lexical_search", words, best, 40),
+        "hybrid": called(spark, "hybrid_search", both, "branch, place", 20),
+    }
+    rows = [df.select(F.lit(name).alias("f"), "query_id", "id", "score", "place") for name, df in found.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
 
 
 @query(f"WITH {_V}, {_READY} SELECT version, len(findings) = 0 AS ready, array_to_string(findings, ',') AS issues, n_pages, n_chunks, missing, stale FROM r WHERE version = 4 UNION ALL SELECT version, len(archived_findings) = 0, array_to_string(archived_findings, ','), n_pages, n_chunks, missing, stale FROM r WHERE version = 1")

@@ -1,15 +1,9 @@
-"""Jobs whose folds need ordered state, snapshots, and approximate search."""
+"""Jobs whose folds need ordered state, and snapshots."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text as t
 from tessera.registry import query, table
 from tessera.sources.shared import new_path
 from tessera.sources.snapshot import verify_snapshot, write_snapshot
@@ -17,8 +11,6 @@ from tessera.streaming.admission import run_admission
 
 #: Accepted events of a key in any WINDOW seconds.
 LIMIT, WINDOW = 3, 86400.0
-#: Chunks that a bucket of the approximate search is to hold.
-BUCKET = 64
 
 
 @query(f"""WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) / 1e6 AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
@@ -33,40 +25,6 @@ def stream_admission(spark, sf):
     return run_admission(rows, new_path(spark, "admission"), limit=LIMIT, window=WINDOW)
 
 
-def lsh_top_k(queries: DataFrame, chunks: DataFrame, k: int = 5, tables: int = 48, bits: int | None = None, seed: int = 1) -> DataFrame:
-    """Approximate top k: sign-random-projection buckets, an equi-join on the bucket, exact rescoring.
-
-    A bucket is to hold about BUCKET chunks, so the number of bits grows with the logarithm of theirs; a query also looks
-    into the buckets that differ in one bit. Vectors of other lengths than the first chunk's have no bucket; an empty
-    table gives an empty result.
-    """
-    n, dim = chunks.agg(F.count("*"), F.max(F.size("embedding"))).first()
-    bits = bits or min(62, max(1, round(math.log2(max(2, (n or 0) / BUCKET)))))
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim or 1))
-
-    def keyed(df: DataFrame, key: str, vector: str, near: bool) -> DataFrame:
-        def buckets(batches):
-            for batch in batches:
-                x = np.stack(batch["v"].to_numpy()).astype(np.float64)
-                code = ((np.einsum("nd,tbd->ntb", x, planes) >= 0) << np.arange(bits)).sum(axis=2)
-                rows = [code ^ flip for flip in ([0, *(1 << np.arange(bits))] if near else [0])]
-                yield pd.DataFrame({"key": batch["key"].to_numpy().repeat(tables * len(rows)), "of": np.tile(np.arange(tables), len(x) * len(rows)), "bucket": np.stack(rows, axis=1).reshape(-1)})
-
-        sized = df.where(F.size(vector) == (dim or 0)).select(F.col(key).alias("key"), F.col(vector).alias("v"))
-        return sized.mapInPandas(buckets, "key long, of long, bucket long").withColumnRenamed("key", key)
-
-    pairs = keyed(queries, "query_id", "query", True).join(keyed(chunks, "vec_id", "embedding", False), ["of", "bucket"]).select("query_id", "vec_id").distinct()
-    scored = pairs.join(queries, "query_id").join(chunks, "vec_id").select("query_id", "vec_id", F.round(t.cosine(F.col("query"), F.col("embedding")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-
-
-@query()
-def topk_lsh_join(spark, sf):
-    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return lsh_top_k(v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), v)
-
-
 @query("SELECT 'nation' AS record_type, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
 def sink_snapshot_jsonl(spark, sf):
     """The counts in a snapshot's manifest, after it is written and found sound."""

@@ -180,12 +180,3 @@ def test_ndcg_counts_each_title_once(spark):
     hits = spark.createDataFrame([(1, "a", 1, True), (1, "a", 2, True), (1, "b", 3, False)], "query_id long, title string, rank long, relevant boolean")
     expected = spark.createDataFrame([(1, 1), (2, 3), (3, 0)], "query_id long, n long")
     assert {r["query_id"]: r["ndcg"] for r in retrieval.ndcg(hits, expected).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
-
-
-@needs_tables
-def test_lsh_recall(spark):
-    from tessera import library
-
-    exact = {(r["query_id"], r["vec_id"]) for r in library.QUERIES["topk_vector"](spark, SF).collect()}
-    found = {(r["query_id"], r["vec_id"]) for r in library.QUERIES["topk_lsh_join"](spark, SF).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
