@@ -8,8 +8,9 @@ slots. The slot that carries the text (an article or main element, else the inne
 text) is the content slot.
 
 A page's text is what stands in the node that is aligned with the content slot (in all of its siblings with the same
-label, if these are articles), without template nodes and without elements that are never part of an article: menus,
-footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, told by element, role or class.
+label, if these are articles), without template nodes (within an article those that many pages share), without headers
+that hold no heading of it, and without elements that are never part of an article: menus, footers, sidebars, notices,
+adverts, forms, scripts, styles, reader comments, told by element, role or class.
 
 A host is never gathered: pages meet their host's references by a join that is either broadcast (if the references'
 size, which is computed first, is at most MOST_BYTES) or dealt to SALTS tasks for each host, votes are counted within
@@ -44,6 +45,8 @@ SALTS = 16
 REFERENCES = 3
 #: A node is template if its text is the same on this share of at least LEAST_PAGES distinct pages.
 SAME, LEAST_PAGES = 0.75, 3
+#: Within an article or main element a node is only template if it was aligned on this many distinct pages.
+LEAST_INSIDE = 6
 #: Counters of a node's text hashes in one task, and nodes that a task counts before it hands its counts on.
 COUNTERS, MOST_NODES = 4, 100_000
 #: Cells of one table of the alignment; larger ones are halved.
@@ -383,6 +386,7 @@ def wrapper(reference: list[list], votes: dict[int, list]) -> dict:
     """
     template = {i: [h for h, n in hashes.items() if n >= SAME * pages] for i, (pages, _, hashes) in votes.items() if pages >= LEAST_PAGES}
     template = {i: hs for i, hs in template.items() if hs and votes[i][1]}
+    firm = [i for i in template if votes[i][0] >= LEAST_INSIDE]
     out_of = set()  # within what is never an article
     for i, node in enumerate(reference):
         if node[4] or node[1] in out_of:
@@ -390,23 +394,34 @@ def wrapper(reference: list[list], votes: dict[int, list]) -> dict:
     slots = {i: votes[i][1] for i in votes if i not in out_of and i not in template and votes[i][1]}
     for tag in ("article", "main"):
         if named := [i for i in slots if reference[i][0].split(".")[0] == tag]:
-            return {"slot": max(named, key=lambda i: (slots[i], -i)), "template": template}
+            return {"slot": max(named, key=lambda i: (slots[i], -i)), "template": template, "firm": firm}
     slot = 0
     for i in sorted(slots):  # a parent's number is below its children's
         if reference[i][1] == slot and reference[i][0].split(".")[0] in CONTAINER and slots[i] >= 0.8 * slots.get(slot, slots[i]):
             slot = i
-    return {"slot": slot, "template": template}
+    return {"slot": slot, "template": template, "firm": firm}
+
+
+def _heads(node: Node) -> bool:
+    todo = [node]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+            return True
+        todo += [kid for kid in node.items if isinstance(kid, Node) and not kid.never]
+    return False
 
 
 def main_text(root: Node, tree: list[list], rules: list[dict], shapes: Shapes) -> str:
-    """rules: tree, slot and template of each reference of the page's host; none leave names to decide."""
-    slot, fixed = None, set()
+    """rules: tree, slot, template and its firm nodes of each reference of the page's host; none leave names to decide."""
+    slot, fixed, firm = None, set(), set()
     if rules:
         at, pairs = best_reference(tree, [r["tree"] for r in rules], shapes)
         rule, to = rules[at], {b: a for a, b in pairs}
         slot = to.get(rule["slot"]) if rule["slot"] else None
         template = {int(i): set(hs) for i, hs in rule["template"].items()}
         fixed = {a for a, b in pairs if tree[a][2] in template.get(b, ())}
+        firm = fixed & {to[b] for b in rule["firm"] if b in to}
     named: dict[str, list[Node]] = {"article": [], "main": [], "slot": []}
     todo = [root]
     while todo:
@@ -425,8 +440,9 @@ def main_text(root: Node, tree: list[list], rules: list[dict], shapes: Shapes) -
     inside = chosen[0].tag in ("article", "main")
 
     def drop(node: Node) -> bool:
-        # What repeats inside an article is still the article's.
-        return node.never or not inside and (node.tag == "header" or node.tag in BLOCK and node.at in fixed)
+        # A header inside an article is its own if it holds a heading; what is the same on many pages is theirs, not its.
+        header = node.tag == "header" and not (inside and _heads(node))
+        return node.never or header or node.tag in BLOCK and node.at in (firm if inside else fixed)
 
     return "\n".join(t for n in chosen for t in blocks(n, drop))
 
