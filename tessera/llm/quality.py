@@ -5,9 +5,8 @@ so neighbouring windows overlap and every byte is covered. Each filter's respons
 rectified, and a logistic layer combines the pooled responses into one probability.
 
 The network is fitted by gradient descent on a bounded sample of labelled rows: `per_class` texts of each label at
-most, picked by a hash of doc_id among rows that aren't held out. Of a text of over FIT_CHARS characters the sample
-has FIT_PIECES pieces at even distances, so that its size is bounded in bytes too (PER_CLASS * 2 * FIT_CHARS
-characters). All texts are scored whole, whatever their length, in pieces that overlap by one window.
+most, in the order of a hash of doc_id among rows that aren't held out, and no more of them than FIT_BYTES bytes of
+each label hold. Texts are fitted and scored whole, whatever their length, in pieces that overlap by one window.
 
 Defined results: null or empty text scores as a text of WIDTH zero bytes; a null doc_id is scored and not held out;
 repeated rows are each returned; an empty table gives an empty result; labels that are null or whose doc_id is null
@@ -18,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm._common import ddl, texts
@@ -26,8 +25,8 @@ from tessera.llm._common import ddl, texts
 WIDTH, STRIDE, DIM, FILTERS = 8, 2, 8, 16
 #: Most texts of each label in the sample that the network is fitted on.
 PER_CLASS = 1500
-#: Characters of one text in the sample, and the pieces that a longer text gives them in.
-FIT_CHARS, FIT_PIECES = 16_384, 8
+#: Most bytes of each label's texts in the sample; texts in it are whole.
+FIT_BYTES = 12 << 20
 #: Bytes of a text that go through the filters at once.
 PIECE = 1 << 16
 
@@ -113,16 +112,18 @@ class ByteNet:
         return self
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
-    """The bounded sample: text (or pieces of it) and label of at most per_class rows of each label that aren't held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, fit_bytes: int = FIT_BYTES) -> DataFrame:
+    """The bounded sample: whole text and label of at most per_class rows and fit_bytes bytes of each label that aren't held out."""
     ranked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("id")))
     ranked = ranked.groupBy("id").agg(F.min("label").alias("label"))
     picked = [ranked.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     wanted = picked[0].union(picked[1])
-    n, size = F.length("text"), FIT_CHARS // FIT_PIECES
-    pieces = [F.substr("text", F.floor((n - size) * (i / (FIT_PIECES - 1))).cast("int") + 1, F.lit(size)) for i in range(FIT_PIECES)]
-    bounded = F.when(n > FIT_CHARS, F.concat(*pieces)).otherwise(F.col("text")).alias("text")
-    return docs.select("doc_id", bounded).join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    wanted = wanted.withColumn("place", F.xxhash64("id"))
+    # Of each label whole texts, in the order they were picked, as far as the bytes go.
+    sizes = docs.select("doc_id", F.octet_length("text").alias("size")).join(F.broadcast(wanted), F.col("doc_id") == F.col("id")).groupBy("label", "place", "id").agg(F.max("size").cast("long").alias("size"))
+    upto = Window.partitionBy("label").orderBy("place", "id").rowsBetween(Window.unboundedPreceding, 0)  # per_class rows
+    taken = sizes.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") <= fit_bytes).select("id", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(taken), F.col("doc_id") == F.col("id")).groupBy("id").agg(F.max_by("text", F.octet_length("text")).alias("text"), F.max("label").alias("label"))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS) -> ByteNet:
