@@ -57,6 +57,10 @@ def spans_of(data: bytes) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2], x[1]))
 
 
+#: Bytes of unseen pairs that are sent to every task; more meet the texts by a shuffle.
+MOST_BYTES = 8 << 20
+
+
 def scanner(rules: str):
     def scan(batches):
         for batch in batches:
@@ -91,8 +95,13 @@ def scan_versions(versions: DataFrame, ledger_path: str | None = None, rules: st
     unseen = addressed.groupBy("blob").agg(F.min("path").alias("path"))
     unseen = written(unseen.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti"), "unseen")
     # One path's text stands for the blob; rows that repeat both are one row before they are scanned.
-    each = versions.select(path, F.sha2("text", 256).alias("blob"), "text").groupBy("path", "blob").agg(F.first("text").alias("text"))
-    scanned = each.join(unseen, ["path", "blob"]).select("blob", "text").mapInArrow(scanner(rules), SCHEMA)
+    # Few unseen pairs are sent to every task, so that no text of a known blob travels.
+    each = versions.select(path, F.sha2("text", 256).alias("blob"), "text")
+    few = (unseen.agg(F.sum(F.octet_length("path") + 96)).first()[0] or 0) <= MOST_BYTES
+    each = each.join(F.broadcast(unseen), ["path", "blob"], "left_semi") if few else each
+    each = each.groupBy("path", "blob").agg(F.first("text").alias("text"))
+    each = each if few else each.join(unseen, ["path", "blob"])
+    scanned = each.select("blob", "text").mapInArrow(scanner(rules), SCHEMA)
     scanned.write.mode("append").parquet(ledger_path)
 
     found = spark.read.schema(SCHEMA).parquet(ledger_path).where((F.col("rules") == rules) & (F.col("spans") != ""))
