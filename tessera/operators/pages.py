@@ -6,8 +6,10 @@ jobs find in them is then known from these columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import chunks, wikitext
@@ -18,20 +20,35 @@ from tessera.registry import query, table
 PARSED = "sections array<struct<path: array<string>, content: string>>, categories array<string>, templates array<string>, hints array<string>, facts array<string>"
 
 
-def parsed(pages: DataFrame, keys: list[str], markup: str = "markup") -> DataFrame:
-    """pages' keys with sections, categories, templates, hints and facts of their markup; null markup is empty."""
+def parsed(pages: DataFrame, keys: list[str], markup: str = "markup", parse: Callable[[str], dict] | None = None) -> DataFrame:
+    """pages' keys with sections, categories, templates, hints and facts of their markup; null markup is empty.
+
+    With a parse function of one's own a page that raises has empty lists, and its error in a further column.
+    """
+    nothing = {"sections": [], "categories": [], "templates": [], "hints": [], "facts": []}
+
+    def read(text: str) -> tuple[dict, str | None]:
+        if parse is None:
+            return wikitext.parse(text), None
+        try:
+            return parse(text), None
+        except Exception as e:  # whatever a page raises is that page's error
+            return nothing, f"{type(e).__name__}: {e}"
 
     def each(batches):
         for batch in batches:
-            found = [wikitext.parse(m or "") for m in batch["_markup"]]
+            read_ = [read(m or "") for m in batch["_markup"]]
+            found = [f for f, _ in read_]
             out = batch[keys].reset_index(drop=True)
             out["sections"] = [[{"path": p, "content": c} for p, c in f["sections"]] for f in found]
             for name in ("categories", "templates", "hints", "facts"):
                 out[name] = [f[name] for f in found]
+            if parse is not None:
+                out["error"] = [e for _, e in read_]
             yield out
 
     kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
-    return pages.select(*keys, F.col(markup).alias("_markup")).mapInPandas(each, f"{kinds}, {PARSED}")
+    return pages.select(*keys, F.col(markup).alias("_markup")).mapInPandas(each, f"{kinds}, {PARSED}" + (", error string" if parse is not None else ""))
 
 
 def clean_html(html: Column) -> Column:
@@ -236,19 +253,21 @@ LABELS = {
 SUBJECTIVE = ("guide", "recommendation", "strategy", "tips")
 
 
-def section_chunks(sections: DataFrame) -> DataFrame:
+def section_chunks(sections: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Chunks of sections (doc_id, title, revision, section, path, content, scope, entity, subjective), with header, hashes and keys.
 
+    by: further columns that tell sections of one number and page apart, text all of them.
+
     Only the ordered fold over one section's blocks is Python; null or blank content has no chunk.
     """
-    keys = ["doc_id", "section"]
+    keys = [*by, "doc_id", "section"]
 
     def fold(batches):
         for batch in batches:
-            rows = [(d, s, n, c) for d, s, text in batch[[*keys, "content"]].itertuples(index=False) for n, c in enumerate(chunks.chunked([b.strip() for b in (text or "").split("\n\n") if b.strip()]))]
+            rows = [(*of, n, c) for *of, text in batch[[*keys, "content"]].itertuples(index=False) for n, c in enumerate(chunks.chunked([b.strip() for b in (text or "").split("\n\n") if b.strip()]))]
             yield pd.DataFrame(rows, columns=[*keys, "chunk_index", "body"])
 
-    bodies = sections.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("section").cast("long").alias("section"), "content").mapInPandas(fold, "doc_id long, section long, chunk_index long, body string")
+    bodies = sections.select(*by, F.col("doc_id").cast("long").alias("doc_id"), F.col("section").cast("long").alias("section"), "content").mapInPandas(fold, "".join(f"`{c}` string, " for c in by) + "doc_id long, section long, chunk_index long, body string")
     of = sections.drop("content").withColumn("path", F.array_join("path", " > "))
     label = F.create_map(*(F.lit(x) for item in LABELS.items() for x in item))
     scope = section_scope(F.col("scope"), F.col("path"))
@@ -257,7 +276,8 @@ def section_chunks(sections: DataFrame) -> DataFrame:
     content = F.sha2("content", 256)
     key = F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("revision").cast("string"), "path", F.col("chunk_index").cast("string"), content), 256)
     subjective = F.col("subjective") | _has(F.lower("path"), SUBJECTIVE)
-    return rows.select("doc_id", "revision", "section", "chunk_index", "title", "path", "scope", "entity", subjective.alias("subjective"), t.token_count(F.col("content")).alias("n_tokens"), "content", content.alias("content_hash"), F.sha2("body", 256).alias("body_hash"), key.alias("source_key"))
+    found = F.concat_ws("\n", "title", "path", "content", t.search_text(F.col("content")))
+    return rows.select(*by, "doc_id", "revision", "section", "chunk_index", "title", "path", "scope", "entity", subjective.alias("subjective"), t.token_count(F.col("content")).alias("n_tokens"), "content", found.alias("search_text"), content.alias("content_hash"), F.sha2("body", 256).alias("body_hash"), key.alias("source_key"))
 
 
 def _chunks(spark, sf) -> DataFrame:
@@ -265,14 +285,14 @@ def _chunks(spark, sf) -> DataFrame:
 
 
 _SHORT = f"""(SELECT s.doc_id, section::BIGINT AS section, 0::BIGINT AS chunk_index, 'Page: ' || source || chr(10) || 'Section: ' || path || chr(10) || 'Game: ' || CASE s.doc_id % 5 WHEN 0 THEN 'Shipwrecked' WHEN 1 THEN 'Don''t Starve Together' ELSE 'Unknown game scope' END || chr(10) || 'Entity type: item' || chr(10) || chr(10) || content AS content,
- contains(path, 'Tips') AS subjective FROM {_SECTIONS} s)"""
+ contains(path, 'Tips') AS subjective, source AS title, path FROM {_SECTIONS} s)"""
 
 
-@query(rf"SELECT doc_id, section, chunk_index, sha256(content) AS content_hash, subjective, len(regexp_extract_all(content, '{t.TOKEN}'))::BIGINT AS n_tokens FROM {_SHORT}")
+@query(rf"SELECT doc_id, section, chunk_index, sha256(content) AS content_hash, subjective, len(regexp_extract_all(content, '{t.TOKEN}'))::BIGINT AS n_tokens, md5(title || chr(10) || path || chr(10) || content || chr(10) || {_SEARCH.replace('@', 'content')}) AS search_hash FROM {_SHORT}")
 def job_chunk_sections(spark, sf):
     """Chunks of the wiki pages' sections: short ones, tables, and notes that are lists, which stay whole however long they are."""
     rows = _chunks(spark, sf)
-    return rows.select("doc_id", "section", "chunk_index", "content_hash", "subjective", "n_tokens")
+    return rows.select("doc_id", "section", "chunk_index", "content_hash", "subjective", "n_tokens", F.md5("search_text").alias("search_hash"))
 
 
 # What a chunk must have, and the share of chunks that must have it.
@@ -280,9 +300,11 @@ REQUIRED = ("title", "path", "revision", "scope", "source_key", "content_hash",
 LEAST_COMPLETE = 0.95
 
 
-def validated(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def validated(rows: DataFrame, pages: DataFrame, by: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Valid chunks, issues (code, doc_id, source_key, fatal) and a report of one row.
 
+    by: columns of rows and pages; chunks are duplicates only of chunks that are alike in these.
+
     The first chunk of each body in order of page, section and index is valid; only chunks that are otherwise accepted
     make others duplicates. A page without any unique valid chunk is fatal. pages: doc_id of all that are expected.
     """
@@ -291,14 +313,15 @@ def validated(rows: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame,
     rows = rows.withColumn("code", F.when(blank, "empty_chunk").when(F.size(missing) > 0, "missing_metadata"))
     good = rows.where("code is null")
     at = F.struct("doc_id", "section", "chunk_index")
-    first = good.where("coalesce(body_hash, '') <> ''").groupBy(F.col("body_hash").alias("of")).agg(F.min(at).alias("first"))
-    same_key = good.groupBy(F.col("source_key").alias("key")).agg(F.min(at).alias("first_key"))
-    judged = good.join(same_key, F.col("source_key") == F.col("key")).join(first, F.col("body_hash") == F.col("of"), "left")
+    first = good.where("coalesce(body_hash, '') <> ''").groupBy(*by, "body_hash").agg(F.min(at).alias("first"))
+    same_key = good.groupBy(*by, "source_key").agg(F.min(at).alias("first_key"))
+    judged = good.join(same_key, [*by, "source_key"]).join(first, [*by, "body_hash"], "left")
     judged = judged.withColumn("code", F.when(at != F.col("first_key"), "duplicate_source_key").when(at != F.col("first"), "duplicate_content"))
     valid = judged.where("code is null").select(*rows.columns).drop("code")
-    bare = pages.select("doc_id").distinct().join(valid.select("doc_id"), "doc_id", "left_anti").select(F.lit("page_without_chunks").alias("code"), "doc_id", F.lit(None).cast("string").alias("source_key"), F.lit(True).alias("fatal"))
+    bare = pages.select(*by, "doc_id").distinct().join(valid.select(*by, "doc_id"), [*by, "doc_id"], "left_anti").select(*by, F.lit("page_without_chunks").alias("code"), "doc_id", F.lit(None).cast("string").alias("source_key"), F.lit(True).alias("fatal"))
     fatal = ~F.col("code").startswith("duplicate")
-    issues = rows.where("code is not null").select("code", "doc_id", "source_key").union(judged.where("code is not null").select("code", "doc_id", "source_key")).withColumn("fatal", fatal).union(bare)
+    told = [*by, "code", "doc_id", "source_key"]
+    issues = rows.where("code is not null").select(*told).union(judged.where("code is not null").select(*told)).withColumn("fatal", fatal).union(bare)
     counts = rows.agg(F.count("*").alias("candidates"), F.count_if(F.col("code").isNull()).alias("complete"), F.count_if(F.col("code") == "empty_chunk").alias("empties"))
     told = issues.agg(F.count_if(~F.col("fatal")).alias("duplicates"), F.count_if("fatal").alias("fatal"))
     covered = valid.agg(F.count("*").alias("valid"), F.count_distinct("doc_id").alias("covered"))
@@ -333,49 +356,6 @@ def job_validate_corpus(spark, sf):
     return validated(word_chunks(pages), pages)[1].groupBy("code", "doc_id").agg(F.count("*").alias("n"))
 
 
-def built(pages: DataFrame, version: str = "title") -> tuple[DataFrame, DataFrame]:
-    """The builds of pages (doc_id, title, revision, scope, text), one for each version: their report, and the chunks that they insert.
-
-    A build that holds a fatal issue or too few complete chunks fails: it keeps its counts and its issues' codes, and
-    inserts nothing.
-    """
-    rows = word_chunks(pages)
-    of = pages.select("doc_id", F.col(version).alias("version"))
-    valid, issues, _ = validated(rows, pages)
-    counted = of.groupBy("version").agg(F.count("*").alias("pages"))
-    made = rows.join(of, "doc_id").groupBy("version").agg(F.count("*").alias("candidates"))
-    held = valid.join(of, "doc_id").groupBy("version").agg(F.count("*").alias("valid"))
-    told = issues.join(of, "doc_id").groupBy("version").agg(F.count_if(~F.col("fatal")).alias("duplicates"), F.count_if(F.col("code") == "missing_metadata").alias("incomplete"), F.count_if("fatal").alias("fatal"), F.array_join(F.array_sort(F.collect_set("code")), ",").alias("errors"))
-    report = counted.join(made, "version", "left").join(held, "version", "left").join(told, "version", "left")
-    zero = F.lit(0).cast("long")
-    report = report.select("version", "pages", *(F.coalesce(c, zero).alias(c) for c in ("candidates", "valid", "duplicates", "incomplete", "fatal")), F.coalesce("errors", F.lit("")).alias("errors"))
-    share = F.coalesce(F.try_divide((F.col("candidates") - F.col("incomplete")).cast("double"), "candidates"), F.lit(0.0))
-    report = report.withColumn("completeness", F.round(share, 4))
-    passed = (F.col("valid") > 0) & (share >= LEAST_COMPLETE) & (F.col("fatal") == 0)
-    report = report.withColumn("status", F.when(passed, "validating").otherwise("failed"))
-    inserted = valid.join(of, "doc_id").join(report.where("status = 'validating'").select("version"), "version", "left_semi")
-    return report, inserted
-
-
-_BUILT = f"""{_WC}, iss AS (SELECT title, code, count(*) AS n FROM vc WHERE code IS NOT NULL GROUP BY ALL UNION ALL SELECT source, 'page_without_chunks', count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM vc WHERE code IS NULL) GROUP BY source),
-rep AS (SELECT title AS version, (SELECT count(*) FROM documents WHERE source = title) AS pages, count(*) AS candidates, count(*) FILTER (code IS NULL) AS valid, count(*) FILTER (code = 'duplicate_content') AS duplicates, count(*) FILTER (code = 'missing_metadata') AS incomplete,
- coalesce((SELECT sum(n) FROM iss WHERE iss.title = vc.title AND code <> 'duplicate_content'), 0) AS fatal, coalesce((SELECT string_agg(DISTINCT code, ',' ORDER BY code) FROM iss WHERE iss.title = vc.title), '') AS errors FROM vc GROUP BY title),
-st AS (SELECT *, CASE WHEN valid > 0 AND incomplete * 20 <= candidates AND fatal = 0 THEN 'validating' ELSE 'failed' END AS status FROM rep)"""
-
-
-@query(f"WITH {_BUILT} SELECT version, pages, candidates, valid, duplicates, incomplete, fatal::BIGINT AS fatal, errors, round(1 - incomplete / candidates, 4) AS completeness, status FROM st")
-def job_build_corpus(spark, sf):
-    return built(_pages(spark, sf))[0]
-
-
-@query(f"WITH {_BUILT} SELECT version, status, errors, CASE WHEN status = 'validating' THEN valid ELSE 0 END AS inserted FROM st")
-def life_fail_build(spark, sf):
-    """What builds leave: a failed one keeps its errors and inserts nothing."""
-    report, inserted = built(_pages(spark, sf))
-    n = inserted.groupBy("version").agg(F.count("*").alias("inserted"))
-    return report.join(n, "version", "left").select("version", "status", "errors", F.coalesce("inserted", F.lit(0).cast("long")).alias("inserted"))
-
-
 @query(f"WITH {_WC} SELECT (SELECT count(*) FROM documents) AS pages, count(*) AS candidates, count(*) FILTER (code IS NULL) AS valid, count(*) FILTER (code = 'duplicate_content') AS duplicates, round(count(*) FILTER (scope IS NOT NULL) / count(*), 4) AS completeness FROM vc")
 def agg_build_report(spark, sf):
     pages = _pages(spark, sf)

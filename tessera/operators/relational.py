@@ -119,12 +119,6 @@ def join_rehydrate(spark, sf):
     return join_full_outer_fusion(spark, sf).select("doc_id", "rrf").join(table(spark, sf, "documents").select("doc_id", "source", "n_chars"), "doc_id")
 
 
-@query("SELECT coalesce('scope:' || lang, 'source:' || source) AS label, count(*)::BIGINT AS n FROM documents GROUP BY GROUPING SETS ((lang), (source))")
-def agg_classification_counts(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("lang"), F.col("source"))
-    return docs.groupingSets([[F.col("lang")], [F.col("source")]], "lang", "source").agg(F.count("*").alias("n")).select(F.coalesce(F.concat(F.lit("scope:"), "lang"), F.concat(F.lit("source:"), "source")).alias("label"), "n")
-
-
 @query("SELECT o_custkey, max(o_orderkey) AS revision FROM orders GROUP BY o_custkey")
 def agg_max_revision(spark, sf):
     return table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("revision"))
