@@ -14,7 +14,7 @@ Large buckets of unconnected members are variants of one text, mostly too far ap
 of their shingles instead of by bucket, so that no bucket is one task: in one order of all shingles, sets that are
 similar enough have one of these in common for certain. Shingles that occur in one component alone come first, and as
 they can't be shared, a member that has many of them offers none to others; they also bound each pair's intersection
-before it becomes a row. Shingles that many members hold come last, rarest first.
+before it becomes a row. Shingles that many members hold come last.
 
 Defined results: null text = empty text; a text without words has the empty set, links with nothing and is kept;
 a null doc_id links with nothing (component_id null, kept true); rows with equal doc_id are each returned;
@@ -213,18 +213,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     listed = members.join(docs, F.col("rep") == F.col("doc_id")).select("rep", "comp", "text").mapInArrow(lister(width), "rep long, comp long, digest binary, shingles array<long>")
     # A doc_id can stand in many rows, of one text or of several: each of its sets is counted once.
     listed = written(listed.dropDuplicates(["rep", "digest"]).withColumn("n", F.size("shingles")), "shingles")
-    # What one component alone holds can't be shared; it comes first in every set and is only counted. What more than HOT
-    # members hold comes last, rarest first, so a shingle that all variants share is among the first of none that has
-    # enough others. All others stand between, in the order of their hashes. The order is the same in every set.
+    # What one component alone holds can't be shared; it comes first in every set and is only counted. Then comes what at
+    # most HOT members hold, rarest first, and last what more hold, in the order of its hashes: so a shingle that all
+    # variants share is among the first of none that has enough others. The order is the same in every set. Only the
+    # rarer shingles are joined; what is left of a set is what many hold.
     held = listed.select("rep", "comp", "digest", F.explode("shingles").alias("shingle"))
     known = held.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("often"))
-    known = written(known.where((F.col("low") == F.col("high")) | (F.col("often") > HOT)).select("shingle", F.when(F.col("low") != F.col("high"), F.col("often")).alias("often")), "known")
+    known = written(known.where((F.col("low") == F.col("high")) | (F.col("often") <= HOT)).select("shingle", F.when(F.col("low") != F.col("high"), F.col("often")).alias("often")), "known")
     known = held.join(known, "shingle").groupBy("rep", "digest").agg(
-        F.collect_list(F.when(F.col("often").isNull(), F.col("shingle"))).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("often").isNotNull(), F.struct("often", "shingle")))).alias("hot"),
+        F.collect_list(F.when(F.col("often").isNull(), F.col("shingle"))).alias("alone"), F.sort_array(F.collect_list(F.when(F.col("often").isNotNull(), F.struct("often", "shingle")))).alias("few"),
     )
     none = F.array().cast("array<bigint>")
-    held = listed.join(known, ["rep", "digest"], "left").withColumns({"alone": F.coalesce("alone", none), "hot": F.coalesce("hot.shingle", none)})
-    held = held.withColumn("rest", F.concat(F.array_except("shingles", F.concat("alone", "hot")), "hot"))
+    held = listed.join(known, ["rep", "digest"], "left").withColumns({"alone": F.coalesce("alone", none), "few": F.coalesce("few.shingle", none)})
+    held = held.withColumn("rest", F.concat("few", F.array_except("shingles", F.concat("alone", "few"))))
     held = held.withColumns({"own": F.size("alone"), "probes": F.expr(f"n - ceil({percent} * n / 100) + 1"), "offers": F.expr(f"n - ceil({2 * percent} * n / {100 + percent}) + 1")})
     held = held.select("rep", "comp", "digest", "own", "offers", F.posexplode(F.slice("rest", F.lit(1), F.greatest(F.col("probes") - F.col("own"), F.lit(0)).cast("int"))).alias("at", "shingle"))
     held = written(held.join(sized, ["rep", "digest"]), "prefixes")  # both sides of the join below come straight from here, so large keys can be split
