@@ -18,7 +18,6 @@ from tessera.plans.functions import called, register_functions
 from tessera.registry import query, table
 from tessera.sources.raw import case_issues, raw_pages, write_report
 from tessera.sources.shared import new_path, written
-from tessera.sources.snapshot import restored, verify_snapshot, write_snapshot
 from tessera.streaming.sync import embed_pending, sync
 
 __all__ = ["embedded", "hash_embed"]
@@ -81,24 +80,6 @@ def sink_report_json(spark, sf):
     return spark.read.schema("status string, n long").json(write_report(report, new_path(spark, "reports"), "orders", "1"))
 
 
-@query("SELECT 'checksum' AS issue, 1::BIGINT AS n UNION ALL SELECT 'count', 1 FROM orders HAVING count(*) > 0")
-def src_snapshot_verify(spark, sf):
-    """Issues of a snapshot of orders and customer to which a line was added."""
-    path = new_path(spark, "snapshot")
-    write_snapshot({n: table(spark, sf, n) for n in ("orders", "customer")}, path)
-    spark.range(1).coalesce(1).select(F.lit('{"record_type": "orders", "data": {}}')).write.mode("append").option("compression", "gzip").text(f"{path}/lines")
-    return verify_snapshot(spark, path).groupBy("issue").agg(F.count("*").alias("n"))
-
-
-@query("SELECT c_custkey, c_name, c_nationkey + 100 AS nation_id, 'validating' AS status FROM customer")
-def life_restore(spark, sf):
-    """customer and nation from a snapshot, under new keys and in status validating."""
-    path = new_path(spark, "snapshot")
-    write_snapshot({n: table(spark, sf, n) for n in ("customer", "nation")}, path)
-    keys = restored(spark, path, "nation", "n_nationkey int").select(F.col("n_nationkey").alias("c_nationkey"), (F.col("n_nationkey") + 100).alias("nation_id"))
-    return restored(spark, path, "customer", "c_custkey long, c_name string, c_nationkey int").join(keys, "c_nationkey").select("c_custkey", "c_name", "nation_id", F.lit("validating").alias("status"))
-
-
 def _stream(spark, sf, name: str) -> DataFrame:
     rows = table(spark, sf, name)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 64).parquet(f"{sf}/{name}.parquet*")

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.registry import query, table
 from tessera.sources.shared import new_path
-from tessera.sources.snapshot import verify_snapshot, write_snapshot
 from tessera.streaming.admission import run_admission
 
 #: Accepted events of a key in any WINDOW seconds.
@@ -25,16 +24,6 @@ def stream_admission(spark, sf):
     return run_admission(rows, new_path(spark, "admission"), limit=LIMIT, window=WINDOW)
 
 
-@query("SELECT 'nation' AS record_type, count(*)::BIGINT AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
-def sink_snapshot_jsonl(spark, sf):
-    """The counts in a snapshot's manifest, after it is written and found sound."""
-    path = new_path(spark, "snapshot")
-    write_snapshot({n: table(spark, sf, n) for n in ("nation", "region", "supplier")}, path)
-    sound = verify_snapshot(spark, path).agg((F.count("*") == 0).alias("sound"))
-    counts = spark.read.schema("record_type string, n long").json(f"{path}/counts")
-    return counts.crossJoin(F.broadcast(sound)).where("sound").select("record_type", "n")
-
-
 @query("SELECT page_id, sha256(html) AS content_hash, length(html)::BIGINT AS n FROM pages")
 def src_page_flatten(spark, sf):
     """Pages as nested API objects and back: the first revision of each page, hashed."""
