@@ -1,8 +1,8 @@
 """Sliding-window admission: at most `limit` accepted events of a key in any `window` seconds.
 
 Rejected events leave no trace, so a count over a window isn't enough: accepted times are kept per key, in order. The
-batch form and the stream form share one fold, whose state is at most `limit` times. Neither gathers a key: rows stream
-past the fold in order of key and time.
+batch form and the stream form share one fold, whose state is at most `limit` times. Neither gathers a key: in a batch
+rows stream past the fold in order of key and time, in a stream they wait for the watermark in buckets of a minute.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "key long, event_id long, admitted boolean, retry_after double"
 _COLUMNS = ["key", "event_id", "admitted", "retry_after"]
+#: Events of so many milliseconds wait for the watermark together.
+BUCKET_MS = 60_000
 
 
 def admit(times: list[float], rows: pd.DataFrame, limit: int, window: float) -> tuple[list[float], pd.DataFrame]:
@@ -31,11 +33,15 @@ def admit(times: list[float], rows: pd.DataFrame, limit: int, window: float) ->
 
 
 def _shaped(events: DataFrame) -> DataFrame:
-    return events.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
+    closing = F.col("closing") if "closing" in events.columns else F.lit(False)
+    return events.select(F.col("user_id").alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), closing.alias("closing"))
 
 
 def admitted_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
-    """A partition's keys one after the other, each in order of time; an Arrow batch at a time is in memory. A null key is a key."""
+    """A partition's keys one after the other, each in order of time; an Arrow batch at a time is in memory.
+
+    A null key is a key; repeated events of a key count once.
+    """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, times = None, []
@@ -49,34 +55,97 @@ def admitted_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
                 times, out = admit(times, part, limit, window)
                 yield out
 
-    rows = _shaped(events).select("key", "event_id", "at").repartition("key").sortWithinPartitions("key", "at", "event_id")
+    rows = _shaped(events).select("key", "event_id", "at").dropDuplicates(["key", "event_id"]).repartition("key").sortWithinPartitions("key", "at", "event_id")
     return rows.mapInPandas(fold, SCHEMA)
 
 
-def admitted_stream(events: DataFrame, limit: int, window: float, late: str = "1 day") -> DataFrame:
-    """events: a streaming DataFrame; each micro-batch of a key is taken in order of time.
+class Admission(StatefulProcessor):
+    """The fold of one key as a stateful processor.
 
-    A key's state goes when the watermark (`late` behind the newest event) has passed its last accepted event by the
-    window, as it can reject nothing then.
+    Events wait in buckets of BUCKET_MS until the watermark has passed their bucket, so that events which come late, but
+    not too late, take their place in time. A timer for each bucket judges it in order; the accepted times of the last
+    window are all that is kept, and one more timer forgets them when they can reject nothing any more.
     """
 
-    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, limit: int, window: float) -> None:
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "bucket long", "ids array<bigint>, ats array<double>")
+        self.times = handle.getValueState("times", "times array<double>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            batch = batch[~batch["closing"]]
+            for bucket, part in batch.groupby((batch["at"] * 1000 // BUCKET_MS).astype("int64")):
+                bucket = int(bucket)
+                ids, ats = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else ([], [])
+                self.waiting.updateValue((bucket,), ([*ids, *part["event_id"].tolist()], [*ats, *part["at"].tolist()]))
+                self.handle.registerTimer((bucket + 1) * BUCKET_MS)
+        yield pd.DataFrame(columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        bucket = now // BUCKET_MS - 1
+        times = list(self.times.get()[0]) if self.times.exists() else []
+        if now % BUCKET_MS or not self.waiting.containsKey((bucket,)):
+            if times and (times[-1] + self.window) * 1000 < now:
+                self.times.clear()
+            yield pd.DataFrame(columns=_COLUMNS)
             return
-        times = list(state.get[0]) if state.exists else []
-        times, out = admit(times, pd.concat(list(batches)), limit, window)
-        state.update((times,))
-        until = int(((times[-1] if times else 0.0) + window) * 1000) + 1
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        ids, ats = self.waiting.getValue((bucket,))
+        rows = pd.DataFrame({"key": [key[0]] * len(ids), "event_id": ids, "at": ats})
+        times, out = admit(times, rows, self.limit, self.window)
+        self.waiting.removeKey((bucket,))
+        self.times.update((times,))
+        if times:
+            self.handle.registerTimer(max(int((times[-1] + self.window) * 1000) // BUCKET_MS * BUCKET_MS + BUCKET_MS + 1, now + 1))
         yield out
 
-    rows = _shaped(events).withWatermark("ts", late)
-    return rows.groupBy("key").applyInPandasWithState(fold, SCHEMA, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def admitted_stream(events: DataFrame, limit: int, window: float, late: str = "1 day") -> DataFrame:
+    """events: a streaming DataFrame; the verdict on an event comes when the watermark (`late` behind the newest event) has passed it.
+
+    An event that is repeated within the watermark's delay counts once, and one that comes after its time is dropped.
+    """
+    rows = _shaped(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["key", "event_id", "closing"])
+    return rows.groupBy("key").transformWithStateInPandas(Admission(limit, window), SCHEMA, "append", "eventTime")
 
 
-def run_admission(events: DataFrame, path: str, limit: int, window: float) -> DataFrame:
-    """The verdicts on all events that a stream has, written under path."""
-    run = admitted_stream(events, limit, window).writeStream.format("parquet").option("path", f"{path}/verdicts").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return events.sparkSession.read.schema(SCHEMA).parquet(f"{path}/verdicts")
+def run_admission(events: DataFrame, path: str, limit: int, window: float, late: str = "1 day", close: bool = True) -> DataFrame:
+    """The verdicts on all events that a stream has, written under path; run again, it goes on from where it was.
+
+    close: a last row far ahead is sent after all events, so that what still waits for its watermark is judged; the stream
+    takes no more events then.
+    """
+    spark = events.sparkSession
+    closing = f"{path}/closing"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields if f.name in ("user_id", "event_id", "ts"))
+    if not _is_there(spark, closing):
+        spark.createDataFrame([], kinds).write.parquet(closing)
+    both = events.select("user_id", "event_id", "ts").withColumn("closing", F.lit(False)).unionByName(spark.readStream.schema(kinds).parquet(f"{closing}*").withColumn("closing", F.lit(True)))
+    store, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+    def run() -> None:
+        before = spark.conf.get(store)
+        spark.conf.set(store, provider)  # a query keeps what it started with
+        try:
+            query = admitted_stream(both, limit, window, late).writeStream.format("parquet").option("path", f"{path}/verdicts").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(store, before)
+        query.awaitTermination()
+
+    run()
+    if close:
+        spark.sql("SELECT timestamp '2200-01-01' AS ts").select(F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("long").alias("event_id"), F.col("ts").cast(events.schema["ts"].dataType).alias("ts")).select("user_id", "event_id", "ts").write.mode("append").parquet(closing)
+        run()
+    return spark.read.schema(SCHEMA).parquet(f"{path}/verdicts")
+
+
+def _is_there(spark, path: str) -> bool:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)

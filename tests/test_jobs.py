@@ -45,6 +45,24 @@ def test_admission_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, admitted_batch(events, 3, 86400.0).collect()))
 
 
+def test_late_and_repeated_events_are_judged_as_in_a_batch(spark, tmp_path):
+    import random
+
+    rng = random.Random(2)
+    base = 1_700_000_000
+    events = [(k, 100 * k + i, base + k * 7 + i * 37.5) for k in range(4) for i in range(40)]
+    rng.shuffle(events)  # out of order by up to 25 minutes
+    events += rng.sample(events, 30)
+    frame = spark.createDataFrame(events, "user_id long, event_id long, at double").selectExpr("user_id", "event_id", "timestamp_micros(cast(at * 1000000 as bigint)) as ts")
+    for n, rows in enumerate((frame.limit(60), frame)):  # the second file repeats the first one's events
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / f"events{n}"))
+    stream = lambda: spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events*"))
+    first = run_admission(stream(), str(tmp_path / "run"), 3, 300.0, late="1 hour", close=False).count()
+    found = run_admission(stream(), str(tmp_path / "run"), 3, 300.0, late="1 hour")
+    want = sorted(map(tuple, admitted_batch(frame, 3, 300.0).collect()))
+    assert first < len(want) and sorted(map(tuple, found.collect())) == want and len(want) == 160 and {r[2] for r in want} == {True, False}
+
+
 def test_snapshot_detects_tampering(spark, tmp_path):
     path = str(tmp_path / "s")
     write_snapshot({"a": spark.range(5), "b": spark.range(3)}, path)
