@@ -219,6 +219,32 @@ def job_incremental_sync(spark, sf):
     return synced(events.where("event_id % 3 = 0"), events, ["user_id", "event_type"], "event_id")
 
 
+def sync_summary(state: DataFrame, fetched: DataFrame, keys: list[str], revision: str, errors: DataFrame | None = None) -> DataFrame:
+    """One row on a run: status, pages_discovered, pages_fetched, pages_changed, pages_added, pages_late, pages_unchanged, objects_uploaded, objects_existing, errors.
+
+    state: what `synced` gave. A page's revision that was stored already is unchanged; each new one is an object to
+    upload. errors: pages that could not be fetched; with any the run has failed.
+    """
+    got = fetched.select(*keys, revision).distinct().join(state, [*keys, revision], "left")
+    n = lambda what: F.count_if(F.coalesce(what, F.lit(False)))
+    row = got.agg(
+        F.count_distinct(*keys).alias("pages_discovered"), F.count("*").alias("pages_fetched"), n(F.col("change") == "changed").alias("pages_changed"), n(F.col("change") == "added").alias("pages_added"), n(F.col("change") == "late").alias("pages_late"),
+        n(F.col("change") == "unchanged").alias("pages_unchanged"), n(F.col("attributed")).alias("objects_uploaded"), n(~F.col("attributed")).alias("objects_existing"),
+    )
+    row = row.crossJoin(errors.agg(F.count("*").alias("errors")) if errors is not None else row.sparkSession.range(1).select(F.lit(0).cast("long").alias("errors")))  # one row each
+    return row.select(F.when(F.col("errors") > 0, "failed").otherwise("succeeded").alias("status"), *row.columns)
+
+
+@query("""WITH e AS (SELECT user_id, event_type, event_id, event_id % 3 <> 0 AS new FROM events), w AS (SELECT *, max(event_id) FILTER (NOT new) OVER (PARTITION BY user_id, event_type) AS known FROM e)
+ SELECT CASE WHEN (SELECT count(*) FROM events WHERE value IS NULL) > 0 THEN 'failed' ELSE 'succeeded' END AS status, (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events))::BIGINT AS pages_discovered, count(*)::BIGINT AS pages_fetched, count(*) FILTER (new AND event_id > known)::BIGINT AS pages_changed,
+ count(*) FILTER (new AND known IS NULL)::BIGINT AS pages_added, count(*) FILTER (new AND event_id < known)::BIGINT AS pages_late, count(*) FILTER (NOT new)::BIGINT AS pages_unchanged, count(*) FILTER (new)::BIGINT AS objects_uploaded, count(*) FILTER (NOT new)::BIGINT AS objects_existing, (SELECT count(*) FROM events WHERE value IS NULL)::BIGINT AS errors FROM w""")
+def agg_sync_summary(spark, sf):
+    """The report of job_incremental_sync's run; events without a value stand for pages that could not be fetched as well."""
+    events = table(spark, sf, "events")
+    fetched = events.select("user_id", "event_type", "event_id")
+    return sync_summary(job_incremental_sync(spark, sf), fetched, ["user_id", "event_type"], "event_id", events.where("value is null"))
+
+
 def embedded_pending(rows: DataFrame, done: DataFrame, key: str, text: str, embed: Callable[[list[str]], list] = hash_embed, size: int = 16) -> DataFrame:
     """key, embedding, status, error of the rows that have no vector yet, in batches of `size`; a batch that fails marks its rows, no others."""
 

@@ -134,6 +134,14 @@ def crawled(members: DataFrame, seed_pages: DataFrame, seed_categories: DataFram
     return every.select("title", "page_id", "namespace", "source", "depth", "reason", F.struct("level", "key").alias("place"), F.lit(truncated).alias("truncated"))
 
 
+@query("""SELECT page_id, CASE WHEN page_id % 5 = 1 THEN 'denied_namespace' WHEN page_id % 5 > 2 THEN 'namespace_not_allowed' WHEN contains(lower(url), '/p7') OR contains(lower(url), 'host1') THEN 'denied_title' ELSE 'included' END AS reason FROM pages""")
+def flt_deny_patterns(spark, sf):
+    """Addresses as titles, in namespaces 0 to 4, of which 0 and 2 are allowed and 1 is denied."""
+    policy = Policy(0, 1, allowed=frozenset({0, 2}), denied=frozenset({1}), title_deny=("/P7", "Host1"))
+    rows = table(spark, sf, "pages").select("page_id", F.col("url").alias("title"), (F.col("page_id") % 5).alias("namespace"))
+    return rows.select("page_id", F.coalesce(page_reason(policy), F.lit("included")).alias("reason"))
+
+
 def _members(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Regions, nations and their suppliers as categories, customers and suppliers as pages; some are met twice, some are of odd namespaces."""
     name = lambda letter, c: F.concat(F.lit(letter), F.col(c))

@@ -37,16 +37,6 @@ def flt_in_null_sets(spark, sf):
     return table(spark, sf, "orders").where(F.col("o_orderstatus").isin("F", "O") & F.col("o_orderpriority").isNotNull() & (F.col("o_custkey") != 1) & F.col("o_totalprice").isNotNull()).select("o_orderkey")
 
 
-@query("""SELECT page_id, CASE WHEN contains(lower(url), 'spam') THEN 'denied:spam' WHEN contains(lower(url), 'pills') THEN 'denied:pills'
- WHEN NOT starts_with(lower(url), 'http') THEN 'scheme' ELSE 'included' END AS reason FROM pages""")
-def flt_deny_patterns(spark, sf):
-    url, reason = F.lower("url"), None
-    for pattern in ("spam", "pills"):
-        hit = url.contains(pattern)
-        reason = F.when(hit, f"denied:{pattern}") if reason is None else reason.when(hit, f"denied:{pattern}")
-    return table(spark, sf, "pages").select("page_id", reason.when(~url.startswith("http"), "scheme").otherwise("included").alias("reason"))
-
-
 @query("SELECT o_orderkey, least(greatest(o_orderkey, 1), 200)::BIGINT AS n200, least(greatest(o_custkey, 1), 20)::BIGINT AS n20 FROM orders")
 def prj_clamp(spark, sf):
     clamp = lambda c, top: F.least(F.greatest(F.col(c), F.lit(1)), F.lit(top)).cast("long")
@@ -208,12 +198,6 @@ def agg_category_minimums(spark, sf):
     return short_categories(part, "p_type", minimums)
 
 
-@query("""SELECT event_type, count(*)::BIGINT AS discovered, count(*) FILTER (value > 50)::BIGINT AS changed, count(*) FILTER (value IS NULL)::BIGINT AS errors,
- count(DISTINCT user_id)::BIGINT AS users FROM events GROUP BY event_type""")
-def agg_sync_summary(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("discovered"), F.count_if(F.col("value") > 50).alias("changed"), F.count_if(F.col("value").isNull()).alias("errors"), F.countDistinct("user_id").alias("users"))
-
-
 @query("""WITH old AS (SELECT *, 0 AS src FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT * REPLACE (o_totalprice + 1 AS o_totalprice), 1 AS src FROM orders WHERE o_orderkey % 2 = 0)
  SELECT o_orderkey, round(o_totalprice, 2) AS price FROM (SELECT * FROM old UNION ALL SELECT * FROM new) QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY src DESC) = 1""")
 def sink_upsert_key(spark, sf):

@@ -216,16 +216,41 @@ def agg_entity_accuracy(spark, sf):
     return wanted.join(hits, ["query_id", "entity"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("entity_accuracy"))
 
 
-@query("""SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') AS slug, p_name AS title, count(DISTINCT p_brand)::BIGINT AS n_aliases, arg_min(p_type, p_partkey) AS summary FROM part GROUP BY p_name""")
+def entity_details(slugs: DataFrame, aliases: DataFrame, chunks: DataFrame, most: int = 100) -> DataFrame:
+    """slug, title, aliases (array, preferred first, each once), entity_type, summary, chunk_id, url of entities with evidence.
+
+    slugs: slug, those asked for. aliases: entity, alias, priority. chunks: chunk_id, title, chunk_index, content,
+    entity_type, url of the active corpus; the first one of an entity's page is its summary, and an entity without any
+    has no row.
+    """
+    known = aliases.withColumn("slug", t.slug(F.col("entity"))).join(slugs.select("slug").distinct(), "slug")
+    n = F.row_number().over(Window.partitionBy("slug", "entity").orderBy(F.desc("priority"), "alias"))
+    listed = known.select("slug", "entity", "alias", "priority").distinct().withColumn("n", n).where(F.col("n") <= most)
+    listed = listed.groupBy("slug", "entity").agg(F.array_distinct(F.array_sort(F.collect_list(F.struct("n", "alias")))["alias"]).alias("aliases"))
+    first = chunks.groupBy(F.col("title").alias("entity")).agg(F.min_by(F.struct("chunk_id", "content", "entity_type", "url"), F.struct("chunk_index", "chunk_id")).alias("c"))
+    return listed.join(first, "entity").select("slug", F.col("entity").alias("title"), "aliases", "c.entity_type", F.col("c.content").alias("summary"), "c.chunk_id", "c.url")
+
+
+def page_url(title: Column, base: str = "https://wiki.example.org/wiki/") -> Column:
+    """A page's address: blanks are underscores, and slashes stay, as subpages have them."""
+    return F.concat(F.lit(base), F.replace(F.url_encode(F.replace(title, F.lit(" "), F.lit("_"))), F.lit("%2F"), F.lit("/")))
+
+
+@query(f"""WITH g AS (SELECT entity, alias, max(priority) AS priority FROM {_GLOSSARY} GROUP BY ALL), c AS (SELECT p_name, arg_min(p_partkey, p_size::BIGINT * 1000000000 + p_partkey) AS k FROM part GROUP BY p_name)
+ SELECT trim(regexp_replace(lower(entity), '[^a-z0-9]+', '-', 'g'), '-') AS slug, entity AS title, string_agg(alias, '|' ORDER BY g.priority DESC, alias) AS aliases, any_value(p_type) AS summary, any_value(p_partkey)::BIGINT AS chunk_id, any_value(p_brand) AS entity_type,
+ any_value('https://wiki.example.org/wiki/' || replace(url_encode(replace(part.p_name, ' ', '_')), '%2F', '/')) AS url FROM g JOIN c ON entity = c.p_name JOIN part ON p_partkey = k WHERE p_size % 2 = 0 GROUP BY entity""")
 def job_entity_detail(spark, sf):
-    each = table(spark, sf, "part").groupBy(F.col("p_name").alias("title")).agg(F.count_distinct("p_brand").alias("n_aliases"), F.min_by("p_type", "p_partkey").alias("summary"))
-    return each.select(t.slug(F.col("title")).alias("slug"), "title", "n_aliases", "summary")
+    """Every name by its slug; parts of one name are the chunks of its page, by size, and a page whose first one is odd is asked for by nobody."""
+    part = table(spark, sf, "part")
+    chunks = part.select(F.col("p_partkey").cast("long").alias("chunk_id"), F.col("p_name").alias("title"), F.col("p_size").alias("chunk_index"), F.col("p_type").alias("content"), F.col("p_brand").alias("entity_type"), page_url(F.col("p_name")).alias("url"))
+    first = chunks.groupBy("title").agg(F.min("chunk_index").alias("n")).where("n % 2 = 0")
+    found = entity_details(first.select(t.slug(F.col("title")).alias("slug")), glossary(_rows(spark, sf)), chunks)
+    return found.select("slug", "title", F.array_join("aliases", "|").alias("aliases"), "summary", "chunk_id", "entity_type", "url")
 
 
-@query("SELECT p_partkey, 'https://wiki.example.org/wiki/' || url_encode(replace(p_name || ' ' || p_brand, ' ', '_')) AS url FROM part")
+@query("SELECT p_partkey, 'https://wiki.example.org/wiki/' || replace(url_encode(replace(p_name || '/' || p_brand, ' ', '_')), '%2F', '/') AS url FROM part")
 def fn_url_title(spark, sf):
-    title = F.replace(F.concat_ws(" ", "p_name", "p_brand"), F.lit(" "), F.lit("_"))
-    return table(spark, sf, "part").select("p_partkey", F.concat(F.lit("https://wiki.example.org/wiki/"), F.url_encode(title)).alias("url"))
+    return table(spark, sf, "part").select("p_partkey", page_url(F.concat_ws("/", "p_name", "p_brand")).alias("url"))
 
 
 def table_rows(markup: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -71,17 +73,36 @@ def fn_normalize_unicode(spark, sf):
 
 
 #: Words that tell a language where no letter does; those of the test tables.
-HINTS = ("the", "and", "of")
+# Words in search form that show a language.
+VIETNAMESE_HINTS = ("ban", "cach", "che", "con", "cung", "da", "de", "di", "giu", "lam", "ma", "mon", "mu", "nhan", "nhiet", "noi", "o", "vat")
+ENGLISH_HINTS = ("armor", "character", "craft", "food", "helmet", "how", "item", "recipe", "stone", "the", "weapon")
+_TONES = "\u0300\u0301\u0303\u0309\u0323"
+
+
+def _vietnamese() -> str:
+    """Letters with the marks of Vietnamese: the seven of its own, and each vowel with each tone."""
+    own = "ăâđêôơư"
+    toned = "".join(unicodedata.normalize("NFC", v + tone) for v in "aăâeêioôơuưy" for tone in _TONES)
+    return "".join(sorted(c for c in set(own + toned) if len(c) == 1))
+
+
+#: Marked letters, composed or as a vowel before its mark.
+VIETNAMESE = f"[{_vietnamese()}]|[aeiouy][{_TONES}\u0302\u0306\u031b]"
 
 
 def language(text: Column) -> Column:
-    marked, other = text.rlike("[ßäöü]"), text.rlike("[éèçñ]")
-    hints = F.arrays_overlap(t.terms(text), F.array(*map(F.lit, HINTS)))
-    return F.when(marked & other, "mixed").when(marked, "de").when(hints, "en").otherwise("unknown")
+    """vi by its letters or words, en by its words or any letters else, mixed if it has signs of both; unknown without letters."""
+    held = t.terms(text)
+    shows = lambda hints: F.arrays_overlap(held, F.array(*map(F.lit, hints)))
+    vi, en = F.lower(text).rlike(VIETNAMESE) | shows(VIETNAMESE_HINTS), shows(ENGLISH_HINTS)
+    return F.when(vi & en, "mixed").when(vi, "vi").when(en | text.rlike(r"\p{L}"), "en").otherwise("unknown")
+
+
+def _shows(hints: tuple[str, ...]) -> str:
+    return f"list_has_any({_TERMS.replace('@', 'text')}, [{', '.join(map(repr, hints))}])"
 
 
-_LANGUAGE = f"""CASE WHEN regexp_matches(text, '[ßäöü]') AND regexp_matches(text, '[éèçñ]') THEN 'mixed' WHEN regexp_matches(text, '[ßäöü]') THEN 'de'
- WHEN list_has_any({_TERMS.replace('@', 'text')}, ['the', 'and', 'of']) THEN 'en' ELSE 'unknown' END"""
+_LANGUAGE = f"""(SELECT CASE WHEN vi AND en THEN 'mixed' WHEN vi THEN 'vi' WHEN en OR regexp_matches(text, '\\p{{L}}') THEN 'en' ELSE 'unknown' END FROM (SELECT coalesce(regexp_matches(lower(text), '{VIETNAMESE}') OR {_shows(VIETNAMESE_HINTS)}, false) AS vi, coalesce({_shows(ENGLISH_HINTS)}, false) AS en))"""
 
 
 @query(f"SELECT doc_id, {_LANGUAGE} AS language FROM documents")
