@@ -31,6 +31,23 @@ def _bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+def postings(key, table):
+    """For applyInArrow by shard: a row for each word of its documents (doc_id, words), with all its places in order."""
+    words, ids = table.column("words").combine_chunks(), table.column("doc_id").to_numpy()
+    sizes = np.diff(words.offsets.to_numpy())
+    encoded = words.flatten().dictionary_encode()
+    codes, doc = encoded.indices.to_numpy(), np.repeat(ids, sizes)
+    at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((at, doc, codes))
+    codes, doc, at = codes[order], doc[order], at[order].astype(np.int32)
+    first = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1]))) if len(codes) else np.empty(0, np.int64)
+    other = np.concatenate(([True], (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1]))) if len(codes) else np.empty(0, bool)
+    cuts = pa.array(np.append(first, len(codes)), pa.int32())
+    df = np.add.reduceat(other.astype(np.int32), first) if len(first) else np.empty(0, np.int32)
+    columns = [pa.array(np.full(len(first), key[0].as_py(), np.int32)), encoded.dictionary.take(pa.array(codes[first])), pa.array(df, pa.int32()), pa.ListArray.from_arrays(cuts, pa.array(doc)), pa.ListArray.from_arrays(cuts, pa.array(at))]
+    return pa.table(columns, names=["shard", "term", "df", "docs", "at"])
+
+
 def write_index(docs: DataFrame, path: str, shard_chars: int = SHARD_CHARS) -> None:
     """Writes the postings of docs (doc_id, text): shard, term, df, docs and at, by bucket of the term.
 
@@ -39,9 +56,9 @@ def write_index(docs: DataFrame, path: str, shard_chars: int = SHARD_CHARS) -> N
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(-(-chars // shard_chars), docs.sparkSession.sparkContext.defaultParallelism)
-    words = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"), "doc_id", F.posexplode(t.terms(F.col("text"))).alias("at", "term"))
-    held = words.groupBy("shard", "term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "at"))).alias("p"))
-    held = held.select("shard", "term", F.size(F.array_distinct("p.doc_id")).alias("df"), F.col("p.doc_id").alias("docs"), F.col("p.at").alias("at"), _bucket(F.col("term")).alias("bucket"))
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(shards, "shard")
+    held = dealt.select("shard", "doc_id", F.coalesce(t.terms(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    held = held.groupBy("shard").applyInArrow(postings, "shard int, term string, df int, docs array<long>, at array<int>").withColumn("bucket", _bucket(F.col("term")))
     held.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
 
 

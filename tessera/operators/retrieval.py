@@ -15,7 +15,7 @@ from tessera.operators.order import nearest_rank
 from tessera.operators.textual import _SEARCH, _TERMS, INTENTS, intent, intent_sql, vector_sql
 from tessera.operators.vectors import match_vectors, similarities
 from tessera.registry import query, table
-from tessera.sources.store import stored
+from tessera.sources.store import spread, stored
 
 _COS = "round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 6)"
 
@@ -62,7 +62,7 @@ def _index(spark, sf) -> DataFrame:
 def _embedded(spark, sf, name: str, key: str) -> DataFrame:
     """The stored vectors of a table's texts."""
     rows = table(spark, sf, name)
-    return stored(rows, f"vectors-{name}", lambda path: embedded(rows, key, "text").write.parquet(path))
+    return stored(rows, f"vectors-{name}", lambda path: embedded(spread(rows.select(key, "text")), key, "text").write.parquet(path))
 
 
 def _items(spark, sf) -> DataFrame:

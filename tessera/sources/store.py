@@ -37,6 +37,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as run at once, if its files give fewer: for small tables with much work in each row."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def stored(source: DataFrame, name: str, build: Callable[[str], None]) -> DataFrame:
     """The table `name` derived from source: build(path) writes it where none exists yet for the same files."""
     spark = source.sparkSession
