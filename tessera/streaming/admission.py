@@ -2,7 +2,7 @@
 
 Rejected events leave no trace, so a count over a window isn't enough: accepted times are kept per key, in order. The
 batch form and the stream form share one fold, whose state is at most `limit` times. Neither gathers a key: in a batch
-rows stream past the fold in order of key and time, in a stream they wait for the watermark in buckets of a minute.
+rows stream past the fold in order of key and time, in a stream they wait for the watermark in buckets of time.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "key long, event_id long, admitted boolean, retry_after double"
 _COLUMNS = ["key", "event_id", "admitted", "retry_after"]
-#: Events of so many milliseconds wait for the watermark together.
-BUCKET_MS = 60_000
+#: Buckets of a window, in which events wait for the watermark together.
+BUCKETS = 24
 
 
 def admit(times: list[float], rows: pd.DataFrame, limit: int, window: float) -> tuple[list[float], pd.DataFrame]:
@@ -62,46 +62,64 @@ def admitted_batch(events: DataFrame, limit: int, window: float) -> DataFrame:
 class Admission(StatefulProcessor):
     """The fold of one key as a stateful processor.
 
-    Events wait in buckets of BUCKET_MS until the watermark has passed their bucket, so that events which come late, but
-    not too late, take their place in time. A timer for each bucket judges it in order; the accepted times of the last
-    window are all that is kept, and one more timer forgets them when they can reject nothing any more.
+    Events wait in buckets of time until the watermark has passed their bucket, so that events which come late, but not
+    too late, take their place in time. A key has one timer: for its earliest bucket, or, if nothing waits, for the time
+    when its accepted events can reject nothing any more and are forgotten. What is due is judged in order.
     """
 
     def __init__(self, limit: int, window: float) -> None:
         self.limit, self.window = limit, window
+        self.size = max(1000, int(window * 1000) // BUCKETS)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getMapState("waiting", "bucket long", "ids array<bigint>, ats array<double>")
         self.times = handle.getValueState("times", "times array<double>")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, at: int | None) -> None:
+        if self.timer.exists():
+            if at == (before := self.timer.get()[0]):
+                return
+            self.handle.deleteTimer(before)
+            self.timer.clear()
+        if at is not None:
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for batch in rows:
             batch = batch[~batch["closing"]]
-            for bucket, part in batch.groupby((batch["at"] * 1000 // BUCKET_MS).astype("int64")):
+            for bucket, part in batch.groupby((batch["at"] * 1000 // self.size).astype("int64")):
                 bucket = int(bucket)
                 ids, ats = self.waiting.getValue((bucket,)) if self.waiting.containsKey((bucket,)) else ([], [])
                 self.waiting.updateValue((bucket,), ([*ids, *part["event_id"].tolist()], [*ats, *part["at"].tolist()]))
-                self.handle.registerTimer((bucket + 1) * BUCKET_MS)
+                first = bucket if first is None else min(first, bucket)
+        if first is not None:
+            others = [b for (b,) in self.waiting.keys()]
+            self._wake((min([first, *others]) + 1) * self.size)
         yield pd.DataFrame(columns=_COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        bucket = now // BUCKET_MS - 1
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        self.timer.clear()  # a timer that has fired is gone
+        buckets = sorted(b for (b,) in list(self.waiting.keys()))
         times = list(self.times.get()[0]) if self.times.exists() else []
-        if now % BUCKET_MS or not self.waiting.containsKey((bucket,)):
-            if times and (times[-1] + self.window) * 1000 < now:
-                self.times.clear()
-            yield pd.DataFrame(columns=_COLUMNS)
-            return
-        ids, ats = self.waiting.getValue((bucket,))
-        rows = pd.DataFrame({"key": [key[0]] * len(ids), "event_id": ids, "at": ats})
-        times, out = admit(times, rows, self.limit, self.window)
-        self.waiting.removeKey((bucket,))
-        self.times.update((times,))
-        if times:
-            self.handle.registerTimer(max(int((times[-1] + self.window) * 1000) // BUCKET_MS * BUCKET_MS + BUCKET_MS + 1, now + 1))
-        yield out
+        found = [pd.DataFrame(columns=_COLUMNS)]
+        for bucket in (b for b in buckets if (b + 1) * self.size <= now):
+            ids, ats = self.waiting.getValue((bucket,))
+            times, out = admit(times, pd.DataFrame({"key": [key[0]] * len(ids), "event_id": ids, "at": ats}), self.limit, self.window)
+            self.waiting.removeKey((bucket,))
+            found.append(out)
+        left = [b for b in buckets if (b + 1) * self.size > now]
+        forget = int((times[-1] + self.window) * 1000) + 1 if times else 0
+        if forget > now or left:
+            self.times.update((times,))
+            self._wake((left[0] + 1) * self.size if left else forget)
+        else:
+            self.times.clear()
+        yield from found
 
     def close(self) -> None:
         pass
