@@ -76,3 +76,15 @@ def test_table_functions_answer_all_queries(spark):
     found = [tuple(r) for r in called(spark, "hybrid_search", both, "branch, place", 2).orderBy("query_id", "place").collect()]
     assert found == [(1, 8, 1, 2, round(1 / 61 + 1 / 62, 6), 1), (1, 7, None, 1, round(1 / 61, 6), 2), (2, 7, 1, None, round(1 / 61, 6), 1)]
     assert called(spark, "hybrid_search", both.limit(0), "branch, place").count() == 0
+
+
+def test_pairs_are_handed_on_in_bounded_batches(monkeypatch):
+    from tessera.operators import vectors
+
+    monkeypatch.setattr(vectors, "PAIRS", 1000, raising=False)
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    side = {8: (np.arange(400), x, (x * x).sum(axis=1))}
+    batches = list(vectors._best(side, side, None, None))
+    assert max(b.num_rows for b in batches) <= 1000
+    found = {(i, j) for b in batches for i, j in zip(*(c.to_pylist() for c in b.columns[:2]), strict=True)}
+    assert sum(b.num_rows for b in batches) == len(found) == 400 * 400
