@@ -88,3 +88,27 @@ def test_pairs_are_handed_on_in_bounded_batches(monkeypatch):
     assert max(b.num_rows for b in batches) <= 1000
     found = {(i, j) for b in batches for i, j in zip(*(c.to_pylist() for c in b.columns[:2]), strict=True)}
     assert sum(b.num_rows for b in batches) == len(found) == 400 * 400
+
+
+def test_a_search_shuffles_no_candidates(spark, tmp_path, monkeypatch):
+    from tessera.operators import ann
+
+    x = np.random.default_rng(3).normal(size=(600, 8))
+    index = VectorIndex.create(spark, str(tmp_path / "i"), 8, tables=6, least=200)
+    for a, b in ((0, 150), (150, 600)):
+        index.add(frame(spark, range(a, b), x[a:b]))
+    queries = asked(frame(spark, range(0, 600, 11), x[::11]))
+    found = index.search(queries, 4)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {tuple(r) for r in found.collect()}
+    want = set()
+    codes = [(first, ann._codes(x[a:b], ann._planes(6, e["bits"], 8, 1)), ann._codes(x, ann._planes(6, e["bits"], 8, 1))) for (first, a, b), e in zip(((0, 0, 150), (150, 150, 600)), index.log.log()[1:], strict=True)]
+    for q in range(0, 600, 11):
+        near = [first + i for first, held, every in codes for i, c in enumerate(held) if any(bin(int(h ^ w)).count("1") < 2 for h, w in zip(c, every[q], strict=True))]
+        scored = sorted((-round(float(x[q] @ x[v] / np.sqrt((x[q] @ x[q]) * (x[v] @ x[v]))), 6), v) for v in near)
+        want |= {(q, v, -s, at) for at, (s, v) in enumerate(scored[:4], 1)}
+    assert got == want
+    monkeypatch.setattr(ann, "MOST_BYTES", 1 << 10)
+    monkeypatch.setattr(ann, "BLOCK", 100)
+    monkeypatch.setattr(ann, "PAIRS", 1000)
+    assert {tuple(r) for r in index.search(queries, 4).collect()} == want
