@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.embedding import hash_embed
+from tessera.functions.batches import pieces
+from tessera.functions.embedding import hash_embed, vector_lists
 from tessera.registry import query, table
 from tessera.sources.shared import new_path
 from tessera.sources.sinks import unseen
@@ -249,17 +250,21 @@ def embedded_pending(rows: DataFrame, done: DataFrame, key: str, text: str, embe
     """key, embedding, status, error of the rows that have no vector yet, in batches of `size`; a batch that fails marks its rows, no others."""
 
     def each(batches):
-        for batch in batches:
-            for at in range(0, len(batch), size):
-                part = batch.iloc[at : at + size]
+        for batch in pieces(batches, "text", size):
+            texts, vectors, errors = batch.column("text").to_pylist(), [], []
+            for at in range(0, len(texts), size):
+                part = texts[at : at + size]
                 try:
-                    vectors, error = embed(part["text"].tolist()), None
+                    vectors += [*embed(part)]
+                    errors += [None] * len(part)
                 except Exception as e:  # whatever a model raises is the batch's error
-                    vectors, error = [None] * len(part), str(e)
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "embedding": list(vectors), "status": "embedded" if error is None else "failed", "error": error})
+                    vectors += [None] * len(part)
+                    errors += [str(e)] * len(part)
+            status = pa.array(["embedded" if e is None else "failed" for e in errors])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), vector_lists(vectors), status, pa.array(errors, pa.string())], names=["key", "embedding", "status", "error"])
 
-    pending = unseen(rows.select(F.col(key).alias("key"), F.col(text).alias("text")), done.select(F.col(key).alias("key")), ["key"])
-    return pending.mapInPandas(each, "key long, embedding array<double>, status string, error string").withColumnRenamed("key", key)
+    pending = unseen(rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), done.select(F.col(key).alias("key")), ["key"])
+    return pending.mapInArrow(each, "key long, embedding array<double>, status string, error string").withColumnRenamed("key", key)
 
 
 def strict_embed(texts: list[str]) -> list:

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import chunks, wikitext
 from tessera.functions import text as t
+from tessera.functions.batches import pieces
 from tessera.operators.textual import _SEARCH, _WORDS
 from tessera.registry import query, table
 
@@ -35,20 +36,23 @@ def parsed(pages: DataFrame, keys: list[str], markup: str = "markup", parse: Cal
         except Exception as e:  # whatever a page raises is that page's error
             return nothing, f"{type(e).__name__}: {e}"
 
+    told = "sections", "categories", "templates", "hints", "facts"
+    strings = pa.list_(pa.string())
+    kind_of = dict.fromkeys(told, strings) | {"sections": pa.list_(pa.struct([("path", strings), ("content", pa.string())]))}
+
     def each(batches):
-        for batch in batches:
-            read_ = [read(m or "") for m in batch["_markup"]]
-            found = [f for f, _ in read_]
-            out = batch[keys].reset_index(drop=True)
-            out["sections"] = [[{"path": p, "content": c} for p, c in f["sections"]] for f in found]
-            for name in ("categories", "templates", "hints", "facts"):
-                out[name] = [f[name] for f in found]
+        for batch in pieces(batches, "_markup"):
+            read_ = [read(m or "") for m in batch.column("_markup").to_pylist()]
+            out = {k: batch.column(k) for k in keys}
+            out["sections"] = pa.array([[{"path": p, "content": c} for p, c in f["sections"]] for f, _ in read_], kind_of["sections"])
+            for name in told[1:]:
+                out[name] = pa.array([f[name] for f, _ in read_], kind_of[name])
             if parse is not None:
-                out["error"] = [e for _, e in read_]
-            yield out
+                out["error"] = pa.array([e for _, e in read_], pa.string())
+            yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
     kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
-    return pages.select(*keys, F.col(markup).alias("_markup")).mapInPandas(each, f"{kinds}, {PARSED}" + (", error string" if parse is not None else ""))
+    return pages.select(*keys, F.col(markup).alias("_markup")).mapInArrow(each, f"{kinds}, {PARSED}" + (", error string" if parse is not None else ""))
 
 
 def clean_html(html: Column) -> Column:
@@ -263,11 +267,13 @@ def section_chunks(sections: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     keys = [*by, "doc_id", "section"]
 
     def fold(batches):
-        for batch in batches:
-            rows = [(*of, n, c) for *of, text in batch[[*keys, "content"]].itertuples(index=False) for n, c in enumerate(chunks.chunked([b.strip() for b in (text or "").split("\n\n") if b.strip()]))]
-            yield pd.DataFrame(rows, columns=[*keys, "chunk_index", "body"])
+        for batch in pieces(batches, "content"):
+            cut = [chunks.chunked([b.strip() for b in (text or "").split("\n\n") if b.strip()]) for text in batch.column("content").to_pylist()]
+            row = pa.array([i for i, found in enumerate(cut) for _ in found], pa.int64())
+            at, body = pa.array([n for found in cut for n in range(len(found))], pa.int64()), pa.array([c for found in cut for c in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in keys), at, body], names=[*keys, "chunk_index", "body"])
 
-    bodies = sections.select(*by, F.col("doc_id").cast("long").alias("doc_id"), F.col("section").cast("long").alias("section"), "content").mapInPandas(fold, "".join(f"`{c}` string, " for c in by) + "doc_id long, section long, chunk_index long, body string")
+    bodies = sections.select(*by, F.col("doc_id").cast("long").alias("doc_id"), F.col("section").cast("long").alias("section"), "content").mapInArrow(fold, "".join(f"`{c}` string, " for c in by) + "doc_id long, section long, chunk_index long, body string")
     of = sections.drop("content").withColumn("path", F.array_join("path", " > "))
     label = F.create_map(*(F.lit(x) for item in LABELS.items() for x in item))
     scope = section_scope(F.col("scope"), F.col("path"))
