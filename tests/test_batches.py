@@ -66,3 +66,14 @@ def test_pieces_change_no_result(spark):
     want = {i: v.tolist() for i, v in enumerate(hash_embed([(x or "").replace(".", "") for x in TEXTS]))}
     assert {r["k"]: r["embedding"] for r in embedded(rows, "k", "t").collect()} == want
     assert {r["doc_id"]: [s["content"].count("a b.") for s in r["sections"]] for r in parsed(rows.select(rows.k.alias("doc_id"), rows.t.alias("markup")), ["doc_id"]).where("doc_id < 2").collect()} == {0: [40], 1: []}
+
+
+def test_features_are_not_held_between_calls_and_vectors_are_those_of_each_text_alone():
+    import numpy as np
+
+    from tessera.functions import embedding
+
+    words = [f"{a} {b} x x x" for a in "abcdefgh" for b in "stuvwxyz"]
+    together = hash_embed([*words, "", None])
+    assert all((v == hash_embed([w])[0]).all() for v, w in zip(together, words, strict=False)) and not np.any(together[-2:])
+    assert not any(isinstance(x, dict) for n, x in vars(embedding).items() if not n.startswith("__"))
