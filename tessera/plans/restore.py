@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.registry import query, table
-from tessera.sources.shared import new_path
+from tessera.sources.shared import new_path, written
 from tessera.sources.snapshot import CORPUS, SnapshotError, manifest, records, sound, verify_snapshot, write_snapshot
 from tessera.sources.versions import TableSet
 
@@ -63,12 +63,15 @@ def restore(spark: SparkSession, path: str, store: TableSet, source: str, target
     prior = F.map_filter(F.coalesce("manifest", F.create_map().cast("map<string,string>")), lambda k, _: k != "restore")
     row = corpus.select(F.lit(target).alias("version"), F.lit("validating").alias("status"), "model", "page_count", "chunk_count", F.map_concat(prior, F.create_map(F.lit("restore"), stamp)).alias("manifest"))
     try:
-        pages, ids = imported_pages(store.read("pages", PAGES, tables), records(spark, path, "wiki_page", PAGES))
+        # What several tables are made from is read from the lines once.
+        held = lambda kind, schema: written(records(spark, path, kind, schema), kind)
+        pages, ids = imported_pages(store.read("pages", PAGES, tables), held("wiki_page", PAGES))
+        ids = written(ids, "ids")
         union = lambda name, schema, new, keys: new.dropDuplicates(keys).unionByName(store.read(name, schema, tables).join(new.select(*keys), keys, "left_anti"))
-        aliases = union("aliases", ALIASES, records(spark, path, "entity_alias", ALIASES), ["entity", "alias"])
-        models = union("models", MODELS, records(spark, path, "embedding_model", MODELS), ["model"])
+        aliases = union("aliases", ALIASES, held("entity_alias", ALIASES), ["entity", "alias"])
+        models = union("models", MODELS, held("embedding_model", MODELS), ["model"])
         moved = lambda df: df.withColumnRenamed("page", "old_id").join(ids, "old_id", "left").withColumn("page", F.when(F.assert_true(F.col("id").isNotNull(), F.concat(F.lit("unknown page: "), "old_id")).isNull(), F.col("id")))
-        attributions = union("attributions", ATTRIBUTIONS, moved(records(spark, path, "source_attribution", ATTRIBUTIONS)).select("page", "url"), ["page", "url"])
+        attributions = union("attributions", ATTRIBUTIONS, written(moved(records(spark, path, "source_attribution", ATTRIBUTIONS)).select("page", "url"), "attributions"), ["page", "url"])
         chunks = moved(records(spark, path, "document_chunk", CHUNKS)).select(F.lit(target).alias("version"), "source_key", "page", "content")
         return store.commit(number, {"pages": pages, "aliases": aliases, "models": models, "attributions": attributions, "versions": versions.unionByName(row)}, {"chunks": chunks}, {"action": "restore", "version": target, "at": at})
     except Exception:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import written
+
 SCHEMA_VERSION = 1
 MANIFEST = "schema_version int, corpus_version string, created_at string, compression string, sha256 string, byte_count long, includes_embeddings boolean, record_counts map<string,long>"
 #: The record types of a corpus snapshot.
@@ -40,11 +42,16 @@ def _sums(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(f"{path}/lines/*.gz").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
 
 
+def _type() -> Column:
+    """The record type of a line; one that begins as `tagged` writes it isn't parsed."""
+    first = F.regexp_extract("value", r'^\{"record_type":"([^"\\]+)"', 1)
+    return F.when(first != "", first).otherwise(F.get_json_object("value", "$.record_type"))
+
+
 def _types(spark: SparkSession, path: str) -> DataFrame:
     """The lines of each record type; null for lines that are no record."""
-    line = spark.read.text(f"{path}/lines")
-    sound = F.get_json_object("value", "$.data").startswith("{")
-    return line.groupBy(F.when(sound, F.get_json_object("value", "$.record_type")).alias("record_type")).agg(F.count("*").alias("n"))
+    line = spark.read.text(f"{path}/lines").select(F.json_tuple("value", "record_type", "data").alias("record_type", "data"))
+    return line.groupBy(F.when(F.col("data").startswith("{"), F.col("record_type")).alias("record_type")).agg(F.count("*").alias("n"))
 
 
 def write_snapshot(tables: dict[str, DataFrame], path: str, version: str = "1", embeddings: bool = False, created_at: str | None = None) -> None:
@@ -81,12 +88,13 @@ def verify_snapshot(spark: SparkSession, path: str, version: str | None = None,
     issues = one.select(F.explode(F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(name).alias("issue"), F.lit("manifest").alias("of"))) for name, bad in rules.items())))).alias("i")).select("i.*")
 
     sums = spark.read.schema("file string, sha256 string, bytes long").json(f"{path}/sums").select("file", F.col("sha256").alias("expected"))
-    found = _sums(spark, path)
+    # The lines are read once for each, whatever number of rules asks.
+    found = written(_sums(spark, path), "sums")
     files = found.join(sums, "file", "full_outer").where(~F.col("sha256").eqNullSafe(F.col("expected"))).select(F.lit("checksum").alias("issue"), F.col("file").alias("of"))
     size = found.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).crossJoin(one.select("byte_count"))  # one row each
     issues = issues.union(files).union(size.where(~F.col("bytes").eqNullSafe(F.col("byte_count"))).select(F.lit("byte_count"), F.lit("lines")))
 
-    types = _types(spark, path)
+    types = written(_types(spark, path), "types")
     expected = one.select(F.explode(F.coalesce("record_counts", F.create_map().cast("map<string,bigint>"))).alias("record_type", "expected"))
     both = types.where("record_type is not null").join(expected, "record_type", "full_outer").withColumns({"n": F.coalesce("n", F.lit(0).cast("long")), "allowed": F.lit(not contract.allowed) | F.col("record_type").isin(*contract.allowed, "")})
     known = both.select("record_type", "n")
@@ -108,8 +116,8 @@ def sound(spark: SparkSession, path: str, version: str | None = None, contract:
 
 def records(spark: SparkSession, path: str, record_type: str, schema: str) -> DataFrame:
     """The records of a type, as rows of a schema; what was verified before."""
-    lines = spark.read.text(f"{path}/lines").where(F.get_json_object("value", "$.record_type") == record_type)
-    return lines.select(F.from_json(F.get_json_object("value", "$.data"), schema).alias("d")).select("d.*")
+    lines = spark.read.text(f"{path}/lines").where(_type() == record_type)
+    return lines.select(F.from_json("value", f"data struct<{schema}>").alias("line")).select("line.data.*")
 
 
 def restored(spark: SparkSession, path: str, record_type: str, schema: str) -> DataFrame:
